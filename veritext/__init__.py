@@ -1 +1,11 @@
-"""Text-evidence analytics on PySpark."""
+"""Text-evidence analytics on PySpark.
+
+Functions that run in Python workers travel with their tasks, so executors need
+no copy of this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
