@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritext.llm import exact_dedup
+from veritext.llm import exact_dedup, near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_minhash": near_dedup.op5_minhash,
+    "op9_recompression": substring_dedup.op9_recompression,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op5_minhash": near_dedup.SQL,
+    "op9_recompression": substring_dedup.SQL,
 }
