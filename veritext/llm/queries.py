@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritext.llm import exact_dedup, near_dedup, substring_dedup
+from veritext.llm import exact_dedup, language_id, near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_language_id": language_id.op4_language_id,
     "op5_minhash": near_dedup.op5_minhash,
     "op9_recompression": substring_dedup.op9_recompression,
 }

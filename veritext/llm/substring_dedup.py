@@ -61,8 +61,7 @@ def recompress(names: np.ndarray, barrier: np.ndarray, rounds: int = ROUNDS) ->
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(names)) - 1
             length = (last - first + 1).astype(np.uint64)
-            low = np.maximum(low[first] - 1, 0)
-            high = np.minimum(high[last] + 1, n)
+            low, high = low[first] - 1, high[last] + 1  # -1 and n + 1 lie in no window
             names, start, end, barrier = np.where(length > 1, mix(names[first] + length * np.uint64(0x9E3779B97F4A7C15)), names[first]), start[first], end[last], barrier[first]
         side = mix(names + np.uint64(r + 1)) >> np.uint64(63)
         left, right = (side == 0) & ~barrier, (side == 1) & ~barrier
@@ -71,8 +70,8 @@ def recompress(names: np.ndarray, barrier: np.ndarray, rounds: int = ROUNDS) ->
         second = np.concatenate([[False], pair[:-1]])
         # A single left name is decided by its successor too, a single right one by its predecessor.
         alone_left, alone_right = left & ~pair, right & ~second
-        next_low, next_high = np.append(low[1:], n), np.append(high[1:], n)
-        prev_low, prev_high = np.concatenate([[0], low[:-1]]), np.concatenate([[0], high[:-1]])
+        next_low, next_high = np.append(low[1:], n), np.append(high[1:], n + 1)
+        prev_low, prev_high = np.concatenate([[-1], low[:-1]]), np.concatenate([[0], high[:-1]])
         new_low = np.where(alone_right, np.minimum(low, prev_low), np.where(alone_left, np.minimum(low, next_low), low))
         new_high = np.where(alone_right, np.maximum(high, prev_high), np.where(alone_left, np.maximum(high, next_high), high))
         at = np.flatnonzero(pair)
