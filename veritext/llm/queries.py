@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritext.llm import exact_dedup, language_id, line_dedup, near_dedup, quality_crf, substring_dedup
+from veritext.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, quality_crf, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_minhash": near_dedup.op5_minhash,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality_crf": quality_crf.op8_quality_crf,
     "op9_recompression": substring_dedup.op9_recompression,
