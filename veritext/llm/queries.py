@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritext.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, quality_crf, substring_dedup
+from veritext.llm import decontaminate, exact_dedup, html_extract, language_id, line_dedup, near_dedup, quality_crf, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality_crf": quality_crf.op8_quality_crf,
     "op9_recompression": substring_dedup.op9_recompression,
+    "op10_html_suffix": html_extract.op10_html_suffix,
 }
 
 ORACLE_SQL: dict[str, str] = {
