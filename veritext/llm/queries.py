@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritext.llm import decontaminate, exact_dedup, html_extract, language_id, line_dedup, near_dedup, quality_crf, substring_dedup
+from veritext.llm import decontaminate, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality_crf, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing.op1_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_minhash": near_dedup.op5_minhash,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op5_minhash": near_dedup.SQL,
     "op9_recompression": substring_dedup.SQL,
