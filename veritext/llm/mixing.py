@@ -3,9 +3,10 @@
 Documents fall in cells of source, language and topic. Token counts of the
 cells are raked to the target shares of all three: each pass divides the target
 of every category by the tokens it now weighs, dimension after dimension. The
-weight of a cell is the product of its three factors; a document is kept with
-probability weight / largest weight, decided by a hash of its id, so expected
-token shares are the targets and reruns choose alike.
+weight of a cell is the product of its three factors. A document is kept with
+probability min(1, rate * weight), decided by a hash of its id so that reruns
+choose alike; the rate is set so that BUDGET of all tokens is expected to stay.
+Cells at probability 1 can't give more, and the rest make up for them.
 
 Categories that a target does not name fall in OTHER, so there are at most as
 many cells as the product of the targets' sizes plus one each. The cell table
@@ -14,7 +15,7 @@ is one row of that bounded size; the rounds run inside one SQL expression.
 Defined results: null text has no tokens and is prose; a null source or
 language is OTHER; targets of absent categories are left out and the rest
 scaled to 1; cells without tokens keep weight 0 and lose their documents,
-unless no cell has tokens, when every weight is 1; rows of one id are kept or
+unless no cell has tokens, when all are kept; rows of one id are kept or
 dropped together; a null id hashes as the empty string; an empty table gives an
 empty result; other columns pass through.
 """
@@ -29,16 +30,16 @@ from pyspark.sql import functions as F
 from veritext.llm.common import WORD_RE, Scratch, table
 
 OTHER = "other"
-ROUNDS, SEED = 30, "mix-1"
+ROUNDS, RATE_ROUNDS, BUDGET, SEED = 30, 12, 0.6, "mix-1"
 
 
 @dataclass(frozen=True)
 class Targets:
     """Target shares of tokens by category; each dimension is scaled to sum to 1 over the categories present."""
 
-    source: dict[str, float] = field(default_factory=lambda: {f"src{i}": (0.30 if i == 0 else 0.035) for i in range(20)} | {OTHER: 0.035})
-    lang: dict[str, float] = field(default_factory=lambda: {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12, OTHER: 0.05})
-    topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.86, "legal": 0.08, "contact": 0.05, "tabular": 0.01})
+    source: dict[str, float] = field(default_factory=lambda: {f"src{i}": (0.25 if i == 0 else 0.0375) for i in range(20)} | {OTHER: 0.0375})
+    lang: dict[str, float] = field(default_factory=lambda: {"en": 0.50, "de": 0.18, "fr": 0.18, "es": 0.14, OTHER: 0.01})
+    topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.90, "legal": 0.04, "contact": 0.03, "tabular": 0.03})
 
 
 def category(column: str, known: dict[str, float]) -> Column:
@@ -62,8 +63,8 @@ def chance(id_col: str, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def factors(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> dict[str, dict[str, float]]:
-    """Factor of each category of each dimension. cells: source, lang, topic, n (tokens)."""
+def factors(cells: DataFrame, targets: Targets, scratch: Scratch, rounds: int = ROUNDS, budget: float = BUDGET) -> tuple[dict[str, dict[str, float]], float]:
+    """Factor of each category of each dimension, and the sampling rate (0 without tokens). cells: source, lang, topic, n (tokens)."""
     names = {"s": sorted(targets.source | {OTHER: 0.0}), "l": sorted(targets.lang | {OTHER: 0.0}), "t": sorted(targets.topic | {OTHER: 0.0})}
     goals = {"s": targets.source, "l": targets.lang, "t": targets.topic}
     listed = cells.agg(F.collect_list(F.struct(*[F.array_position(F.array(*[F.lit(x) for x in names[k]]), F.col(c)).cast("int").alias(k) for k, c in (("s", "source"), ("l", "lang"), ("t", "topic"))], F.col("n").cast("double").alias("n"))).alias("cells"))
@@ -79,35 +80,37 @@ def factors(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> dict[st
         weighed = f"aggregate(filter(cells, c -> c.{k} = j + 1), 0D, (z, c) -> z + c.n * {others})"
         return f"transform(goal_{k}, (g, j) -> coalesce(try_divide(g, {weighed}), 0D))"
 
-    step = "x0"
     body = f"named_struct('s', {rake('s', 'x0')}, 'l', x0.l, 't', x0.t)"
     for i, k in enumerate(("l", "t"), 1):
         step = f"x{i}"
         fields = ", ".join(f"'{o}', " + (rake(k, step) if o == k else f"{step}.{o}") for o in names)
         body = f"transform(array({body}), {step} -> named_struct({fields}))[0]"
     start = "named_struct(" + ", ".join(f"'{k}', array_repeat(1D, {size[k]})" for k in names) + ")"
-    row = listed.select(F.expr(f"aggregate(sequence(1, {int(rounds)}), {start}, (x0, i) -> {body})").alias("x")).first()["x"]
-    return {k: dict(zip(names[k], row[k])) for k in names}
+    raked = listed.select("cells", F.expr(f"aggregate(sequence(1, {int(rounds)}), {start}, (x0, i) -> {body})").alias("x"))
+    raked = raked.withColumn("w", F.expr("transform(cells, c -> x.s[c.s - 1] * x.l[c.l - 1] * x.t[c.t - 1])")).withColumn("m", F.expr("arrays_zip(cells, w)"))
+    goal = f"{budget!r}D * aggregate(cells, 0D, (z, c) -> z + c.n)"
+    capped = "aggregate(filter(m, c -> r * c.w >= 1), 0D, (z, c) -> z + c.cells.n)"
+    free = "aggregate(filter(m, c -> r * c.w < 1), 0D, (z, c) -> z + c.cells.n * c.w)"
+    rate = f"aggregate(sequence(1, {RATE_ROUNDS}), 0D, (r, i) -> coalesce(try_divide({goal} - {capped}, {free}), r))"
+    row = scratch.write(raked, "raked").select("x", F.expr(rate).alias("rate")).first()
+    return {k: dict(zip(names[k], row["x"][k])) for k in names}, row["rate"]
 
 
-def probability(found: dict[str, dict[str, float]], filled: list[tuple[str, str, str]]) -> Column:
+def probability(found: dict[str, dict[str, float]], rate: float) -> Column:
     """Probability of keeping a document, from its category columns _source, _lang and _topic."""
-    weights = [found["s"][s] * found["l"][l] * found["t"][t] for s, l, t in filled]
-    top = max(weights, default=0.0)
-    if not top:
+    if not rate:
         return F.lit(1.0)
     of = {k: F.create_map(*[F.lit(y) for x in found[k].items() for y in x]) for k in found}
-    return F.least(F.lit(1.0), of["s"][F.col("_source")] * of["l"][F.col("_lang")] * of["t"][F.col("_topic")] / F.lit(top))
+    return F.least(F.lit(1.0), of["s"][F.col("_source")] * of["l"][F.col("_lang")] * of["t"][F.col("_topic")] * F.lit(rate))
 
 
-def weighed(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = ROUNDS) -> DataFrame:
+def weighed(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
     """The documents, all columns, and _source, _lang, _topic, _prob (of being kept) and _kept."""
     marked = docs.withColumn("_source", category(source_col, targets.source)).withColumn("_lang", category(lang_col, targets.lang)).withColumn("_topic", topic(text_col))
     scratch = Scratch(docs.sparkSession, "mixing")
     cells = marked.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum(tokens(text_col)).alias("n"))
     cells = scratch.write(cells, "cells")
-    filled = [(r["source"], r["lang"], r["topic"]) for r in cells.where("n > 0").collect()]
-    prob = probability(factors(cells, targets, rounds), filled)
+    prob = probability(*factors(cells, targets, scratch, rounds, budget))
     return marked.withColumn("_prob", prob).withColumn("_kept", chance(id_col) < F.col("_prob"))
 
 
@@ -130,6 +133,8 @@ def _sql(targets: Targets = Targets(), rounds: int = ROUNDS) -> str:
         for d in ("s", "l", "t"):
             steps.append(f"w{len(steps) + 1} AS MATERIALIZED (SELECT s, l, t, n, w * g_{d} / sum(w) OVER (PARTITION BY {d}) AS w, g_s, g_l, g_t FROM {last})")
             last = f"w{len(steps)}"
+    total = "(SELECT sum(n) FROM m)"
+    rates = [f"r{i + 1} AS MATERIALIZED (SELECT coalesce(({BUDGET!r}::DOUBLE * {total} - coalesce((SELECT sum(n) FROM m WHERE r * w >= 1), 0)) / nullif((SELECT sum(n * w) FROM m WHERE r * w < 1), 0), r) AS r FROM r{i})" for i in range(RATE_ROUNDS)]
     return f"""
 WITH d AS (
   SELECT doc_id, {cat('source', targets.source)} AS s, {cat('lang', targets.lang)} AS l,
@@ -140,7 +145,8 @@ WITH d AS (
 ), gl AS (SELECT k, v / sum(v) OVER () AS g FROM (VALUES {goals(targets.lang)}) x(k, v) WHERE k IN (SELECT l FROM cells)
 ), gt AS (SELECT k, v / sum(v) OVER () AS g FROM (VALUES {goals(targets.topic)}) x(k, v) WHERE k IN (SELECT t FROM cells)
 ), w0 AS MATERIALIZED (SELECT s, l, t, n, n AS w, gs.g AS g_s, gl.g AS g_l, gt.g AS g_t FROM cells JOIN gs ON gs.k = s JOIN gl ON gl.k = l JOIN gt ON gt.k = t
-), {', '.join(steps)}, p AS (SELECT s, l, t, least(1.0, (w / n) / max(w / n) OVER ()) AS p FROM {last})
+), {', '.join(steps)}, m AS MATERIALIZED (SELECT s, l, t, n, w / n AS w FROM {last}), r0 AS (SELECT 0.0::DOUBLE AS r), {', '.join(rates)},
+p AS (SELECT s, l, t, least(1.0, r * w) AS p FROM m, r{RATE_ROUNDS})
 SELECT doc_id, s AS source_cat, l AS lang_cat, t AS topic, n AS n_tokens, round(coalesce(p, 0.0), 6) AS prob,
   CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 < coalesce(p, 0.0) AS kept
 FROM d LEFT JOIN p USING (s, l, t)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritext.llm import decontaminate, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality_crf, substring_dedup
+from veritext.llm import decontaminate, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality_crf, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_minhash": near_dedup.op5_minhash,
