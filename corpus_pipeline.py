@@ -1,13 +1,67 @@
-"""The corpus pipeline: stages that each apply one operator to what the stage before kept."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, mixing.
+
+Each stage applies one operator to all that the stage before kept, and its
+decisions take effect; the columns stay those of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritext.llm.common import Scratch, table
+from veritext.llm.decontaminate import contamination
+from veritext.llm.language_id import UNDETERMINED, identify
+from veritext.llm.line_dedup import dedup_lines
+from veritext.llm.mixing import weighed
+from veritext.llm.near_dedup import near_duplicates
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Language scores below it mean that a text is like no known language.
+MIN_LANGUAGE_SCORE = 0.15
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the profiles know; those without letters or like no profile go."""
+    docs = docs.select(*COLUMNS)
+    found = identify(docs, keep=COLUMNS)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
+
+
+def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the blocks of lines that earlier ones have; those left without text go. n_chars is counted anew."""
+    out = dedup_lines(docs.select(*COLUMNS)).where("_n_removed = 0 or trim(text) <> ''")
+    return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id."""
+    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    # The merge join moves alike at every size; a group of copies may be most of the corpus.
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def no_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, re-parameterised ones included."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "tag").distinct()
+    tagged = docs.withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return tagged.join(found.withColumnRenamed("doc_id", "_id"), F.col("_tag").eqNullSafe(F.col("tag")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample at the target weights of sources, languages and topics."""
+    return weighed(docs).where("_kept").select(*COLUMNS)
+
 
-STAGES: list = []
+STAGES = [
+    ("language", known_language),
+    ("lines", unique_lines),
+    ("near-copies", no_near_copies),
+    ("benchmark", no_benchmark_text),
+    ("mix", mixed),
+]
 
+#: Language profiles and patience diff have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
