@@ -79,6 +79,55 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: Longest word that hash_words handles in numpy; longer ones are hashed one by one.
+_LONG_WORD = 4096
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(7)
+    letter = rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    letter[[9, 10, 11, 12, 13, 32]] = 0
+    low = letter.copy()
+    low[65:91] = letter[97:123]
+    return letter, low, rng.integers(0, 2**63, _LONG_WORD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_LETTER, _LOW, _PLACE = _tables()
+
+
+def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of UTF-8 texts end to end, and the number of words of each text.
+
+    Words are separated as in WORD_RE. A word's hash sums, over its bytes, a
+    random value of the byte times a random odd value of its place. lower: A-Z
+    count as a-z."""
+    texts = [t or b"" for t in texts]
+    flat = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    value = (_LOW if lower else _LETTER)[flat]
+    inside = value != 0
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    at = np.flatnonzero(start)
+    if not len(at):
+        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    span = np.diff(np.append(at, len(flat)))
+    place = np.arange(at[0], len(flat)) - np.repeat(at, span)
+    value = value[at[0] :]
+    value *= _PLACE[np.minimum(place, _LONG_WORD - 1)]
+    hashes = mix(np.add.reduceat(value, at - at[0]))
+    for k in np.flatnonzero(span > _LONG_WORD):
+        word = flat[at[k] : at[k] + span[k]].tobytes().split()[0]
+        if len(word) > _LONG_WORD:
+            hashes[k] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return hashes, np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
+
+
+def utf8(column: pa.Array) -> list[bytes | None]:
+    """A text column as bytes."""
+    return column.cast(pa.binary()).to_pylist()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the word (wraps modulo 2**64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.llm.common import Bitmap, Scratch, WordHashes, chunks, id_keys, long_lists, mix, signed, table
+from veritext.llm.common import Bitmap, Scratch, chunks, hash_words, id_keys, long_lists, mix, signed, table, utf8
 
 WINDOW = 13
 ROUNDS = 3
@@ -43,10 +43,6 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _SEPARATOR = np.uint64(0x5E9A)
 
 
-def split_words(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ") if w]
-
-
 def recompress(names: np.ndarray, barrier: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
     """Symbols after some rounds: names, first word, end, and the stretch of words [low, high) that decides each.
 
@@ -110,46 +106,40 @@ def anchors(names: np.ndarray, barrier: np.ndarray, hashes: np.ndarray) -> np.nd
     return np.where(best > 0, best, whole)
 
 
-def _laid_out(texts: list[str | None], hashes: WordHashes):
-    """Words of a batch of documents end to end, with separators: names, barrier, [(first word, end)] of each document."""
-    parts, spans, at, split = [], [], 0, []
-    for text in texts:
-        words = split_words(text)
-        split.append(words)
-        parts.append(hashes.of(words))
-        parts.append(np.array([_SEPARATOR]))
-        spans.append((at, at + len(words)))
-        at += len(words) + 1
-    names = mix(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
-    barrier = np.zeros(at, dtype=bool)
-    barrier[[e for _, e in spans]] = True
-    return names, barrier, spans, split
+def _laid_out(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of documents end to end, a separator after each: names, barrier, first word and end of each document."""
+    hashes, counts = hash_words(texts)
+    ends = np.cumsum(counts + 1) - 1
+    barrier = np.zeros(len(hashes) + len(counts), dtype=bool)
+    barrier[ends] = True
+    names = np.full(len(barrier), _SEPARATOR, dtype=np.uint64)
+    names[~barrier] = hashes
+    return names, barrier, ends - counts, ends
 
 
-def _tag(sha: bytes) -> int:
-    """Part of a text's digest that tells apart rows of one id."""
-    return int.from_bytes(sha[:4], "little", signed=True)
+def _windows_of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Positions of all windows that lie within a document, in order."""
+    n = np.maximum(0, ends - starts - WINDOW + 1)
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
-def _copy_keys(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    return mix(mix(ids.astype(np.int64).view(np.uint64)) + tags.astype(np.int64).view(np.uint64))
+def _tag(text_col: str) -> F.Column:
+    """Part of a hash of the text that tells apart rows of one id."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
-def _sha(words: list[str]) -> bytes:
-    return hashlib.sha256(" ".join(words).encode()).digest()
+def _copy_keys(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    return mix(mix(ids.astype(np.int64).view(np.uint64)) + tags.astype(np.int64).view(np.uint64))
 
 
 def _report(batches):
-    hashes = WordHashes()
-    for batch in chunks(batches, 1, 1_000_000):
-        names, barrier, spans, split = _laid_out(batch.column(1).to_pylist(), hashes)
+    for batch in chunks(batches, 2, 1_000_000):
+        texts = utf8(batch.column(2))
+        names, barrier, starts, ends = _laid_out(texts)
         own = anchors(names, barrier, window_hashes(names, 0x9E3779B97F4A7C15)) if len(names) >= WINDOW else np.empty(0, dtype=np.uint64)
-        lists = [signed(np.unique(own[s : e - WINDOW + 1])) if e - s >= WINDOW else np.empty(0, dtype=np.int64) for s, e in spans]
-        shas = [_sha(w) for w in split]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([_tag(x) for x in shas], pa.int32()), pa.array([e - s for s, e in spans], pa.int64()), pa.array(shas, pa.binary()), long_lists(lists, pa.int64())],
-            ["id", "tag", "n_words", "sha", "anchors"],
-        )
+        lists = [signed(np.unique(own[s : max(s, e - WINDOW + 1)])) for s, e in zip(starts.tolist(), ends.tolist())]
+        shas = [hashlib.sha256(b" ".join((t or b"").split())).digest() for t in texts]  # bytes.split knows the contract's separators only
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends - starts, pa.int64()), pa.array(shas, pa.binary()), long_lists(lists, pa.int64())], ["id", "tag", "n_words", "sha", "anchors"])
 
 
 def _lists(flat: np.ndarray, doc: np.ndarray, docs: int, kind: pa.DataType) -> pa.Array:
@@ -177,16 +167,16 @@ def _rewrite(batches):
     """Rows (id, tag, text, positions of repeated windows) without the covered words."""
     for batch in batches:
         out = []
-        for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            words = split_words(text)
+        for text, starts in zip(utf8(batch.column(2)), batch.column(3).to_pylist()):
+            words = (text or b"").split()
             edge = np.zeros(len(words) + 1, dtype=np.int64)
             starts = np.unique(np.array(starts, dtype=np.int64))
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + WINDOW, -1)
+            edge[starts] += 1
+            edge[starts + WINDOW] -= 1
             kept = [w for w, c in zip(words, np.cumsum(edge)[:-1].tolist()) if not c]
-            out.append((len(words) - len(kept), " ".join(kept)))
+            out.append((len(words) - len(kept), b" ".join(kept)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([n for n, _ in out], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in out], pa.string()), pa.array([t for _, t in out], pa.string())],
+            [batch.column(0), batch.column(1), pa.array([n for n, _ in out], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for _, t in out], pa.string()), pa.array([t for _, t in out], pa.binary()).cast(pa.string())],
             ["id", "tag", "n_removed", "kept_sha256", "kept_text"],
         )
 
@@ -215,21 +205,18 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, report: DataFrame) -> tu
     in_shared = Bitmap(spark, shared, "anchor").test()
 
     def candidates(batches):
-        hashes = WordHashes()
-        for part in chunks(batches, 1, 8_000_000):
-            texts, ids = part.column(1).to_pylist(), np.asarray(part.column(0))
-            tags = np.array([_tag(_sha(split_words(t))) for t in texts], dtype=np.int32)
-            mine = np.flatnonzero(original(ids, tags))
-            ids, tags = ids[mine], tags[mine]
-            names, barrier, spans, _ = _laid_out([texts[i] for i in mine], hashes)
+        for part in chunks(batches, 2, 8_000_000):
+            part = part.filter(pa.array(original(np.asarray(part.column(0)), np.asarray(part.column(1)))))
+            ids, tags = np.asarray(part.column(0)), part.column(1)
+            names, barrier, starts, ends = _laid_out(utf8(part.column(2)))
             if len(names) < WINDOW:
                 continue
             h1 = window_hashes(names, 0x9E3779B97F4A7C15)
-            here = np.concatenate([np.arange(s, max(s, e - WINDOW + 1)) for s, e in spans])
+            here = _windows_of(starts, ends)
             here = here[in_shared(anchors(names, barrier, h1)[here])]
             h1, h2 = signed(h1[here]), (window_hashes(names, 0xC2B2AE3D27D4EB4F)[here] >> np.uint64(33)).astype(np.int64)
-            doc = np.searchsorted(np.array([e for _, e in spans]), here, side="right")
-            at = here - np.array([s for s, _ in spans])[doc]
+            doc = np.searchsorted(ends, here, side="right")
+            at = here - starts[doc]
             # Of equal windows in these documents only those of the smallest id go on; the others are repeats already.
             order = np.lexsort((ids[doc], h2, h1))
             new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])[: len(order)]
@@ -239,7 +226,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, report: DataFrame) -> tu
             go = ~repeat
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(tags), _lists(at[repeat], doc[repeat], n, pa.int32()), _lists(h1[go], doc[go], n, pa.int64()), _lists(h2[go], doc[go], n, pa.int32()), _lists(at[go], doc[go], n, pa.int32())],
+                [pa.array(ids), tags, _lists(at[repeat], doc[repeat], n, pa.int32()), _lists(h1[go], doc[go], n, pa.int64()), _lists(h2[go], doc[go], n, pa.int32()), _lists(at[go], doc[go], n, pa.int32())],
                 ["id", "tag", "repeats", "h1", "h2", "pos"],
             )
 
@@ -257,7 +244,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The kept words are joined by one space; kept_text is null where nothing was removed."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), _tag(text_col).alias("tag"), F.col(text_col).alias("text"))
     report = scratch.write(source.mapInArrow(_report, "id long, tag int, n_words long, sha binary, anchors array<long>"), "report")
     positions, copies = repeated_windows(source, scratch, report)
     positions = scratch.write(positions, "positions")
@@ -265,9 +252,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def pick(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(changed(np.asarray(batch.column(2)))))
-            tags = [_tag(_sha(split_words(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tags, pa.int32()), batch.column(1)], ["id", "tag", "text"])
+            yield batch.filter(pa.array(changed(np.asarray(batch.column(3))))).select(["id", "tag", "text"])
 
     texts = source.withColumn("key", id_keys("id")).mapInArrow(pick, "id long, tag int, text string")
     rewritten = texts.join(positions, ["id", "tag"]).select("id", "tag", "text", "repeats").mapInArrow(_rewrite, "id long, tag int, n_removed long, kept_sha256 string, kept_text string")
