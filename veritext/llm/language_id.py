@@ -18,8 +18,6 @@ equal rows; other columns are not read.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,15 +34,20 @@ _CODES = 512
 UNDETERMINED = "und"
 
 
-@lru_cache(maxsize=1)
+_CODE_TABLE: list[np.ndarray] = []
+
+
 def _letters() -> np.ndarray:
     """Code of each BMP character: 0 no letter, 1-26 a-z, others by a hash of the lower-case letter."""
+    if _CODE_TABLE:
+        return _CODE_TABLE[0]
     codes = np.zeros(65536, dtype=np.int64)
     for c in range(65536):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()[0]
             codes[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) * 2654435761 >> 8) % (_CODES - 27)
+    _CODE_TABLE.append(codes)
     return codes
 
 
