@@ -137,10 +137,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         return pd.Series(touched(keys.to_numpy()))
 
-    # Untouched documents, known by a bit map on ids, pass without a shuffle.
+    # Untouched documents, known by a bit map on ids, pass without a shuffle. The
+    # others meet their lines by a merge join at any size.
     marked = docs.withColumn("_maybe", F.col(id_col).isNotNull() & maybe(id_keys(id_col)))
     calm = marked.where("not _maybe").drop("_maybe").withColumn("_doomed", F.lit(None).cast("array<int>"))
-    cut = marked.where("_maybe").drop("_maybe").join(doomed.select(F.col("id").alias("_id"), F.col("doomed").alias("_doomed")), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    cut = marked.where("_maybe").drop("_maybe").join(doomed.select(F.col("id").alias("_id"), F.col("doomed").alias("_doomed")).hint("merge"), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_doomed", i))
     out = calm.unionByName(cut.withColumn("_doomed", F.when(F.size("_doomed") > 0, F.col("_doomed"))))
