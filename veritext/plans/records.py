@@ -179,7 +179,7 @@ def _outputs(spark) -> DataFrame:
     return spark.createDataFrame([tuple(r[:19]) for r in _OUTPUTS], verdict.INPUT)
 
 
-_VERDICTS = "(VALUES (1, 'F', '1', true, 'not_assessed'), (2, 'C', '', true, 'not_assessed'), (3, 'A', '', false, 'not_assessed'), (4, 'C', '2', false, 'full'), (5, 'D', '2,3,5,10', true, 'not_assessed'), (6, 'F', '12,9,6,11,7,12', true, 'partial'), (7, 'F', '10,8', false, 'partial'), (8, 'F', '5,4', false, 'contradicted'), (9, 'E', '5,12', false, 'full')) t(citation_id, grade, modes, needs_review, support)"
+_VERDICTS = "(VALUES (1, 'F', '1', true, 'not_assessed'), (2, 'C', '', true, 'not_assessed'), (3, 'A', '', false, 'not_assessed'), (4, 'C', '2', false, 'full'), (5, 'E', '2,3,5,10', true, 'not_assessed'), (6, 'F', '12,9,6,11,7,12', true, 'partial'), (7, 'F', '10,8', false, 'partial'), (8, 'F', '5,4', false, 'contradicted'), (9, 'E', '5,12', false, 'full')) t(citation_id, grade, modes, needs_review, support)"
 
 
 @query("verdict_rubric", f"SELECT * FROM {_VERDICTS}")
