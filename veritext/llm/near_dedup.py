@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.llm.common import ASCII_LOWER, Bitmap, Scratch, WordHashes, chunks, connected_components, grouped, id_keys, long_lists, mix, signed, table
+from veritext.llm.common import Bitmap, Scratch, chunks, connected_components, grouped, hash_words, id_keys, long_lists, mix, signed, table, utf8
 
 SHINGLE_WORDS, BANDS, PERMUTATIONS = 5, 32, 64
 #: Shingles of the documents of one block; two blocks of 64-bit hashes are in a task at once.
@@ -36,18 +36,25 @@ BLOCK_SHINGLES = 400_000
 SEED = 20240229
 
 
-def shingles(words: list[str], hashes: WordHashes) -> np.ndarray:
-    """Distinct 64-bit hashes of the 5-word shingles; fewer words make one shingle."""
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    if len(words) < SHINGLE_WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(" ".join(words))], dtype=np.uint64)
-    h = hashes.of(words)
-    n = len(h) - SHINGLE_WORDS + 1
-    total = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE_WORDS):
-        total = mix(total + h[k : k + n]) if k else mix(h[:n])
-    return np.unique(total)
+def shingles(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Distinct 64-bit hashes of each text's 5-word shingles; fewer words make one shingle."""
+    h, counts = hash_words(texts, lower=True)
+    n = max(0, len(h) - SHINGLE_WORDS + 1)
+    every = np.empty(0, dtype=np.uint64)
+    if n:
+        every = mix(h[:n])
+        for k in range(1, SHINGLE_WORDS):
+            every = mix(every + h[k : k + n])
+    out, at = [], 0
+    for c in counts.tolist():
+        if c >= SHINGLE_WORDS:
+            out.append(np.unique(every[at : at + c - SHINGLE_WORDS + 1]))
+        elif c:
+            out.append(np.array([xxhash.xxh3_64_intdigest(h[at : at + c].tobytes())], dtype=np.uint64))
+        else:
+            out.append(np.empty(0, dtype=np.uint64))
+        at += c
+    return out
 
 
 def signature_bands(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,20 +80,12 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(batches):
-    hashes, (a, b) = WordHashes(), _permutations()
+    a, b = _permutations()
     for batch in chunks(batches, 1):
-        sizes, digests, bands = [], [], []
-        for text in batch.column(1).to_pylist():
-            values = shingles(_split(text), hashes)
-            sizes.append(len(values))
-            digests.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
-            bands.append(signature_bands(values, a, b) if len(values) else np.empty(0, dtype=np.uint64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), long_lists([signed(x) for x in bands], pa.int64())], ["id", "n_shingles", "digest", "bands"])
-
-
-def _split(text: str | None) -> list[str]:
-    """Only space and the ASCII controls of the contract separate; str.split also knows Unicode spaces."""
-    return [w for w in (text or "").translate(ASCII_LOWER | {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ") if w]
+        values = shingles(utf8(batch.column(1)))
+        bands = [signature_bands(v, a, b) if len(v) else v for v in values]
+        digests = [xxhash.xxh3_128_digest(v.tobytes()) if len(v) else None for v in values]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in values], pa.int64()), pa.array(digests, pa.binary()), long_lists([signed(x) for x in bands], pa.int64())], ["id", "n_shingles", "digest", "bands"])
 
 
 def links_forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int = 75) -> list[tuple[int, int]]:
@@ -159,12 +158,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = Bitmap(spark, scratch.write(parts.select(id_keys("node").alias("key")), "wanted"), "key").test()
 
     def sets(batches):
-        hashes = WordHashes()
         for batch in batches:
             batch = batch.filter(pa.array(wanted(np.asarray(batch.column("key")))))
             for part in chunks([batch], 1):
-                values = [shingles(_split(t), hashes) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in values], pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in shingles(utf8(part.column(1)))], pa.binary())], ["node", "shingles"])
 
     held = source.select("id", "text", id_keys("id").alias("key")).mapInArrow(sets, "node long, shingles binary")
     groups = placed.join(held, "node").select("component", "i", "j", "side", "node", "shingles").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
@@ -178,8 +175,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = scratch.write(groups.mapInArrow(verify, "src long, dst long"), "links")
     # Rows that repeat an id with other text are one document: its classes are linked.
-    repeats = signed_docs.where("digest is not null").join(classes.select("digest", "rep"), "digest").where("id <> rep").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
-    links = links.unionByName(repeats.select(F.col("id").alias("src"), F.col("a").alias("dst"))).unionByName(repeats.select(F.col("id").alias("src"), F.col("b").alias("dst")))
+    own = signed_docs.where("digest is not null and id is not null").join(classes.select("digest", "rep"), "digest").select("id", "rep")
+    several = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
+    links = links.unionByName(own.join(several, "id", "left_semi").select(F.col("id").alias("src"), F.col("rep").alias("dst")))
     components = connected_components(scratch, links, "links")
     of_class = classes.join(components, classes.rep == components.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     component = F.coalesce("component", "id")
