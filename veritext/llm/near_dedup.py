@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritext.llm.common import Bitmap, Scratch, chunks, connected_components, grouped, hash_words, id_keys, long_lists, mix, signed, table, utf8
@@ -144,7 +144,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = signed_docs.select("id", "n_shingles", "digest", "bands").join(classes.select("digest", "rep"), "digest").where("id = rep").select("rep", F.explode("bands").alias("bucket"))
     keys = scratch.write(keys, "keys")
     mates = keys.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    stars = scratch.write(keys.join(mates, "bucket").where("rep <> least").select(F.col("rep").alias("src"), F.col("least").alias("dst")).distinct(), "stars")
+    # A document joins the smallest of its buckets' smallest ids, and so do those ids: as connected as
+    # one edge for each document and bucket, but many documents of a group of copies share their edges.
+    met = keys.join(mates, "bucket").select("rep", "least").withColumn("dst", F.min("least").over(Window.partitionBy("rep")))
+    stars = met.select(F.col("rep").alias("src"), "dst").unionByName(met.select(F.col("least").alias("src"), "dst")).where("src <> dst").distinct()
+    stars = scratch.write(stars, "stars")
     scratch.drop("keys")
     parts = connected_components(scratch, stars, "parts")
 
