@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.functions import citations, reading, structure, text
+from veritext.functions.citations import SCHEMA as CITATION
+from veritext.functions.citations import extract
 from veritext.functions.kernels import flat_map
 from veritext.functions.lexicon import PREAMBLE, ROLES, cue
+from veritext.functions.reading import hierarchy, opposes, treatment, voice, weight
+from veritext.functions.structure import clean_pages
+from veritext.functions.text import find_quote, label_value
 from veritext.operators import contrary, corpus, verdict
+from veritext.operators.contrary import negate
 from veritext.plans.graph import _values
 from veritext.sources import readers, writers
 from veritext.sources.readers import table
@@ -134,7 +139,7 @@ def pinpoint_check(spark, sf):
 @query("label_values", "SELECT l_linenumber || '.' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS label, CAST(count(*) AS BIGINT) AS n, l_linenumber + max(CAST(l_quantity AS INTEGER)) / 100.0::DOUBLE AS value FROM lineitem GROUP BY l_linenumber, CAST(l_quantity AS INTEGER)")
 def label_values(spark, sf):
     li = table(spark, sf, "lineitem").select(F.concat(F.col("l_linenumber").cast("string"), F.lit("."), F.col("l_quantity").cast("int").cast("string")).alias("label"))
-    return li.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("value", text.label_value(F.col("label")))
+    return li.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("value", label_value(F.col("label")))
 
 
 _SAID = [(1, "Leave granted. The appeal is allowed."), (2, "Learned counsel for the appellant submits that notice is bad."), (3, "The High Court has in the order held that it was void."), (4, "We are of the considered view that the rule applies."), (5, "Reliance was placed; he relied on the decision."), (6, "The appeals are accordingly dismissed."), (7, "The weather was fine.")]
@@ -286,33 +291,33 @@ def _passages(spark) -> DataFrame:
 
 @query("citation_extract")
 def citation_extract(spark, sf):
-    return flat_map(_passages(spark), lambda r: ({"id": r["id"], **c} for c in citations.extract(r["body"])), f"id int, {citations.SCHEMA}")
+    return flat_map(_passages(spark), lambda r: ({"id": r["id"], **c} for c in extract(r["body"])), f"id int, {CITATION}")
 
 
 @query("voice_last_cue")
 def voice_last_cue(spark, sf):
     own = _passages(spark).select(F.col("id").cast("long"), "body", "opinion")
     talk = table(spark, sf, "conversations").select((1000 + F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("body"), F.when(F.col("role") == "assistant", "majority").alias("opinion"))
-    return flat_map(own.unionByName(talk), lambda r: [{"id": r["id"], **reading.voice(r["body"] or "", r["opinion"])}], "id long, voice string, method string, cue string, endorsed boolean, needs_review boolean")
+    return flat_map(own.unionByName(talk), lambda r: [{"id": r["id"], **voice(r["body"] or "", r["opinion"])}], "id long, voice string, method string, cue string, endorsed boolean, needs_review boolean")
 
 
 @query("hierarchy_check")
 def hierarchy_check(spark, sf):
-    return flat_map(_passages(spark), lambda r: [{"id": r["id"], "status": reading.hierarchy(r["body"] or "", "Delhi High Court", 2)}], "id int, status string")
+    return flat_map(_passages(spark), lambda r: [{"id": r["id"], "status": hierarchy(r["body"] or "", "Delhi High Court", 2)}], "id int, status string")
 
 
 @query("treatment_classify")
 def treatment_classify(spark, sf):
     def rows(r):
-        for c in citations.extract(r["body"]):
-            yield {"id": r["id"], "normalized": c["normalized"], "treatment": reading.treatment(r["body"], (c["start"], c["end"]))}
+        for c in extract(r["body"]):
+            yield {"id": r["id"], "normalized": c["normalized"], "treatment": treatment(r["body"], (c["start"], c["end"]))}
 
     return flat_map(_passages(spark), rows, "id int, normalized string, treatment string")
 
 
 @query("weight_of_passage")
 def weight_of_passage(spark, sf):
-    return flat_map(_passages(spark), lambda r: [dict(zip(("id", "label", "method", "cue"), (r["id"], *reading.weight(r["body"] or ""))))], "id int, label string, method string, cue string")
+    return flat_map(_passages(spark), lambda r: [dict(zip(("id", "label", "method", "cue"), (r["id"], *weight(r["body"] or ""))))], "id int, label string, method string, cue string")
 
 
 @query("polarity_opposes")
@@ -324,7 +329,7 @@ def polarity_opposes(spark, sf):
     ], "id int, proposition string, sentence string")
 
     def rows(r):
-        found = reading.opposes(r["proposition"], r["sentence"])
+        found = opposes(r["proposition"], r["sentence"])
         yield {"id": r["id"], "kind": found["kind"] if found else None, "cue": found["cue"] if found else None}
 
     return flat_map(pairs, rows, "id int, kind string, cue string")
@@ -346,7 +351,7 @@ def quote_match(spark, sf):
     near = table(spark, sf, "documents").select("doc_id", "text").where("doc_id < 200")
 
     def rows(r):
-        q = text.find_quote(r["quote"], r["text"])
+        q = find_quote(r["quote"], r["text"])
         yield {"item_id": r["item_id"], "doc_id": r["doc_id"], "kind": q.kind, "start": q.start, "end": q.end}
 
     return flat_map(near.join(quotes, F.contains("text", F.substring("quote", 1, 40))), rows, "item_id long, doc_id long, kind string, start int, end int")
@@ -363,7 +368,7 @@ def html_to_text_clean(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", "\n").alias("text"))
 
     def rows(r):
-        body, gone = structure.clean_pages([r["text"]])
+        body, gone = clean_pages([r["text"]])
         yield {"page_id": r["page_id"], "n_chars": len(body), "removed": gone}
 
     return flat_map(pages, rows, "page_id long, n_chars int, removed int")
@@ -395,7 +400,7 @@ def planted_errors(spark, sf):
 @query("negate_sentences")
 def negate_sentences(spark, sf):
     rows = spark.createDataFrame([(1, "The notice is mandatory."), (2, "It cannot be waived."), (3, "So held.")], "id int, sentence string")
-    return flat_map(rows, lambda r: [{"id": r["id"], "denied": contrary.negate(r["sentence"])}], "id int, denied string")
+    return flat_map(rows, lambda r: [{"id": r["id"], "denied": negate(r["sentence"])}], "id int, denied string")
 
 
 _PLAN = "title: A v. B\n# synopsis\nThe tenant was never told.\n# issue Whether notice was good\n- The notice was not served on the tenant at all\n- A notice must be in writing to be good\n# prayer\nAllow the appeal.\n"

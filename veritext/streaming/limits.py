@@ -34,8 +34,8 @@ def limit(events: DataFrame, requests: int = REQUESTS, seconds: float = SECONDS)
     return group_map(events.select("client", "bucket", "ts"), ["client", "bucket"], ["ts"], rows, SCHEMA)
 
 
-def limit_stream(events: DataFrame, requests: int = REQUESTS, seconds: float = SECONDS) -> DataFrame:
-    """The same over a stream with event time ts; the state of a client is its window's start and count, dropped when silent."""
+def limit_stream(events: DataFrame, requests: int = REQUESTS, seconds: float = SECONDS, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream with event time ts, late by at most `late`; the state of a client is its window's start and count, dropped once the watermark is past the window."""
     import pandas as pd
 
     def update(key, batches: Iterator[pd.DataFrame], state):
@@ -46,10 +46,12 @@ def limit_stream(events: DataFrame, requests: int = REQUESTS, seconds: float = S
         held = pd.concat(list(batches)).sort_values("ts")
         places, start, used = decide([t.timestamp() for t in held["ts"]], start, used, requests, seconds)
         state.update((start, used))
-        state.setTimeoutDuration(int(seconds * 1000))
+        state.setTimeoutTimestamp(max(int((start + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "bucket": key[1], "ts": held["ts"].to_numpy(), "place": [p for p, _ in places], "allowed": [ok for _, ok in places]})
 
-    return events.groupBy("client", "bucket").applyInPandasWithState(update, SCHEMA, "start double, used int", "append", "ProcessingTimeTimeout")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)  # a watermark needs this kind of time
+    out = timed.groupBy("client", "bucket").applyInPandasWithState(update, SCHEMA.replace("timestamp_ntz", "timestamp"), "start double, used int", "append", "EventTimeTimeout")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def index_new_documents(stream: DataFrame, index_path: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text"):
