@@ -18,18 +18,32 @@ def inverted_index(docs: DataFrame, id_col: str, terms: Column, only: DataFrame
     return rows.groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def matched_terms(docs: DataFrame, id_col: str, terms: Column, wanted: DataFrame) -> DataFrame:
+    """id, len (all terms), hits (term, tf of wanted terms): what scoring needs of a text, dealt by id so that several steps share one pass.
+
+    wanted: one row with an array of terms."""
+    base = docs.select(F.col(id_col).alias("id"), terms.alias("terms")).join(F.broadcast(wanted), F.lit(True))
+    found = base.select("id", F.size("terms").alias("len"), F.filter("terms", lambda t: F.array_contains("wanted", t)).alias("found"))
+    hits = F.transform(F.array_distinct("found"), lambda t: F.struct(t.alias("term"), F.size(F.filter("found", lambda x: x == t)).alias("tf")))
+    return found.select("id", F.greatest("len", F.lit(0)).alias("len"), F.coalesce(hits, F.array().cast("array<struct<term:string,tf:int>>")).alias("hits")).repartition("id")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, top: int | None = 20, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B, variant: str = "plain") -> DataFrame:
     """query_id, id, score, rank: documents by BM25. queries: query_id, query.
 
     plain: stop words dropped, inverse frequency floored at 0. fts: all tokens, inverse frequency ln((N-n+.5)/(n+.5)) floored at a small positive value."""
     of = tokens if variant == "plain" else raw_tokens
     wanted = queries.select("query_id", F.explode(F.array_distinct(of(F.col("query")))).alias("term"))
-    post = inverted_index(docs, id_col, of(F.col(text_col)), wanted)
-    size = docs.select(F.size(of(F.col(text_col))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    freq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    held = matched_terms(docs, id_col, of(F.col(text_col)), wanted.agg(F.collect_set("term").alias("wanted")))
+    # One aggregate gives every term's document frequency, and under the null term the number and length of documents.
+    stats = held.select("id", "len", F.explode_outer(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("tf"))), "hits")).alias("h"))
+    stats = stats.groupBy(F.col("h.term").alias("term")).agg(F.count("id").alias("df"), F.sum("len").alias("total"))
+    whole = Window.partitionBy(F.lit(0))  # over a row a term
+    stats = stats.withColumn("n", F.max(F.when(F.col("term").isNull(), F.col("df"))).over(whole)).withColumn("avg_len", F.max(F.when(F.col("term").isNull(), F.col("total") / F.col("df"))).over(whole))
     odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.greatest(F.lit(0.0), F.log(1 + odds)) if variant == "plain" else F.greatest(F.lit(FTS_FLOOR), F.log(odds))
-    terms = wanted.join(freq, "term").join(F.broadcast(size), F.lit(True)).withColumn("idf", idf)  # size is one row
+    terms = wanted.join(stats, "term").withColumn("idf", idf)
+    post = held.select("id", "len", F.explode_outer("hits").alias("h")).select("id", "len", "h.term", "h.tf")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = post.join(terms, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")))
