@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritext.functions.lexicon import B, BENCH_WEIGHT, FIRST_YEAR, FTS_B, FTS_FLOOR, FTS_K1, FUSION_SCALE, K1, MAX_IDF, NEAR_WINDOW, RECENCY_WEIGHT, RRF_K
+from veritext.functions.lexicon import B, BENCH_WEIGHT, CANDIDATES, FIRST_YEAR, FTS_B, FTS_FLOOR, FTS_K1, FUSION_SCALE, K1, MAX_IDF, NEAR_WINDOW, RECENCY_WEIGHT, RRF_K
 from veritext.functions.text import raw_tokens, tokens
 
 
+#: Results that each ranker gives to fusion.
+POOL = CANDIDATES
+
+
 def inverted_index(docs: DataFrame, id_col: str, terms: Column, only: DataFrame | None = None) -> DataFrame:
     """Postings id, term, tf, len. only: a table of terms; others are dropped before the shuffle, their length counted."""
     base = docs.select(F.col(id_col).alias("id"), terms.alias("terms")).withColumn("len", F.size("terms"))
