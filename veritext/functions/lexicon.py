@@ -226,3 +226,46 @@ def cue(phrases, word: bool = False) -> str:
     """One case-blind pattern of phrases; word: whole words only."""
     body = "|".join(p.replace(" ", r"\s+") for p in phrases)
     return rf"(?i)\b(?:{body})\b" if word else f"(?i)(?:{body})"
+
+# Prefixes of High Court neutral citations, their court and seat. Prefixes that are not here still parse.
+HIGH_COURTS = """
+DHC: Delhi High Court
+KHC: Karnataka High Court, Bengaluru
+KHC-D: Karnataka High Court, Dharwad
+KHC-K: Karnataka High Court, Kalaburagi
+MHC: Madras High Court
+AHC: Allahabad High Court, Allahabad
+AHC-LKO: Allahabad High Court, Lucknow
+APHC: Andhra Pradesh High Court
+BHC-AS: Bombay High Court, Appellate Side
+BHC-OS: Bombay High Court, Original Side
+BHC-NAG: Bombay High Court, Nagpur
+BHC-AUG: Bombay High Court, Aurangabad
+BHC-GOA: Bombay High Court, Goa
+CGHC: Chhattisgarh High Court
+CHC: Calcutta High Court
+GAHC: Gauhati High Court
+GUJHC: Gujarat High Court
+HHC: Himachal Pradesh High Court
+JHHC: Jharkhand High Court
+JKLHC: High Court of Jammu and Kashmir and Ladakh
+KER: Kerala High Court
+MPHC-JBP: Madhya Pradesh High Court, Jabalpur
+MPHC-IND: Madhya Pradesh High Court, Indore
+MPHC-GWL: Madhya Pradesh High Court, Gwalior
+MEGHC: Meghalaya High Court
+MNHC: Manipur High Court
+OHC: Orissa High Court
+PHHC: Punjab and Haryana High Court
+PHC: Patna High Court
+RJ-JD: Rajasthan High Court, Jodhpur
+RJ-JP: Rajasthan High Court, Jaipur
+SHC: Sikkim High Court
+TSHC: Telangana High Court
+TRHC: Tripura High Court
+UHC: Uttarakhand High Court
+"""
+
+# Kinds of attack on a draft, gravest first, and the share of cited cases from which silence tells something.
+ATTACKS = ("unsupported", "distinguished", "contrary", "outranked", "narrowed", "thin")
+MIN_CITED_SHARE = 0.5

@@ -429,3 +429,66 @@ def verify_brief(spark, sf):
 def rate_limit_windows(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("client"), F.col("event_type").alias("bucket"), "ts")
     return limits.limit(e, requests=2, seconds=6 * 3600.0)
+
+
+@query("court_prefixes", "SELECT * FROM (VALUES ('DHC', 'Delhi High Court', NULL), ('KHC-D', 'Karnataka High Court', 'Dharwad'), ('XYZ', NULL, NULL)) t(prefix, court, seat)")
+def court_prefixes(spark, sf):
+    from veritext.operators.drafting import high_courts
+
+    return spark.createDataFrame([("DHC",), ("KHC-D",), ("XYZ",)], "prefix string").join(F.broadcast(high_courts(spark)), "prefix", "left")
+
+
+@query("self_attack", "SELECT * FROM (VALUES (1, 'unsupported', NULL, 1), (2, 'distinguished', 'C3', 1), (2, 'contrary', 'C3', 2), (2, 'outranked', 'B2', 3), (3, 'narrowed', 'B2', 1)) t(point, kind, against, place)")
+def self_attack(spark, sf):
+    from veritext.operators.drafting import attacks
+
+    points = spark.createDataFrame([(1, None, "unsupported"), (2, "A1", "bound"), (3, "B2", "narrowed")], "point int, case string, status string")
+    edges = spark.createDataFrame([("C3", "A1", "distinguished"), ("C3", "B2", "followed")], "citing string, cited string, treatment string")
+    cases = spark.createDataFrame([("A1", 2, "2001-01-01"), ("B2", 3, "1990-01-01"), ("C3", 2, "1999-01-01")], "case string, bench int, decided_on string")
+    field = spark.createDataFrame([(2, "A1"), (2, "B2"), (2, "C3")], "point int, case string")
+    return attacks(points, edges, cases, field, spark.createDataFrame([(2, "C3")], "point int, case string"))
+
+
+@query("opinion_counts", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role")
+def opinion_counts(spark, sf):
+    return table(spark, sf, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"))
+
+
+@query("last_turn", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
+def last_turn(spark, sf):
+    """The last paragraph of each group, as voice and disposition need it."""
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"))
+
+
+@query("lead_dedup", """
+SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) = 1) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1
+""")
+def lead_dedup(spark, sf):
+    """One lead a sentence, then one a judgment, best first."""
+    from veritext.operators.retrieval import first_of_group
+
+    d = table(spark, sf, "documents").select("source", "doc_id", "n_chars", "text")
+    best = (F.desc("n_chars"), F.col("doc_id"))
+    return first_of_group(first_of_group(d, "text", *best), "source", *best).select("source", "doc_id", "n_chars")
+
+
+@query("grade_steps", "SELECT s_suppkey, list_extract(['A', 'B', 'C', 'D', 'E', 'F'], CAST(greatest(least(s_suppkey % 6 + 2, 5), 3) + 1 AS INTEGER)) AS grade FROM supplier")
+def grade_steps(spark, sf):
+    """Two steps down, clamped, then a floor of D."""
+    letters = F.array(*[F.lit(g) for g in "ABCDEF"])
+    step = F.greatest(F.least(F.col("s_suppkey") % 6 + 2, F.lit(5)), F.lit(3))
+    return table(spark, sf, "supplier").select("s_suppkey", F.get(letters, step.cast("int")).alias("grade"))
+
+
+@query("pinpoint_covers", "SELECT l_orderkey, l_linenumber, l_linenumber BETWEEN 2 AND 4 AS covered FROM lineitem WHERE l_orderkey < 200")
+def pinpoint_covers(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_orderkey < 200")
+    return li.select("l_orderkey", "l_linenumber", verdict.covers(F.lit("2-4"), F.col("l_linenumber").cast("string")).alias("covered"))
+
+
+@query("year_window_join", "SELECT a.o_orderkey, count(*) AS n FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey AND year(b.o_orderdate) BETWEEN year(a.o_orderdate) - 1 AND year(a.o_orderdate) + 1 GROUP BY 1")
+def year_window_join(spark, sf):
+    """A band of a year each way as an equi-join: three copies of one side."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"))
+    left = o.select("o_orderkey", "o_custkey", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)).alias("y"))
+    return left.join(o.select("o_custkey", "y"), ["o_custkey", "y"]).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
