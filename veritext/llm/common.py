@@ -27,7 +27,7 @@ def scratch_root(spark: SparkSession) -> str:
     one where it is unset and the master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="veritext-")
         spark.conf.set("spark.checkpoint.dir", root)
