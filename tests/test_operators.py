@@ -23,6 +23,16 @@ def test_bm25(spark):
     assert retrieval.bm25(d.limit(0), asked(spark, "red"), 10).count() == 0
 
 
+def test_index_equals_scan(spark, tmp_path):
+    d = docs(spark, "red fox red", "red dog", "blue sea fox", "", None)
+    retrieval.write_index(d, str(tmp_path), buckets=4)
+    q = spark.createDataFrame([(0, "red fox"), (1, "sea"), (2, "nothing here")], "query_id int, query string")
+    key = lambda df: sorted((r.query_id, r.id, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert key(retrieval.search_index(spark, str(tmp_path), q, 10)) == key(retrieval.bm25(d, q, 10)) != []
+    plan = retrieval.search_index(spark, str(tmp_path), q, 10)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+
+
 def test_near_counts_all_tokens(spark):
     gap = " ".join(["x"] * 12)
     d = docs(spark, f"alpha {gap} beta", f"alpha {gap} x x beta", "beta alpha")

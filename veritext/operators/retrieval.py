@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritext.functions.lexicon import B, BENCH_WEIGHT, CANDIDATES, FIRST_YEAR, FTS_B, FTS_FLOOR, FTS_K1, FUSION_SCALE, K1, MAX_IDF, NEAR_WINDOW, RECENCY_WEIGHT, RRF_K
@@ -54,6 +54,29 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int | None = 20, id_col: str
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> None:
+    """An inverted index on disk: postings in folders by a hash of the term and sorted by term, and the corpus figures.
+
+    A search reads the folders of its terms only, and of those the row groups that hold them."""
+    post = inverted_index(docs, id_col, tokens(F.col(text_col))).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    post.repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    figures = docs.select(F.greatest(F.size(tokens(F.col(text_col))), F.lit(0)).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets"))
+    figures.write.mode("overwrite").parquet(f"{path}/figures")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, top: int = 20, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, id, score, rank: the same as bm25, from an index. The terms of the queries, a stated set, prune the read."""
+    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    figures = spark.read.parquet(f"{path}/figures").first()
+    asked = wanted.select("term", F.pmod(F.xxhash64("term"), F.lit(figures["buckets"])).cast("int").alias("bucket")).distinct().collect()
+    post = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin([r["bucket"] for r in asked]) & F.col("term").isin([r["term"] for r in asked]))
+    freq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.lit(0.0), F.log(1 + (figures["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (figures["avg_len"] or 1.0)))
+    scored = post.join(freq.join(wanted, "term"), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("rank") <= top)
+
+
 def bm25_fts(docs: DataFrame, queries: DataFrame, top: int | None = 20, **cols: str) -> DataFrame:
     return bm25(docs, queries, top, k1=FTS_K1, b=FTS_B, variant="fts", **cols)
 
