@@ -103,7 +103,9 @@ def deletions(docs: DataFrame, scratch: Scratch) -> DataFrame:
     outline = scratch.write(docs.where("id is not null").mapInArrow(_outline, "id long, lines array<binary>, chars array<int>"), "outline")
     held = outline.select("id", F.explode(F.array_distinct("lines")).alias("line")).where("line <> X''")
     owners = held.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
-    shared = held.join(owners.select("line", "first", "n"), "line").where("id <> first")
+    # Written first, so that the join deals both sides itself and a frequent line can be split.
+    owners = scratch.write(owners.select("line", "first", "n"), "owners")
+    shared = held.join(owners, "line").where("id <> first")
     pairs = shared.groupBy("first", "id").agg(F.min("n").alias("rarest"), F.count(F.lit(1)).alias("lines")).where(f"rarest <= {RARE} or lines >= 2")
     pairs = scratch.write(pairs.select("first", "id"), "pairs")
     later = outline.select("id", "lines", "chars")
