@@ -17,6 +17,8 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,12 @@ def seed_urls() -> list[tuple[str, int]]:
     return rows
 
 
+def seed_table(spark: SparkSession) -> DataFrame:
+    """The labelled urls as a table of constants."""
+    rows = json.dumps([{"url": u, "label": y} for u, y in seed_urls()])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<url:string,label:int>>")))
+
+
 def host_and_path(url_col: str) -> tuple[Column, Column]:
     pattern = "(?s)^.*?://([^/?#]*)([^?#]*)"
     url = F.coalesce(F.col(url_col), F.lit(""))
@@ -101,7 +109,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label") -
 def judge(pages: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """id, host, path, rule, verdict, score (the model's probability of block; null where a rule decides)."""
     spark = pages.sparkSession
-    labelled = spark.createDataFrame(seed_urls(), "url string, label int") if labelled is None else labelled
+    labelled = seed_table(spark) if labelled is None else labelled
     weights = train(labelled)
     host, path = host_and_path(url_col)
     named = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
