@@ -185,8 +185,10 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, report: DataFrame) -> tu
     """(id, tag, positions) of documents that have windows of an earlier one, and (id, tag) of whole copies, which it leaves out."""
     spark = docs.sparkSession
     # Whole copies lose every word to the first of them and can't be first anywhere else.
+    # Written first, so that the join deals both sides itself and a large group of copies can be split.
     firsts = report.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = scratch.write(report.select("id", "tag", "sha", "n_words").join(firsts.select("sha", "first"), "sha").where(f"id > first and n_words >= {WINDOW}").select("id", "tag", "n_words"), "copies")
+    firsts = scratch.write(firsts.select("sha", "first"), "firsts")
+    copies = scratch.write(report.select("id", "tag", "sha", "n_words").join(firsts, "sha").where(f"id > first and n_words >= {WINDOW}").select("id", "tag", "n_words"), "copies")
     rows = copies.select("id", "tag").toPandas() if copies.count() <= MAX_COPIES else None
     known = np.sort(_copy_keys(rows["id"].to_numpy(), rows["tag"].to_numpy())) if rows is not None and len(rows) else np.zeros(1, dtype=np.uint64)
     known = spark.sparkContext.broadcast(known)
