@@ -81,6 +81,8 @@ class WordHashes(dict):
 
 #: Longest word that hash_words handles in numpy; longer ones are hashed one by one.
 _LONG_WORD = 4096
+#: Bytes that hash_words works on at a time.
+_SLICE = 1 << 20
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,16 +102,34 @@ def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarr
 
     Words are separated as in WORD_RE. A word's hash sums, over its bytes, a
     random value of the byte times a random odd value of its place. lower: A-Z
-    count as a-z."""
+    count as a-z. Bytes are worked on in slices of about _SLICE that end after a
+    separator, so memory doesn't grow with the texts."""
     texts = [t or b"" for t in texts]
     flat = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    hashes, places, low = [], [], 0
+    while low < len(flat):
+        high = min(len(flat), low + _SLICE)
+        while high < len(flat) and _LETTER[flat[high - 1]]:
+            gaps = np.flatnonzero(_LETTER[flat[high : high + _LONG_WORD]] == 0)
+            high = high + int(gaps[0]) + 1 if len(gaps) else min(len(flat), high + _LONG_WORD)
+        h, at = _hash_slice(flat[low:high], lower)
+        hashes.append(h)
+        places.append(at + low)
+        low = high
+    at = np.concatenate(places)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.concatenate(hashes), np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
+
+
+def _hash_slice(flat: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the words of a slice that cuts no word."""
     value = (_LOW if lower else _LETTER)[flat]
     inside = value != 0
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     at = np.flatnonzero(start)
     if not len(at):
-        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+        return np.empty(0, dtype=np.uint64), at
     span = np.diff(np.append(at, len(flat)))
     place = np.arange(at[0], len(flat)) - np.repeat(at, span)
     value = value[at[0] :]
@@ -119,8 +139,7 @@ def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarr
         word = flat[at[k] : at[k] + span[k]].tobytes().split()[0]
         if len(word) > _LONG_WORD:
             hashes[k] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
+    return hashes, at
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

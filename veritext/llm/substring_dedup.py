@@ -207,7 +207,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, report: DataFrame) -> tu
     in_shared = Bitmap(spark, shared, "anchor").test()
 
     def candidates(batches):
-        for part in chunks(batches, 2, 8_000_000):
+        for part in chunks(batches, 2, 3_000_000):
             part = part.filter(pa.array(original(np.asarray(part.column(0)), np.asarray(part.column(1)))))
             ids, tags = np.asarray(part.column(0)), part.column(1)
             names, barrier, starts, ends = _laid_out(utf8(part.column(2)))
