@@ -2,7 +2,9 @@
 
 import pytest
 
-from veritext.operators import citator, corpus, resolve, retrieval, verdict
+from pyspark.sql import functions as F
+
+from veritext.operators import citator, contrary, corpus, drafting, resolve, retrieval, verdict
 from veritext.sources import readers, writers
 from veritext.streaming import limits
 
@@ -116,3 +118,31 @@ def test_plan():
         readers.plan("# issue A\nfew words")
     assert writers.roman(14) == "xiv" and writers.annotate("ab", [(1, "[x]"), (2, "[y]")]) == "a [x]b [y]"
     assert writers.markdown(writers.blocks(p, [{"proposition": "It is so.", "citation": None, "label": None}])).startswith("# X")
+
+
+def test_storing_twice_changes_nothing(spark):
+    d = spark.createDataFrame([("v1", "x" * 600), ("v2", None)], "version string, text string")
+    rows = corpus.text_versions(d)
+    assert {r.version: (r.char_count, r.has_judgment) for r in rows.collect()} == {"v1": (600, True), "v2": (0, False)}
+    once = corpus.replace_versions(rows.limit(0), rows)
+    assert sorted(map(tuple, corpus.replace_versions(once, rows).collect())) == sorted(map(tuple, rows.collect()))
+    bench = spark.createDataFrame([(2, ["A", "B", "C"]), (5, ["A"]), (None, None)], "b int, c array<string>").select(corpus.corrected_bench(F.col("b"), F.col("c")).alias("x"))
+    assert [r.x for r in bench.collect()] == [3, 5, 0]
+
+
+def test_dissents_and_pairs(spark):
+    p = spark.createDataFrame([("v", 1, "The notice was good."), ("v", 5, "I dissent. The tenancy notice was never served on the tenant."), ("v", 6, "Rain.")], "version string, seq int, body string")
+    o = spark.createDataFrame([("v", "majority", 1, 4), ("v", "dissenting", 5, 6)], "version string, kind string, seq_start int, seq_end int")
+    (row,) = contrary.dissents(p, o, "A tenancy notice must be served on the tenant").collect()
+    assert row.seq == 5 and row.sentence.startswith("The tenancy notice") and row.overlap == 4
+    out = spark.createDataFrame([("k", "1", "opposed", True), ("k", "1", "agreed", False), ("k", "2", "opposed", True)], "key string, label string, kind string, flagged boolean")
+    pairs = contrary.pair_outcomes(out)
+    assert tuple(verdict.flips(pairs).first()) == (1, 0, 0, 0)
+
+
+def test_attack_window_and_encoder(spark):
+    body = " ".join(f"Sentence number {k} about nothing much at all." for k in range(80)) + " The tenancy notice was bad. " + "More words here. " * 60
+    shown = drafting.window(body, "tenancy notice")
+    assert "tenancy notice" in shown and len(shown) == drafting.WINDOW_CHARS and drafting.window("short", "x") == "short"
+    v = drafting.encode(docs(spark, "aa", "", None), lambda texts: [[len(t), 0.0] for t in texts], "doc_id", "text")
+    assert sorted((r.doc_id, r.vector) for r in v.collect()) == [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [0.0, 0.0])]

@@ -123,3 +123,29 @@ def verify_brief(brief: DataFrame, aliases: DataFrame, cases: DataFrame, standin
     have = {"citation_id": F.col("citation_id"), "status": F.col("status"), "name_mismatch": F.col("mismatch"), "hierarchy": check("proposition", "court", "bench"), "treatment": F.col("treatment")}
     shaped = met.select("raw", "brief_id", *[have.get(n, F.lit(None)).cast(t).alias(n) for n, t in columns.items()])
     return shaped.select("raw", "citation_id").join(verdict.rubric(shaped), "citation_id")
+
+
+def dissents(paragraphs: DataFrame, opinions: DataFrame, proposition: str) -> DataFrame:
+    """version, seq, sentence, overlap: of each dissent the sentence nearest to a proposition, the first of equals.
+
+    paragraphs: version, seq, body; opinions: version, kind, seq_start, seq_end."""
+    wanted = distinctive(proposition)
+    own = opinions.where("kind = 'dissenting'").alias("o")
+    inside = (F.col("p.version") == F.col("o.version")) & F.col("p.seq").between(F.col("o.seq_start"), F.col("o.seq_end"))
+    rows = paragraphs.alias("p").join(own, inside).select("p.version", F.col("o.seq_start").alias("opinion"), "p.seq", "p.body")
+
+    def score(r):
+        for k, (line, _) in enumerate(sentences(r["body"] or "")):
+            n = len(wanted & distinctive(line))
+            if n:
+                yield {"version": r["version"], "opinion": r["opinion"], "seq": r["seq"], "at": k, "sentence": line, "overlap": n}
+
+    found = flat_map(rows, score, "version string, opinion int, seq int, at int, sentence string, overlap int")
+    best = found.groupBy("version", "opinion").agg(F.max_by(F.struct("seq", "sentence", "overlap"), F.struct("overlap", -F.col("seq"), -F.col("at"))).alias("b"))
+    return best.select("version", "b.seq", "b.sentence", "b.overlap")
+
+
+def pair_outcomes(outcomes: DataFrame) -> DataFrame:
+    """key, label, opposed, agreed: the two forms of each holding side by side. outcomes: key, label, kind (opposed or agreed), flagged."""
+    a, b = (outcomes.where(F.col("kind") == k).select("key", "label", F.col("flagged").alias(k)) for k in ("opposed", "agreed"))
+    return a.join(b, ["key", "label"])

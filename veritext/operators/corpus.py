@@ -174,3 +174,19 @@ def check_pinpoint(claims: DataFrame, paragraphs: DataFrame) -> DataFrame:
     met = asked.join(labels, "version", "left").groupBy("claim_id", "pinpoint", "low", "high").agg(F.max(F.coalesce((c("label") == c("pinpoint")) | c("value").between(c("low"), c("high")), F.lit(False))).alias("hit"), F.max("value").alias("top"), F.count("label").alias("n"))
     state = F.when(c("pinpoint").isNull(), "none_claimed").when(c("hit"), "ok").when((c("n") > 0) & (c("low") > c("top")), "out_of_range").otherwise("not_in_judgment")
     return met.select("claim_id", state.alias("result"))
+
+
+def text_versions(documents: DataFrame, key: str = "version", text: str = "text") -> DataFrame:
+    """version, sha256, char_count, and whether enough text for a judgment is there."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return documents.select(F.col(key).alias("version"), F.sha2(body, 256).alias("sha256"), F.length(body).alias("char_count"), (F.length(body) > 500).alias("has_judgment"))
+
+
+def replace_versions(held: DataFrame, new: DataFrame, key: str = "version") -> DataFrame:
+    """What is held, with the rows of versions that come anew replaced: storing twice changes nothing."""
+    return held.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def corrected_bench(recorded: Column, coram: Column) -> Column:
+    """The printed bench line corrects the recorded strength upward only."""
+    return F.greatest(F.coalesce(recorded, F.lit(0)), F.coalesce(F.size(coram), F.lit(0)))
