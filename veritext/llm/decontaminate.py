@@ -23,6 +23,8 @@ give no hits; other columns are not read.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +38,7 @@ _EDGES = "\"'`.,;:!?()[]{}<>*&$#%|~_=+-/\\“”‘’«»"
 #: Unit words and symbols.
 UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons l ml liter liters litre litres gallon gallons s sec ms min h hr second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur percent degree degrees mph kph kmh hz khz mhz ghz kb mb gb tb w kw v volt volts watt watts".split())
 _NUM, _UNIT, _CAPITAL, _STOP = 1, 2, 4, 8
+_DIGIT = re.compile(r"\d")
 
 
 class Tokens(dict):
@@ -48,16 +51,21 @@ class Tokens(dict):
         value = 0
         if bare:
             low = bare.lower()
-            flags = _NUM if any(c.isdigit() for c in bare) else _UNIT if low in UNITS else _CAPITAL if bare[0].isupper() and low != bare and bare[1:] == low[1:] else 0
-            value = (xxhash.xxh3_64_intdigest(low) & ~15) | flags
-        if word[-1:] in ".!?:":
+            value = xxhash.xxh3_64_intdigest(low) & ~15
+            if not bare.isalpha() and _DIGIT.search(bare):
+                value |= _NUM
+            elif low in UNITS:
+                value |= _UNIT
+            elif low != bare and bare[0] != low[0] and bare[1:] == low[1:]:
+                value |= _CAPITAL
+        if word[-1] in ".!?:":
             value |= _STOP
         self[word] = value
         return value
 
 
-def template(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Template token hashes, whether each is a placeholder, and the words."""
+def template(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Template token hashes, whether each is a placeholder, all words, and the word of each token."""
     lines = [line.split() for line in (text or "").split("\n")]
     words = [w for line in lines for w in line]
     raw = np.fromiter(map(tokens.__getitem__, words), dtype=np.uint64, count=len(words))
@@ -69,7 +77,7 @@ def template(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray,
     name = ((raw & np.uint64(_CAPITAL)) > 0) & ~start
     kind = np.where(raw & np.uint64(_NUM), 1, np.where(raw & np.uint64(_UNIT), 2, np.where(name, 3, 0)))
     out = np.where(kind > 0, kind.astype(np.uint64), raw & ~np.uint64(15))[real]
-    return out, (kind > 0)[real], [w for w, r in zip(words, real.tolist()) if r]
+    return out, (kind > 0)[real], words, np.flatnonzero(real)
 
 
 def windows(names: np.ndarray, slots: np.ndarray, size: int) -> np.ndarray:
@@ -84,8 +92,8 @@ def windows(names: np.ndarray, slots: np.ndarray, size: int) -> np.ndarray:
     return np.where(literal[size:] - literal[:-size] >= MIN_LITERALS, mix(total) | np.uint64(1), np.uint64(0))
 
 
-def _values(words: list[str], slots: np.ndarray, at: int, size: int) -> list[str]:
-    return [words[k].strip(_EDGES).lower() for k in range(at, at + size) if slots[k]]
+def _values(words: list[str], places: np.ndarray, slots: np.ndarray, at: int, size: int) -> list[str]:
+    return [words[places[k]].strip(_EDGES).lower() for k in range(at, at + size) if slots[k]]
 
 
 def _item_windows(batches):
@@ -93,10 +101,10 @@ def _item_windows(batches):
     for batch in batches:
         rows = []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            names, slots, words = template(text, tokens)
+            names, slots, words, where = template(text, tokens)
             size = min(WINDOW, len(names))
             h = windows(names, slots, size) if size >= MIN_LITERALS else []
-            rows += [(item, len(names), p, size, int(np.int64(np.uint64(x).view(np.int64))), _values(words, slots, p, size)) for p, x in enumerate(h) if x]
+            rows += [(item, len(names), p, size, int(np.int64(np.uint64(x).view(np.int64))), _values(words, where, slots, p, size)) for p, x in enumerate(h) if x]
         cols = list(zip(*rows)) or [[]] * 6
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["item", "tokens", "at", "size", "hash", "values"])
@@ -133,7 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for batch in chunks(batches, 2):
             n_tokens, hashes, places, lengths, values = [], [], [], [], []
             for text in batch.column(2).to_pylist():
-                names, slots, words = template(text, tokens)
+                names, slots, words, where = template(text, tokens)
                 n_tokens.append(len(names))
                 h, p, s, v = [], [], [], []
                 for size in sizes:
@@ -142,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         h.append(own[at])
                         p.append(at)
                         s.append(size)
-                        v.append(_values(words, slots, at, size))
+                        v.append(_values(words, where, slots, at, size))
                 hashes.append(signed(np.array(h, dtype=np.uint64)))
                 places.append(np.array(p, dtype=np.int64))
                 values.append(v)
