@@ -178,4 +178,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tag")
+    """doc_id, n_tokens, contaminated, kept, coverage and the items found (joined by commas), per document."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_tokens", "contaminated", (~F.col("contaminated")).alias("kept"), "coverage", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("items"))
