@@ -132,14 +132,14 @@ def out_of_sequence(paragraphs: DataFrame) -> DataFrame:
 
 
 def judgment_parts(documents: DataFrame, key: str = "version", text: str = "text") -> DataFrame:
-    """version, headnote, judgment, trailer, coram of each document's pages (form feeds between pages)."""
+    """version, headnote, judgment, trailer, coram, author of each document's pages (form feeds between pages)."""
     def split(r):
         body, _ = structure.clean_pages((r["text"] or "").split("\f"))
         head, rest = structure.split_headnote(body)
         rest, tail = structure.split_trailer(rest)
-        yield {"version": r["version"], "headnote": head, "judgment": rest, "trailer": tail, "coram": structure.coram(body)}
+        yield {"version": r["version"], "headnote": head, "judgment": rest, "trailer": tail, "coram": structure.coram(body), "author": structure.author(rest)}
 
-    return flat_map(documents.select(F.col(key).cast("string").alias("version"), F.col(text).alias("text")), split, "version string, headnote string, judgment string, trailer string, coram array<string>")
+    return flat_map(documents.select(F.col(key).cast("string").alias("version"), F.col(text).alias("text")), split, "version string, headnote string, judgment string, trailer string, coram array<string>, author string")
 
 
 def separate_opinions(paragraphs: DataFrame) -> DataFrame:
@@ -154,9 +154,9 @@ def separate_opinions(paragraphs: DataFrame) -> DataFrame:
 
 
 def strip_signoff(paragraphs: DataFrame) -> DataFrame:
-    """The last paragraph of each version without its sign-off line; others as they are."""
+    """The last paragraph of each version without the publisher's sign-off at its foot; others as they are."""
     last = F.col("seq") == F.max("seq").over(Window.partitionBy("version"))
-    bare = F.regexp_replace("body", r"(?:\n\s*(?:Sd/-.*|\.{3,}.*|New Delhi[;,.]?.*|[A-Z][a-z]+ \d{1,2}, \d{4}\.?)\s*)+$", "")
+    bare = F.regexp_replace("body", structure.SIGNOFF, "")
     return paragraphs.withColumn("body", F.when(last, bare).otherwise(F.col("body")))
 
 

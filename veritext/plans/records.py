@@ -387,9 +387,9 @@ def separate_opinions(spark, sf):
     return corpus.separate_opinions(corpus.paragraphs_of(spark.createDataFrame([("v1", _JUDGMENT)], "version string, text string")))
 
 
-@query("strip_signoffs")
+@query("strip_signoffs", "SELECT * FROM (VALUES ('v1', 1, 'Reasons.'), ('v1', 2, 'The appeal is allowed.')) t(version, seq, body)")
 def strip_signoffs(spark, sf):
-    return corpus.strip_signoff(spark.createDataFrame([("v1", 1, "Reasons."), ("v1", 2, "Dismissed.\nSd/- A. Judge\nNew Delhi;\nMay 3, 2019.")], "version string, seq int, body string"))
+    return corpus.strip_signoff(spark.createDataFrame([("v1", 1, "Reasons."), ("v1", 2, "The appeal is allowed.\nDivya Pandey Appeal allowed.\n(Assisted by : D. Panwar)")], "version string, seq int, body string"))
 
 
 @query("planted_errors")
