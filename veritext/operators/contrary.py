@@ -38,18 +38,23 @@ def find_contrary(paragraphs: DataFrame, proposition: str, top: int = TOP, id_co
     return once.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).where(F.col("place") <= top)
 
 
-# Rewrites that turn a holding into its denial, first hit only, and back.
-NEGATIONS = (
-    ("is not ", "is "), ("are not ", "are "), ("was not ", "was "), ("cannot ", "can "), ("shall not ", "shall "), ("must not ", "must "), ("does not ", "does "), ("do not ", "do "),
-    (" is ", " is not "), (" are ", " are not "), (" was ", " was not "), (" were ", " were not "), (" can ", " cannot "), (" shall ", " shall not "), (" must ", " must not "), (" may ", " may not "), (" has ", " has not "), (" have ", " have not "), (" will ", " will not "),
+# Denials and what undoes them, then assertions and what denies them; the first that fits is applied once.
+DENIED = (
+    ("cannot", "can"), ("is not", "is"), ("are not", "are"), ("was not", "was"), ("were not", "were"), ("does not", "does"), ("do not", "do"), ("did not", "did"), ("shall not", "shall"), ("will not", "will"),
+    ("may not", "may"), ("must not", "must"), ("need not", "must"), ("has not", "has"), ("have not", "have"), ("had not", "had"), ("no longer", "still"), ("has no", "has"), ("have no", "have"), ("had no", "had"),
+)
+ASSERTED = (
+    ("cannot", "can"), ("can", "cannot"), ("is", "is not"), ("are", "are not"), ("was", "was not"), ("were", "were not"), ("shall", "shall not"), ("must", "need not"), ("may", "may not"), ("would", "would not"),
+    ("has to", "does not have to"), ("have to", "do not have to"), ("does", "does not"), ("do", "do not"),
 )
 
 
 def negate(sentence: str) -> str | None:
-    """The sentence with its first rewritable verb denied or affirmed; None if no rule fits."""
-    for old, new in NEGATIONS:
-        if old in sentence:
-            return sentence.replace(old, new, 1)
+    """The sentence saying the opposite by its first rewritable verb; None if no rule fits."""
+    for old, new in DENIED + ASSERTED:
+        out, n = re.subn(rf"(?i)\b{old}\b", new, sentence, count=1)
+        if n:
+            return out
     return None
 
 

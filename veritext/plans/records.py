@@ -397,7 +397,7 @@ def planted_errors(spark, sf):
     return contrary.plant(spark.createDataFrame([(1, _BRIEF, "(2019) 4 SCC 1", "AIR 1973 SC 1461")], "id int, sentence string, citation string, other_citation string"))
 
 
-@query("negate_sentences")
+@query("negate_sentences", "SELECT * FROM (VALUES (1, 'The notice is not mandatory.'), (2, 'It can be waived.'), (3, NULL)) t(id, denied)")
 def negate_sentences(spark, sf):
     rows = spark.createDataFrame([(1, "The notice is mandatory."), (2, "It cannot be waived."), (3, "So held.")], "id int, sentence string")
     return flat_map(rows, lambda r: [{"id": r["id"], "denied": negate(r["sentence"])}], "id int, denied string")
