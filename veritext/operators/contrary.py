@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from veritext.functions.citations import extract
 from veritext.functions.kernels import flat_map
+from veritext.functions.lexicon import KEPT_WORDS, QUALIFIERS, cue
 from veritext.functions.reading import contrary_queries, distinctive, hierarchy, opposes
 from veritext.functions.text import folded, sentence_at, sentences, shared_run, truncation
 from veritext.operators import resolve, retrieval, verdict
 
 FIELD, TOP, LONGEST_SENTENCE = 150, 5, 120
+_QUALIFIER = re.compile(cue(QUALIFIERS, word=True))
 
 
 def find_contrary(paragraphs: DataFrame, proposition: str, top: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,9 +67,9 @@ def plant(items: DataFrame) -> DataFrame:
         yield {"id": r["id"], "mode": None, "claim": f"{said}: {cite}.", "citation": cite}
         yield {"id": r["id"], "mode": 1, "claim": f"{said}: {_shift(cite, 7)}.", "citation": _shift(cite, 7)}
         yield {"id": r["id"], "mode": 2, "claim": f"{said}: {r['other_citation']}.", "citation": r["other_citation"]}
-        cut = re.search(r"(?i)\b(?:unless|provided that|subject to|only where)\b", said)
-        if cut and len(said[: cut.start()].split()) >= 8:
-            kept = said[: cut.start()].rstrip(" ,")
+        cut = next((m.start() for m in _QUALIFIER.finditer(said) if len(said[: m.start()].split()) >= KEPT_WORDS), None)
+        if cut is not None:
+            kept = said[:cut].rstrip(" ,")
             yield {"id": r["id"], "mode": 9, "claim": f"{kept}: {cite}.", "citation": cite}
         yield {"id": r["id"], "mode": 12, "claim": f"{said}: {cite}, para 999.", "citation": cite}
 

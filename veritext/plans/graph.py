@@ -197,14 +197,14 @@ def fuzzy_party_match(spark, sf):
     return resolve.by_parties(names, titles)
 
 
-@query("supra_resolve")
+@query("supra_resolve", "SELECT 'd1' AS citing, 3 AS seq, 'Kasturi' AS name, 'A1' AS cited")
 def supra_resolve(spark, sf):
     body = spark.createDataFrame([("d1", 3, "As held in Kasturi (supra), the rule applies."), ("d1", 4, "In Unknown Person (supra) nothing was said.")], "citing string, seq int, body string")
     cited = spark.createDataFrame([("d1", "A1", "Kasturi v. Iyyamperumal"), ("d1", "B2", "State of Kerala v. Rao")], "citing string, cited string, title string")
     return citator.supra_references(body, cited)
 
 
-@query("edges_from_text")
+@query("edges_from_text", "SELECT * FROM (VALUES ('Z9', 'A1', 'followed', 1), ('Z9', 'B2', 'overruled', 2), ('Z9', 'B2', 'referred', 3)) t(citing, cited, treatment, seq)")
 def edges_from_text(spark, sf):
     body = spark.createDataFrame([("Z9", 1, "We respectfully follow the law in A v. B, (2019) 4 SCC 1."), ("Z9", 2, "B v. C, AIR 1973 SC 1461 is hereby overruled."), ("Z9", 3, "“B v. C, AIR 1973 SC 1461 is hereby overruled.”")], "citing string, seq int, body string")
     return citator.citation_edges(body, _alias_table(spark))

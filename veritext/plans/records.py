@@ -32,6 +32,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _golden(columns: str, rows: list[tuple]) -> str:
+    """Results written out by hand, as SQL."""
+    return f"SELECT * FROM ({_values(rows)}) t({columns})"
+
+
 # ---- corpus statistics and upkeep
 
 
@@ -289,7 +294,7 @@ def _passages(spark) -> DataFrame:
     return spark.createDataFrame(_PASSAGES, "id int, body string, opinion string")
 
 
-@query("citation_extract")
+@query("citation_extract", _golden("id, reporter, raw, start, \"end\", normalized, year, pinpoint_kind, pinpoint, parties", [(1, 'SCC', '(2005) 6 SCC 733', 40, 56, 'SCC:2005:6:733', 2005, 'para', '8.2', 'Kasturi v. Iyyamperumal'), (1, 'AIR', 'AIR 2019 SUPREME COURT 1234', 72, 99, 'AIR:SC:2019:1234', 2019, None, None, None), (2, 'NC', '2023:DHC:2073-DB', 55, 71, 'NC:DHC:2023:2073-DB', 2023, None, None, None), (4, 'SCCONLINE', '2026 SCC OnLine SC 1258', 39, 62, 'SCCONLINE:SC:2026:1258', 2026, None, None, None)]))
 def citation_extract(spark, sf):
     return flat_map(_passages(spark), lambda r: ({"id": r["id"], **c} for c in extract(r["body"])), f"id int, {CITATION}")
 
@@ -301,12 +306,12 @@ def voice_last_cue(spark, sf):
     return flat_map(own.unionByName(talk), lambda r: [{"id": r["id"], **voice(r["body"] or "", r["opinion"])}], "id long, voice string, method string, cue string, endorsed boolean, needs_review boolean")
 
 
-@query("hierarchy_check")
+@query("hierarchy_check", _golden("id, status", [(1, 'not_assessed'), (2, 'wrong_court'), (3, 'not_assessed'), (4, 'overstated_bench'), (5, 'not_assessed'), (6, 'not_assessed')]))
 def hierarchy_check(spark, sf):
     return flat_map(_passages(spark), lambda r: [{"id": r["id"], "status": hierarchy(r["body"] or "", "Delhi High Court", 2)}], "id int, status string")
 
 
-@query("treatment_classify")
+@query("treatment_classify", _golden("id, normalized, treatment", [(1, 'SCC:2005:6:733', 'relied_on'), (1, 'AIR:SC:2019:1234', 'relied_on'), (2, 'NC:DHC:2023:2073-DB', 'referred'), (4, 'SCCONLINE:SC:2026:1258', 'overruled')]))
 def treatment_classify(spark, sf):
     def rows(r):
         for c in extract(r["body"]):
@@ -320,7 +325,7 @@ def weight_of_passage(spark, sf):
     return flat_map(_passages(spark), lambda r: [dict(zip(("id", "label", "method", "cue"), (r["id"], *weight(r["body"] or ""))))], "id int, label string, method string, cue string")
 
 
-@query("polarity_opposes")
+@query("polarity_opposes", _golden("id, kind, cue", [(1, 'antonym', 'directory'), (2, 'negation', 'not'), (3, None, None)]))
 def polarity_opposes(spark, sf):
     pairs = spark.createDataFrame([
         (1, "The notice under section 80 is mandatory for a suit against government", "The notice under section 80 is directory for a suit against government alone"),
@@ -338,7 +343,7 @@ def polarity_opposes(spark, sf):
 _BRIEF = "A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties."
 
 
-@query("truncation_scan")
+@query("truncation_scan", _golden("claim_id, label, kept, dropped, qualifier", [(1, '1', 'a tenancy ends only where notice is given in writing to the tenant by the', 'landlord, unless the tenant waives it by conduct known to both parties.', 'unless')]))
 def truncation_scan(spark, sf):
     passages = spark.createDataFrame([("v1", 1, "1", _BRIEF), ("v1", 2, "2", "Another thing.")], "version string, seq int, label string, body string")
     claims = spark.createDataFrame([(1, "v1", "The court said a tenancy ends only where notice is given in writing to the tenant by the landlord."), (2, "v1", _BRIEF)], "claim_id int, version string, claim string")
@@ -382,7 +387,7 @@ def judgment_parts(spark, sf):
     return corpus.judgment_parts(spark.createDataFrame([("v1", _JUDGMENT)], "version string, text string"))
 
 
-@query("separate_opinions")
+@query("separate_opinions", _golden("version, kind, seq_start, seq_end", [('v1', 'majority', 1, 9), ('v1', 'dissenting', 10, 11)]))
 def separate_opinions(spark, sf):
     return corpus.separate_opinions(corpus.paragraphs_of(spark.createDataFrame([("v1", _JUDGMENT)], "version string, text string")))
 
@@ -392,7 +397,7 @@ def strip_signoffs(spark, sf):
     return corpus.strip_signoff(spark.createDataFrame([("v1", 1, "Reasons."), ("v1", 2, "The appeal is allowed.\nDivya Pandey Appeal allowed.\n(Assisted by : D. Panwar)")], "version string, seq int, body string"))
 
 
-@query("planted_errors")
+@query("planted_errors", _golden("id, mode, claim, citation", [(1, None, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 1.', '(2019) 4 SCC 1'), (1, 1, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 8.', '(2019) 4 SCC 8'), (1, 2, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: AIR 1973 SC 1461.', 'AIR 1973 SC 1461'), (1, 9, 'A tenancy ends only where notice is given in writing to the tenant by the landlord: (2019) 4 SCC 1.', '(2019) 4 SCC 1'), (1, 12, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 1, para 999.', '(2019) 4 SCC 1')]))
 def planted_errors(spark, sf):
     return contrary.plant(spark.createDataFrame([(1, _BRIEF, "(2019) 4 SCC 1", "AIR 1973 SC 1461")], "id int, sentence string, citation string, other_citation string"))
 
@@ -406,7 +411,7 @@ def negate_sentences(spark, sf):
 _PLAN = "title: A v. B\n# synopsis\nThe tenant was never told.\n# issue Whether notice was good\n- The notice was not served on the tenant at all\n- A notice must be in writing to be good\n# prayer\nAllow the appeal.\n"
 
 
-@query("plan_parse")
+@query("plan_parse", _golden("issue, title, place, proposition", [(1, 'Whether notice was good', 1, 'The notice was not served on the tenant at all'), (1, 'Whether notice was good', 2, 'A notice must be in writing to be good')]))
 def plan_parse(spark, sf):
     return readers.plan_rows(spark, _PLAN)
 
@@ -417,7 +422,7 @@ def draft_document(spark, sf):
     return spark.createDataFrame([(k, *b) for k, b in enumerate(writers.blocks(readers.plan(_PLAN), points))], "place int, kind string, text string")
 
 
-@query("verify_brief")
+@query("verify_brief", _golden("citation_id, raw, grade, modes, needs_review, support", [(1, '(2005) 6 SCC 733', 'D', '3', False, 'not_assessed'), (2, 'AIR 1973 SC 1461', 'D', '10', False, 'not_assessed'), (3, '(1999) 1 SCC 1', 'F', '1', True, 'not_assessed')]))
 def verify_brief(spark, sf):
     brief = spark.createDataFrame([(1, "The Supreme Court has held so in Kasturi v. Iyyamperumal, (2005) 6 SCC 733. It was followed in AIR 1973 SC 1461. See also (1999) 1 SCC 1.")], "brief_id int, text string")
     aliases = spark.createDataFrame([("SCC:2005:6:733", "K1"), ("AIR:SC:1973:1461", "B2")], "normalized string, case string")
