@@ -397,9 +397,10 @@ def strip_signoffs(spark, sf):
     return corpus.strip_signoff(spark.createDataFrame([("v1", 1, "Reasons."), ("v1", 2, "The appeal is allowed.\nDivya Pandey Appeal allowed.\n(Assisted by : D. Panwar)")], "version string, seq int, body string"))
 
 
-@query("planted_errors", _golden("id, mode, claim, citation", [(1, None, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 1.', '(2019) 4 SCC 1'), (1, 1, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 8.', '(2019) 4 SCC 8'), (1, 2, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: AIR 1973 SC 1461.', 'AIR 1973 SC 1461'), (1, 9, 'A tenancy ends only where notice is given in writing to the tenant by the landlord: (2019) 4 SCC 1.', '(2019) 4 SCC 1'), (1, 12, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 1, para 999.', '(2019) 4 SCC 1')]))
+@query("planted_errors", _golden("id, mode, claim, citation", [(1, 0, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 1.', '(2019) 4 SCC 1'), (1, 1, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 8.', '(2019) 4 SCC 8'), (1, 2, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: AIR 1973 SC 1461.', 'AIR 1973 SC 1461'), (1, 9, 'A tenancy ends only where notice is given in writing to the tenant by the landlord: (2019) 4 SCC 1.', '(2019) 4 SCC 1'), (1, 12, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 1, para 999.', '(2019) 4 SCC 1')]))
 def planted_errors(spark, sf):
-    return contrary.plant(spark.createDataFrame([(1, _BRIEF, "(2019) 4 SCC 1", "AIR 1973 SC 1461")], "id int, sentence string, citation string, other_citation string"))
+    items = spark.createDataFrame([(1, _BRIEF, "(2019) 4 SCC 1", "AIR 1973 SC 1461")], "id int, sentence string, citation string, other_citation string")
+    return contrary.plant(items).withColumn("mode", F.coalesce("mode", F.lit(0)))  # 0: clean
 
 
 @query("negate_sentences", "SELECT * FROM (VALUES (1, 'The notice is not mandatory.'), (2, 'It can be waived.'), (3, NULL)) t(id, denied)")
