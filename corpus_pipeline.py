@@ -30,7 +30,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines that earlier ones have; those left without text go. n_chars is counted anew."""
-    out = dedup_lines(docs.select(*COLUMNS)).where("_n_removed = 0 or trim(text) <> ''")
+    out = dedup_lines(docs.select(*COLUMNS), unaligned=True).where("_n_removed = 0 or trim(text) <> ''")
     return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

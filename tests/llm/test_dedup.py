@@ -241,6 +241,38 @@ def test_frequent_line_alone_pairs_nobody(spark, monkeypatch):
     assert all(r._n_removed == 0 for r in line_dedup.dedup_lines(table(spark, rows)).collect())
 
 
+def test_frequent_line_goes_at_any_frequency(spark):
+    common = "A licence line that very many documents carry at their end."
+    rows = [(i, f"Something of its own in document {i} and no other.\n{common}") for i in range(150)]
+    assert sum(r._n_removed for r in line_dedup.dedup_lines(table(spark, rows)).collect()) == 149
+
+
+def shared_blocks(rows):
+    """Lines of every block of MIN_CHARS or more that an earlier document has too, by trying all blocks; blank edges don't count."""
+    lines = {i: [x.strip() for x in (t or "").split("\n")] for i, t in sorted(r for r in rows if r[0] is not None)}
+    seen, out = set(), {}
+    for i, ls in lines.items():
+        blocks = [(s, e) for s in range(len(ls)) for e in range(s, len(ls)) if ls[s] and ls[e] and sum(map(len, ls[s : e + 1])) >= line_dedup.MIN_CHARS]
+        out[i] = {k for s, e in blocks if tuple(ls[s : e + 1]) in seen for k in range(s, e + 1)}
+        seen |= {tuple(ls[s : e + 1]) for s, e in blocks}
+    return out
+
+
+def test_lines_outside_the_alignment(spark):
+    a, b = "First long line that is shared by some of the documents.", "Second long line that is shared by some of the documents."
+    rows = [(0, f"{a}\n{b}"), (1, f"{b}\n{a}\n{a}"), (2, "red apples grow"), (3, "blue plums fall"), (4, "red apples grow\n\nblue plums fall\nupon the grass"), (5, "own\nred apples grow\n\nblue plums fall\nupon the grass\nend"), (6, "red apples grow\nblue plums fall\nupon the grass")]
+    rng = random.Random(9)
+    pool = [f"pooled {k} " + "x" * rng.randrange(50) for k in range(12)] + ["", "short"]
+    rows += [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(10, 60)] + [(60, None), (61, "")]
+    want = shared_blocks(rows)
+    assert want[1] == {0, 1, 2} and want[5] == {1, 2, 3, 4} and not want[6]
+    for r in line_dedup.dedup_lines(table(spark, rows), unaligned=True).collect():
+        kept, lines = (r.text or "").split("\n"), (dict(rows)[r.doc_id] or "").split("\n")
+        left = [x for k, x in enumerate(lines) if k not in want[r.doc_id]]
+        # An aligned block takes the blank lines at its edges along.
+        assert [x for x in kept if x] == [x for x in left if x] and len(kept) <= max(len(left), 1)
+
+
 def test_patience():
     a, b = [b"x", b"a", b"b", b"c", b"y", b"d"], [b"q", b"a", b"b", b"c", b"d"]
     assert line_dedup.patience_blocks(a, b) == [(1, 1, 3), (5, 4, 1)]

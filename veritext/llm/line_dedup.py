@@ -4,8 +4,9 @@ Lines are compared without surrounding white space, by a 128-bit hash; blank
 lines never match. Each line that several documents hold proposes one pair for
 each later document: that document and the line's first document. So a line of
 any frequency costs one proposal an occurrence, and copies of one document pair
-with its first copy only. A pair stands if it shares a rare line (held by at
-most RARE documents) or at least two lines; a frequent line alone pairs nobody.
+with its first copy only. Every pair stands, however many documents hold its
+line, so a corpus that grows keeps no line that a smaller one loses. (RARE sets
+a limit for a pair of one line; there is none unless a caller sets it.)
 
 Standing pairs are aligned by patience diff: lines that are unique in both
 documents anchor the alignment in their longest common order, and equal
@@ -13,6 +14,13 @@ neighbours extend each anchor to a block. Blocks of at least MIN_CHARS
 characters are deleted from the later document. The first document to hold a
 line keeps it, so no text vanishes altogether.
 
+Alignment with first holders leaves lines that repeat in a document, that stand
+in another order, or whose block has no first holder in common. With
+`unaligned`, which the query and the pipeline set, these go a second way: every
+least run of consecutive lines with MIN_CHARS characters, from each line on and
+up to each line, is hashed, and goes from every document but the first that has
+it. Such runs cover each line of each block of MIN_CHARS that two documents share.
+
 Defined results: null or empty text has no lines and stays as it is; equal ids
 are one document, their rows are never compared, and each is rewritten by what
 all of them share with earlier ones; a null id is never compared; ties of the
@@ -32,7 +40,8 @@ from pyspark.sql import functions as F
 
 from veritext.llm.common import Bitmap, Scratch, chunks, id_keys, long_lists, table
 
-RARE = 100
+#: Documents that may hold the only line of a pair: any number.
+RARE = 2**63 - 1
 MIN_CHARS = 40
 
 
@@ -98,8 +107,44 @@ def doomed_lines(old: list[bytes], new: list[bytes], chars: list[int], min_chars
     return out
 
 
-def deletions(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, doomed): indexes of the lines to delete from each later document of a pair. docs: id, text."""
+def least_runs(chars: list[int], min_chars: int = MIN_CHARS) -> list[tuple[int, int]]:
+    """First and last line of the least runs of at least min_chars characters, from each line on and up to each line; they don't start or end blank."""
+    upto = np.cumsum(np.array(chars, dtype=np.int64))
+    before = upto - chars
+    lines = np.flatnonzero(np.array(chars, dtype=np.int64))
+    ends = np.searchsorted(upto, before[lines] + min_chars)
+    starts = np.searchsorted(before, upto[lines] - min_chars, "right") - 1
+    return sorted({(int(s), int(e)) for s, e in zip(lines, ends) if e < len(chars)} | {(int(s), int(e)) for s, e in zip(starts, lines) if s >= 0})
+
+
+def run_key(lines: list[bytes]) -> bytes:
+    """One hash for a run of line hashes; blank lines count in it."""
+    return lines[0] if len(lines) == 1 else xxhash.xxh3_128_digest(b"".join(x or bytes(16) for x in lines))
+
+
+def _runs(batches):
+    for batch in batches:
+        ids, keys, starts, ends = [], [], [], []
+        for i, lines, chars in zip(*(c.to_pylist() for c in batch.columns)):
+            for s, e in least_runs(chars):
+                ids.append(i)
+                keys.append(run_key(lines[s : e + 1]))
+                starts.append(s)
+                ends.append(e)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["id", "run", "start", "end"])
+
+
+def repeated_runs(outline: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, doomed): the lines of each least run that an earlier document has too. outline: id, lines, chars."""
+    runs = outline.mapInArrow(_runs, "id long, run binary, start int, end int")
+    owners = runs.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    # Written first, as the owners of lines are.
+    owners = scratch.write(owners.select("run", "first"), "run-owners")
+    return runs.join(owners, "run").where("id <> first").select("id", F.expr("sequence(start, end)").alias("doomed"))
+
+
+def deletions(docs: DataFrame, scratch: Scratch, unaligned: bool = False) -> DataFrame:
+    """(id, doomed): indexes of the lines to delete from each later document of a pair. docs: id, text; unaligned: repeated runs outside the alignment too."""
     outline = scratch.write(docs.where("id is not null").mapInArrow(_outline, "id long, lines array<binary>, chars array<int>"), "outline")
     held = outline.select("id", F.explode(F.array_distinct("lines")).alias("line")).where("line <> X''")
     owners = held.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
@@ -120,17 +165,20 @@ def deletions(docs: DataFrame, scratch: Scratch) -> DataFrame:
             keep = [k for k, x in enumerate(out) if x]
             yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep], pa.int64()), pa.array([out[k] for k in keep], pa.list_(pa.int32()))], ["id", "doomed"])
 
-    return both.mapInArrow(align, "id long, doomed array<int>").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("doomed"))).alias("doomed"))
+    found = both.mapInArrow(align, "id long, doomed array<int>")
+    if unaligned:
+        found = found.unionByName(repeated_runs(outline, scratch))
+    return found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("doomed"))).alias("doomed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without deleted lines, and _n_lines and _n_removed.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unaligned: bool = False) -> DataFrame:
+    """The documents, all columns, without deleted lines, and _n_lines and _n_removed. unaligned: see deletions.
 
     Lines stay as they are and in order; a document that loses all its lines has empty text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    doomed = scratch.write(deletions(source, scratch), "doomed")
+    doomed = scratch.write(deletions(source, scratch, unaligned), "doomed")
     touched = Bitmap(spark, doomed.select(id_keys("id").alias("key")), "key").test()
 
     @F.pandas_udf("boolean")
@@ -156,4 +204,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of the text that is left, per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs, unaligned=True).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
