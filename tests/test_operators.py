@@ -4,6 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from veritext.functions.text import find_quote
 from veritext.operators import citator, contrary, corpus, drafting, resolve, retrieval, verdict
 from veritext.sources import readers, writers
 from veritext.streaming import limits
@@ -146,3 +147,18 @@ def test_attack_window_and_encoder(spark):
     assert "tenancy notice" in shown and len(shown) == drafting.WINDOW_CHARS and drafting.window("short", "x") == "short"
     v = drafting.encode(docs(spark, "aa", "", None), lambda texts: [[len(t), 0.0] for t in texts], "doc_id", "text")
     assert sorted((r.doc_id, r.vector) for r in v.collect()) == [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [0.0, 0.0])]
+
+
+def test_quotes_meet_every_passage(spark):
+    said = "The Learned judge was of  the opinion that the “decree” could not be executed at all by the court below"
+    quotes = [(1, 'the learned judge was of the opinion that the "decree" could not be executed at all'), (2, "was of the opinion that the decree"), (3, "a-b-c-d-e-f"), (4, "too short"), (5, "earned judge was of the opinion that the 'decree"), (6, None)]
+    passages = [(1000, said, False), (1001, said.replace("opinion", "opinlon").replace("“decree”", '"decree"'), True), (1002, said.replace("opinion", "opinlon"), False), (1003, "xa-b-c-d-e-fx", None), (1004, "Nothing of it.", True), (1005, None, True), (1006, said.upper(), False)]
+    want = set()
+    for i, q in quotes:
+        for d, t, ocr in passages:
+            found = find_quote(q, t, bool(ocr)) if q and t else None
+            if found and found.start is not None:
+                want.add((i, d, found.kind, found.start, found.end))
+    got = contrary.quote_matches(spark.createDataFrame(quotes, "item_id long, quote string"), spark.createDataFrame(passages, "doc_id long, text string, ocr boolean")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert {(1, 1000), (1, 1001), (1, 1006), (3, 1003)} <= {x[:2] for x in want}

@@ -7,6 +7,7 @@ import unicodedata
 from bisect import bisect_left
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +74,20 @@ def plain_with_places(text: str) -> tuple[str, list[int]]:
     return "".join(out), places
 
 
+class _Each(dict):
+    def __missing__(self, at: int) -> str:
+        c = self[at] = unicodedata.normalize("NFKC", chr(at)).translate(_TABLE).lower()
+        return c
+
+
+_EACH = _Each()
+
+
+def plain_source(text: str) -> str:
+    """The text of plain_with_places, without the places."""
+    return " ".join(text.translate(_EACH).split())
+
+
 def word_count(text: str) -> int:
     return len(re.findall(r"\w+", text))
 
@@ -117,13 +132,12 @@ def token_set_ratio(a: str, b: str) -> float:
 def best_alignment(quote: str, source: str) -> tuple[float, int, int]:
     """Best ratio of the quote with a stretch of the source of its length, and where the stretch lies."""
     n, best = len(quote), (0.0, 0, 0)
-    pieces = {quote[k : k + 4] for k in range(0, max(1, n - 3))}
-    for at in range(0, max(1, len(source) - n + 1)):
-        if at % 3 and source[at : at + 4] not in pieces:
-            continue
-        score = ratio(quote, source[at : at + n])
-        if score > best[0]:
-            best = (score, at, min(len(source), at + n))
+    least, at = n + min(n, len(source)), 0
+    while at < max(1, len(source) - n + 1):
+        edits = indel(quote, source[at : at + n])
+        if edits < least:
+            best, least = (100.0 * (1 - edits / (n + min(n, len(source)))), at, min(len(source), at + n)), edits
+        at += max(1, (edits - least) // 2 + 1)  # a move by one saves two edits at most, so no start passed over is better
     return best
 
 
@@ -153,6 +167,35 @@ def find_quote(quote: str, source: str, ocr: bool = False) -> Quote:
     return Quote("not_found")
 
 
+#: Words of a quotation's key, and the least characters of a piece of a scanned one.
+_KEY_WORDS, _KEY_CHARS = 8, 8
+
+
+def _key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def quote_keys(quote: str, ocr: bool = False) -> list[tuple[int, int]]:
+    """(size, key): whatever source find_quote finds the quotation in has one of the keys of source_keys; none if it has no such key.
+
+    Exact: the words after the first (of which, as of the last, the source may hold a longer word), size many.
+    ocr: pieces of -size characters, one more than the edits that OCR_SCORE allows, so that one is unharmed."""
+    said = plain(quote)
+    if not ocr:
+        run = said.split()[1:-1][:_KEY_WORDS]
+        return [(len(run), _key(" ".join(run)))] if run else []
+    pieces = int((100 - OCR_SCORE) / 50 * len(said) + 1e-6) + 1
+    size = len(said) // pieces
+    return [(-size, _key(said[k * size : (k + 1) * size])) for k in range(pieces)] if size >= _KEY_CHARS else []
+
+
+def source_keys(source: str, sizes: list[int]) -> set[tuple[int, int]]:
+    """All keys of these sizes that a source holds."""
+    held = plain_source(source)
+    words = held.split()
+    return {(n, _key(" ".join(words[k : k + n]))) for n in sizes if n > 0 for k in range(len(words) - n + 1)} | {(n, _key(held[k : k - n])) for n in sizes if n < 0 for k in range(len(held) + n + 1)}
+
+
 def shared_run(claim: str, source: str) -> tuple[int, str]:
     """The longest run of the claim's words that the source holds, the first of equals."""
     words, held = plain(claim).split(), plain(source)

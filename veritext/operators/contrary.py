@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from veritext.functions.citations import extract
 from veritext.functions.kernels import flat_map
-from veritext.functions.lexicon import KEPT_WORDS, QUALIFIERS, cue
+from veritext.functions.lexicon import KEPT_WORDS, QUALIFIERS, QUOTE_WORDS, cue
 from veritext.functions.reading import contrary_queries, distinctive, hierarchy, opposes
-from veritext.functions.text import folded, sentence_at, sentences, shared_run, truncation
+from veritext.functions.text import find_quote, folded, quote_keys, sentence_at, sentences, shared_run, source_keys, truncation, word_count
 from veritext.operators import resolve, retrieval, verdict
 
 FIELD, TOP, LONGEST_SENTENCE = 150, 5, 120
@@ -101,6 +101,39 @@ def shared_runs(claims: DataFrame, passages: DataFrame, least: int = 6) -> DataF
     return flat_map(rows, run, "claim_id long, id long, words int, run string").where(F.col("words") >= least)
 
 
+def quote_matches(quotes: DataFrame, passages: DataFrame) -> DataFrame:
+    """item_id, doc_id, kind, start, end of each quotation that find_quote finds in a passage. quotes: item_id, quote; passages: doc_id, text, ocr (scanned).
+
+    They meet by hashed word runs of the plain text, in scanned passages by hashed pieces too. Quotations without a
+    key are compared with all passages."""
+    def keyed(r):
+        if word_count(r["quote"]) >= QUOTE_WORDS:
+            for ocr in (False, True):
+                for size, key in quote_keys(r["quote"], ocr) or [(0, 0)]:
+                    yield {"item_id": r["item_id"], "ocr": ocr, "size": size, "key": key}
+
+    quotes, passages = quotes.where("quote is not null"), passages.where("text is not null").withColumn("ocr", F.coalesce("ocr", F.lit(False)))
+    keys = flat_map(quotes.select("item_id", "quote"), keyed, "item_id long, ocr boolean, size int, key long")
+    sizes = [r[0] for r in keys.select("size").distinct().collect()]  # no more than the sizes of runs and pieces
+
+    def held(r):
+        for size, key in source_keys(r["text"], [n for n in sizes if n > 0 or r["ocr"]]):
+            yield {"doc_id": r["doc_id"], "size": size, "key": key}
+
+    found = flat_map(passages.select("doc_id", "text", "ocr"), held, "doc_id long, size int, key long").join(keys.where("size <> 0").drop("ocr"), ["size", "key"]).select("item_id", "doc_id")
+    if 0 in sizes:
+        bare = keys.where("size = 0").select("item_id", F.col("ocr").alias("scans"))
+        found = found.unionByName(passages.crossJoin(bare).where("ocr or not scans").select("item_id", "doc_id"))
+
+    def match(r):
+        q = find_quote(r["quote"], r["text"], r["ocr"])
+        if q.start is not None:
+            yield {"item_id": r["item_id"], "doc_id": r["doc_id"], "kind": q.kind, "start": q.start, "end": q.end}
+
+    met = found.distinct().join(quotes.select("item_id", "quote"), "item_id").join(passages.select("doc_id", "text", "ocr"), "doc_id")
+    return flat_map(met, match, "item_id long, doc_id long, kind string, start int, end int")
+
+
 def truncations(claims: DataFrame, passages: DataFrame) -> DataFrame:
     """claim_id, label, kept, dropped, qualifier: claims that quote a passage of their version up to its condition. claims: claim_id, version, claim; passages: version, seq, label, body."""
     held = passages.groupBy("version").agg(F.sort_array(F.collect_list(F.struct("seq", "label", "body"))).alias("parts"))

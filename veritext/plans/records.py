@@ -11,7 +11,7 @@ from veritext.functions.kernels import flat_map
 from veritext.functions.lexicon import PREAMBLE, ROLES, cue
 from veritext.functions.reading import hierarchy, opposes, treatment, voice, weight
 from veritext.functions.structure import clean_pages
-from veritext.functions.text import find_quote, label_value
+from veritext.functions.text import label_value
 from veritext.operators import contrary, corpus, verdict
 from veritext.operators.contrary import negate
 from veritext.plans.graph import _values
@@ -352,14 +352,9 @@ def truncation_scan(spark, sf):
 
 @query("quote_match")
 def quote_match(spark, sf):
+    """Benchmark items in documents; the table marks no document as scanned."""
     quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
-    near = table(spark, sf, "documents").select("doc_id", "text").where("doc_id < 200")
-
-    def rows(r):
-        q = find_quote(r["quote"], r["text"])
-        yield {"item_id": r["item_id"], "doc_id": r["doc_id"], "kind": q.kind, "start": q.start, "end": q.end}
-
-    return flat_map(near.join(quotes, F.contains("text", F.substring("quote", 1, 40))), rows, "item_id long, doc_id long, kind string, start int, end int")
+    return contrary.quote_matches(quotes, table(spark, sf, "documents").select("doc_id", "text", F.lit(False).alias("ocr")))
 
 
 @query("segment_paragraphs")
