@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from veritext.functions.text import find_quote
+from veritext.functions.text import find_quote, token_set_ratio
 from veritext.operators import citator, contrary, corpus, drafting, resolve, retrieval, verdict
 from veritext.sources import readers, writers
 from veritext.streaming import limits
@@ -69,6 +69,21 @@ def test_blocked_names_equal_all_pairs(spark):
     assert got == {1: ("A", "found"), 2: (None, "not_found"), 3: ("B", "found")}
 
 
+def test_names_without_year_or_long_word_or_common_word(spark):
+    titles = [("A", "Gurmit Singh Bhatia versus Kiran Robinson", 2019), ("B", "Rao versus Das", 2018), ("C", "Ramachandran Krishnamurthy", None), ("D", "Ramachandran Krishnamurthy", 1990), ("E", "Lal versus Om", 2001), ("F", "Om versus Lal", 2002), ("G", None, 2018)]
+    names = [(1, "Gurmit Singh Bhatia v. Kiran Robinson", None), (2, "Rao versus Das", 2019), (3, "Ramachandra Krishnamurti", 1991), (4, "Ramachandra Krishnamurti", None), (5, "Lal versus Om", 2001), (6, "Lal versus Om", 2001), (7, None, 2018), (8, "Rao versus Das", 2021)]
+    t, n = spark.createDataFrame(titles, "case string, title string, title_year int"), spark.createDataFrame(names, "name_id int, name string, year int")
+    want = {}
+    for i, name, year in names:
+        near = sorted((-round(token_set_ratio(name or "", title or ""), 6), case) for case, title, y in titles if year is None or y is not None and abs(y - year) <= 1)
+        near = [x for x in near if -x[0] >= resolve.PARTY_SCORE]
+        close = len(near) > 1 and near[1][0] - near[0][0] < resolve.PARTY_MARGIN
+        want[i] = (near[0][1] if near else None, "not_found" if not near else "ambiguous" if close else "found")
+    got = resolve.by_parties(n, t).collect()
+    assert {r.name_id: (r.case, r.status) for r in got} == want and len(got) == len(names)
+    assert want[1] == ("A", "found") and want[2] == ("B", "found") and want[3] == ("D", "found") and want[4] == ("C", "ambiguous") and want[5] == ("E", "ambiguous")
+
+
 def test_verdict_states(spark):
     none = {f.split(" ")[0]: None for f in verdict.INPUT.split(", ")}
     rows = [{**none, "citation_id": 1, "status": "found"}, {**none, "citation_id": 2, "status": "found", "support": "error"}, {**none, "citation_id": 3, "status": "found", "support": "none"}]

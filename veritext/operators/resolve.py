@@ -23,24 +23,30 @@ def exact(citations: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def blocked_pairs(names: DataFrame, titles: DataFrame) -> DataFrame:
-    """Pairs of a name (name_id, name, year) and a title (case, title, title_year) within a year of each other that share a word of four letters or more.
+    """(name, year, title, case, n): each different name and year with the titles of the year, the one before and the one after, or with all titles if it has no year; the smallest case of the title and year and their number.
 
-    Two equi-joins keys, year and word, in place of a band and a comparison of all pairs."""
-    def words(c):
-        return F.array_distinct(F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 4))
-
-    left = names.select("name_id", "name", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("y"), words(F.col("name")).alias("ws")).select("name_id", "name", "y", F.explode("ws").alias("w"))
-    right = titles.select("case", "title", F.col("title_year").alias("y"), F.explode(words(F.col("title"))).alias("w"))
-    return left.join(right, ["y", "w"]).select("name_id", "name", "case", "title").distinct()
+    No word need be shared: names may differ in a letter of every word. Equal names and equal titles count once."""
+    asked = names.select("name", "year").where("name is not null").distinct()
+    dated = asked.where("year <> 0").withColumn("title_year", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)))
+    titles = titles.where("title is not null")
+    of_year = titles.groupBy("title", "title_year").agg(F.min("case").alias("case"), F.count(F.lit(1)).alias("n"))
+    of_any = titles.groupBy("title").agg(F.min("case").alias("case"), F.count(F.lit(1)).alias("n"))
+    met = dated.join(of_year, "title_year").select("name", "year", "title", "case", "n")
+    return met.unionByName(asked.where("coalesce(year, 0) = 0").crossJoin(of_any).select("name", "year", "title", "case", "n"))
 
 
 def by_parties(names: DataFrame, titles: DataFrame, least: float = PARTY_SCORE, margin: float = PARTY_MARGIN, top: int = 5) -> DataFrame:
     """name_id, case, score, status: found, or ambiguous if a runner-up is within the margin; not_found otherwise."""
-    scored = blocked_pairs(names, titles).withColumn("score", F.round(name_score("name", "title"), 6)).where(F.col("score") >= least)
-    w = Window.partitionBy("name_id").orderBy(F.desc("score"), "case")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    best = ranked.groupBy("name_id").agg(F.max(F.when(F.col("rank") == 1, F.col("case"))).alias("case"), F.max("score").alias("score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
-    out = names.select("name_id").join(best, "name_id", "left")
+    pairs = blocked_pairs(names, titles)
+    scores = pairs.select("name", "title").distinct().withColumn("score", F.round(name_score("name", "title"), 6)).where(F.col("score") >= least)
+    scored = pairs.join(scores, ["name", "title"])
+    w = Window.partitionBy("name", "year").orderBy(F.desc("score"), "case")
+    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(top, 2))
+    # Cases of one title tie; so do those of a title in the two years beside it.
+    runner_up = F.when(F.lit(top > 1), F.max(F.when((F.col("rank") == 2) | ((F.col("rank") == 1) & (F.col("n") > 1)), F.col("score"))))
+    best = ranked.groupBy("name", "year").agg(F.max(F.when(F.col("rank") == 1, F.col("case"))).alias("case"), F.max("score").alias("score"), runner_up.alias("second"))
+    best = best.withColumnsRenamed({"name": "_name", "year": "_year"})
+    out = names.select("name_id", "name", "year").join(best, (F.col("name") == F.col("_name")) & F.col("year").eqNullSafe(F.col("_year")), "left")
     status = F.when(F.col("case").isNull(), "not_found").when(F.col("score") - F.col("second") < margin, "ambiguous").otherwise("found")
     return out.select("name_id", "case", "score", status.alias("status"))
 
