@@ -52,9 +52,77 @@ def test_forward_backward_is_exact():
     p = np.exp([sum(node[0, t, y[t]] for t in range(5)) + sum(edge[y[t], y[t + 1]] for t in range(4)) for y in seqs])
     p /= p.sum()
     want = np.array([[sum(q for q, y in zip(p, seqs) if y[t] == v) for v in (0, 1)] for t in range(5)])
-    got, pairs = quality_crf.forward_backward(np.pad(node, ((0, 0), (0, 2), (0, 0))), edge, np.array([[True] * 5 + [False] * 2]))
+    got, pairs, total = quality_crf.forward_backward(np.pad(node, ((0, 0), (0, 2), (0, 0))), edge, np.array([[True] * 5 + [False] * 2]))
     assert np.allclose(got[0, :5], want) and np.allclose(got[0, 5:], 0)
-    assert np.allclose(pairs, [[sum(q * sum(y[t] == a and y[t + 1] == b for t in range(4)) for q, y in zip(p, seqs)) for b in (0, 1)] for a in (0, 1)])
+    assert np.allclose(pairs[0], [[sum(q * sum(y[t] == a and y[t + 1] == b for t in range(4)) for q, y in zip(p, seqs)) for b in (0, 1)] for a in (0, 1)])
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """Both gradients equal numeric ones of the likelihood summed over all line labellings."""
+    rng = np.random.default_rng(4)
+    x, mask = rng.normal(size=(3, 4, 5)), np.array([[True] * 4, [True] * 2 + [False] * 2, [True] + [False] * 3])
+    x[~mask] = 0
+    node, edge, label, per = rng.normal(size=(5, 2)), rng.normal(size=(2, 2)), np.array([0, 1, 1]), np.array([1.0, 0.5, 2.0])
+
+    def brute(node, edge):
+        out = 0.0
+        for c in range(3):
+            n, both, free = mask[c].sum(), 0.0, 0.0
+            for k in range(2**n):
+                y = [(k >> t) & 1 for t in range(n)]
+                w = np.exp(sum(x[c, t] @ node[:, y[t]] for t in range(n)) + sum(edge[y[t], y[t + 1]] for t in range(n - 1)))
+                free += w
+                both += w * np.prod([1 - quality_crf.NOISE if z == label[c] else quality_crf.NOISE for z in y])
+            out += per[c] * np.log(both / free)
+        return out
+
+    value, to_node, to_edge = quality_crf.likelihood(node, edge, x, mask, label, per)
+    assert abs(value - brute(node, edge)) < 1e-9
+    for w, g in ((node, to_node), (edge, to_edge)):
+        for k in np.ndindex(w.shape):
+            old = w[k]
+            w[k] = old + 1e-5
+            high = brute(node, edge)
+            w[k] = old - 1e-5
+            low = brute(node, edge)
+            w[k] = old
+            assert abs((high - low) / 2e-5 - g[k]) < 1e-5
+
+
+def test_lines_of_one_document_may_differ():
+    """A field fitted on document labels tells the clutter lines inside a good document from its prose."""
+    rng = np.random.default_rng(6)
+    prose = lambda: " ".join(rng.choice(["the", "river", "ran", "over", "stones", "and", "people", "walked"], 14)).capitalize() + "."
+    clutter = lambda: "### $$$ " + " | ".join(rng.choice(["BUY", "NOW", "%%", "***"], 8))
+    texts = ["\n".join(prose() if (rng.random() < (0.85 if y else 0.15)) else clutter() for _ in range(12)) for y in (0, 1) for _ in range(60)]
+    labels = np.repeat([0, 1], 60)
+    field = quality_crf.fit(texts, labels)
+    kinds = [rng.random(12) < 0.5 for _ in range(40)]
+    p = np.concatenate(field.marginals(quality_crf.features_of([[prose() if k else clutter() for k in ks] for ks in kinds])))
+    good = np.concatenate(kinds)
+    assert (p[good][:, None] > p[~good]).mean() > 0.9 and field.edge[0, 0] > field.edge[0, 1] and field.edge[1, 1] > field.edge[1, 0]
+    scores = field.score(texts)
+    assert np.mean([[g > b for b in scores[:60]] for g in scores[60:]]) > 0.97
+
+
+def test_quality_equals_a_plain_scorer():
+    """Scores by the definition, written out: marginals over all labellings, weighted by length, calibrated."""
+    field = quality_crf.LineField()
+    rng = np.random.default_rng(8)
+    field.node[:], field.edge[:], field.slope, field.shift = rng.normal(size=field.node.shape) * 0.4, rng.normal(size=(2, 2)), 1.3, -0.2
+    for text in ["A line.\n| x |\n\nMore text here, as prose goes.", "", None, "one"]:
+        lines = (text or "").split("\n")
+        node = quality_crf.features(lines) @ field.node
+        good, total = np.zeros(len(lines)), 0.0
+        for k in range(2 ** len(lines)):
+            y = [(k >> t) & 1 for t in range(len(lines))]
+            w = np.exp(sum(node[t, y[t]] for t in range(len(y))) + sum(field.edge[y[t], y[t + 1]] for t in range(len(y) - 1)))
+            total += w
+            good += w * np.array(y)
+        size = np.array([len(x) + 1.0 for x in lines])
+        share = (size * good / total).sum() / size.sum()
+        want = 1 / (1 + np.exp(-(1.3 * np.log(share / (1 - share)) - 0.2)))
+        assert abs(field.score([text])[0] - want) < 1e-9
 
 
 def test_long_documents_score_in_windows():

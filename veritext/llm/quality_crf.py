@@ -6,12 +6,17 @@ forward-backward gives each line's marginal probability of being good. The
 length-weighted mean of the marginals, in log-odds, is calibrated into the
 document's score.
 
-Training sees document labels only: a document's label stands for all its
-lines, and the field is fitted by gradient ascent on the conditional
-likelihood of these label chains, over at most about TRAIN_DOCS labelled
-documents outside the evaluation fold (chosen by a hash of the id; classes
-weigh equally). A chain longer than CHAIN lines is scored in windows that
-overlap by CONTEXT lines, so memory stays bounded; every line is scored.
+Training sees document labels only, so line labels are hidden: a line agrees
+with its document's label but for a chance of NOISE, and the field is fitted by
+gradient ascent on the likelihood of the document labels, summed over all line
+labellings. That gradient is the difference of two forward-backward passes,
+one with the document's label as evidence on every line and one without, for
+line labels and pairs of neighbours alike. Lines of one document may so differ,
+and the edges learn how labels follow each other. The fit takes at most about
+TRAIN_DOCS labelled documents and TRAIN_CHARS characters of them outside the
+evaluation fold (chosen by a hash of the id; classes weigh equally). A chain
+longer than CHAIN lines is scored in windows that overlap by CONTEXT lines, so
+memory stays bounded; every line is scored.
 
 Defined results: null or empty text has one empty line and gets that line's
 score; documents without an id or label take no part in training; with no
@@ -29,10 +34,13 @@ from pyspark.sql import functions as F
 
 from veritext.llm.common import chunks, held_out, table
 
-TRAIN_DOCS = 4000
+#: Bounds of the training sample, which the driver holds.
+TRAIN_DOCS, TRAIN_CHARS = 4000, 30_000_000
+#: Chance that a line is unlike its document's label.
+NOISE = 0.2
 #: Lines of a training document that are used; longer ones are cut into chains and each chain counts.
 CHAIN, CONTEXT = 512, 16
-STEPS, RATE, DECAY = 150, 0.15, 1e-3
+STEPS, RATE, DECAY, EDGE_DECAY = 150, 0.15, 1e-3, 1e-2
 THRESHOLD = 0.3
 #: Kinds of characters that are counted: letter case, digits, and marks by how prose and clutter use them.
 _KINDS = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "stop": ".,;:", "mark": "!?", "pipe": "|\t", "clutter": "%&*#$@^~_+=<>\\/{}[]", "space": " "}
@@ -91,10 +99,10 @@ def _logaddexp_rows(a: np.ndarray) -> np.ndarray:
     return m + np.log(np.exp(a - m[..., None]).sum(-1))
 
 
-def forward_backward(node: np.ndarray, edge: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(node: np.ndarray, edge: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of padded chains. node: chains x lines x 2 scores, edge: 2 x 2, mask: chains x lines.
 
-    Returns the label marginals and the expected edge counts (2 x 2)."""
+    Returns the label marginals, each chain's expected edge counts (chains x 2 x 2) and its log partition sum."""
     chains, lines, _ = node.shape
     alpha, beta = np.zeros_like(node), np.zeros_like(node)
     alpha[:, 0] = node[:, 0]
@@ -107,8 +115,18 @@ def forward_backward(node: np.ndarray, edge: np.ndarray, mask: np.ndarray) -> tu
     total = _logaddexp_rows(alpha + beta)
     marginal = np.exp(alpha + beta - total[..., None])
     pairs = alpha[:, :-1, :, None] + edge[None, None] + (node + beta)[:, 1:, None, :] - total[:, 1:, None, None]
-    both = (np.exp(pairs) * mask[:, 1:, None, None]).sum((0, 1))
-    return marginal * mask[..., None], both
+    both = (np.exp(np.where(mask[:, 1:, None, None], pairs, -np.inf))).sum(1)
+    return marginal * mask[..., None], both, total[:, 0]
+
+
+def likelihood(node: np.ndarray, edge: np.ndarray, x: np.ndarray, mask: np.ndarray, label: np.ndarray, per: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted log-likelihood of the chains' document labels, line labels summed out, and its gradients of node and edge weights."""
+    scores = x @ node
+    evidence = np.log(np.where(label[:, None] == np.arange(2), 1 - NOISE, NOISE))
+    free, free_pairs, free_total = forward_backward(scores, edge, mask)
+    held, held_pairs, held_total = forward_backward(scores + evidence[:, None, :] * mask[..., None], edge, mask)
+    to_node = np.einsum("clf,clk->fk", x, (held - free) * per[:, None, None])
+    return float(((held_total - free_total) * per).sum()), to_node, ((held_pairs - free_pairs) * per[:, None, None]).sum(0)
 
 
 def _padded(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +153,7 @@ class LineField:
                 stop += 1
             block = [chains[i] for i in order[at:stop]]
             x, mask = _padded(block)
-            good, _ = forward_backward(x @ self.node, self.edge, mask)
+            good, _, _ = forward_backward(x @ self.node, self.edge, mask)
             for k, i in enumerate(order[at:stop]):
                 out[i] = good[k, : len(chains[i]), 1]
             at = stop
@@ -178,7 +196,7 @@ def features_of(docs: list[list[str]]) -> list[np.ndarray]:
 
 
 def fit(texts: list[str], labels: np.ndarray) -> LineField:
-    """Fits the field on documents whose label stands for each of their lines."""
+    """Fits the field on labelled documents, whose line labels are hidden."""
     field, labels = LineField(), np.asarray(labels)
     if len(set(labels.tolist())) < 2:
         field.constant = float(labels.mean()) if len(labels) else 0.5
@@ -201,16 +219,8 @@ def fit(texts: list[str], labels: np.ndarray) -> LineField:
     for _ in range(max(1, STEPS // len(blocks)) + 8):
         for x, mask, label, weight in blocks:
             step += 1
-            marginal, _ = forward_backward(x @ field.node, field.edge, mask)
-            truth = np.zeros_like(marginal)
-            truth[np.arange(len(label)), :, label] = mask
-            per = weight / mask.sum(1)
-            node = np.einsum("clf,clk->fk", x, (truth - marginal) * per[:, None, None]) / len(label) - DECAY * field.node
-            # The edges of a chain of one label: its length less one, all of that label.
-            left = np.einsum("cli,clj->cij", marginal[:, :-1] * mask[:, 1:, None], marginal[:, 1:])
-            runs = np.zeros_like(left)
-            runs[np.arange(len(label)), label, label] = mask[:, 1:].sum(1)
-            edge = ((runs - left) * per[:, None, None]).sum(0) / len(label) - 0.1 * field.edge
+            _, node, edge = likelihood(field.node, field.edge, x, mask, label, weight / mask.sum(1) / len(label))
+            node, edge = node - DECAY * field.node, edge - EDGE_DECAY * field.edge
             for w, g, v, q in zip((field.node, field.edge), (node, edge), velocity, square):
                 v += 0.1 * (g - v)
                 q += 0.02 * (g * g - q)
@@ -231,11 +241,21 @@ def fit(texts: list[str], labels: np.ndarray) -> LineField:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """At most about TRAIN_DOCS labelled texts outside the evaluation fold."""
+    """At most about TRAIN_DOCS labelled texts, and TRAIN_CHARS characters of them, outside the evaluation fold."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
     n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, TRAIN_DOCS / max(n, 1))))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").orderBy("id", "label", "text").collect()
+    spread = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    chosen = F.broadcast(known.where(spread < int((1 << 20) * min(1.0, TRAIN_DOCS / max(n, 1)))))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
+    # Smallest hashes first, as far as the characters go: about as many texts a class as a plain sample of that size has.
+    sizes = sorted((r["h"], r["n"]) for r in texts.groupBy(spread.alias("h")).agg(F.sum(F.length("text")).alias("n")).collect())
+    last, total = 1 << 20, 0
+    for h, size in sizes:
+        total += size
+        if total > TRAIN_CHARS:
+            last = h
+            break
+    rows = texts.where(spread < last).orderBy("id", "label", "text").collect() if sizes else []
     return [r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64)
 
 
