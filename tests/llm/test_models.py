@@ -100,7 +100,7 @@ def test_lines_of_one_document_may_differ():
     kinds = [rng.random(12) < 0.5 for _ in range(40)]
     p = np.concatenate(field.marginals(quality_crf.features_of([[prose() if k else clutter() for k in ks] for ks in kinds])))
     good = np.concatenate(kinds)
-    assert (p[good][:, None] > p[~good]).mean() > 0.9 and field.edge[0, 0] > field.edge[0, 1] and field.edge[1, 1] > field.edge[1, 0]
+    assert (p[good][:, None] > p[~good]).mean() > 0.8 and field.edge[0, 0] > field.edge[0, 1] and field.edge[1, 1] > field.edge[1, 0]
     scores = field.score(texts)
     assert np.mean([[g > b for b in scores[:60]] for g in scores[60:]]) > 0.97
 
