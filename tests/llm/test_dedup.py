@@ -197,82 +197,93 @@ def test_symbols_are_consistent():
         assert seen[0] == seen[1]
 
 
-def line_brute(rows):
-    """The contract of line dedup, document by document."""
-    lines = {i: [x.strip() for x in (t or "").split("\n")] for i, t in rows if i is not None}
-    holders = {}
-    for i, ls in lines.items():
-        for x in set(ls) - {""}:
-            holders.setdefault(x, set()).add(i)
-    out = {}
+def shared_blocks(rows):
+    """Lines of every block of MIN_CHARS or more that an earlier document has too, by trying all blocks; blank edges don't count."""
+    lines = {i: [x.strip() for x in (t or "").split("\n")] for i, t in sorted(r for r in rows if r[0] is not None)}
+    seen, out = set(), {}
     for i, ls in lines.items():
-        shared = {}
-        for x in set(ls) - {""}:
-            if min(holders[x]) < i:
-                shared.setdefault(min(holders[x]), []).append(len(holders[x]))
-        doomed = set()
-        for first, counts in shared.items():
-            if len(counts) >= 2 or min(counts) <= line_dedup.RARE:
-                doomed |= set(line_dedup.doomed_lines([x.encode() for x in lines[first]], [x.encode() for x in ls], [len(x) for x in ls]))
-        out[i] = doomed
+        blocks = [(s, e) for s in range(len(ls)) for e in range(s, len(ls)) if ls[s] and ls[e] and sum(map(len, ls[s : e + 1])) >= line_dedup.MIN_CHARS]
+        out[i] = {k for s, e in blocks if tuple(ls[s : e + 1]) in seen for k in range(s, e + 1)}
+        seen |= {tuple(ls[s : e + 1]) for s, e in blocks}
     return out
 
 
+def test_frequent_line_goes_at_any_frequency(spark):
+    common = "A licence line that very many documents carry at their end."
+    rows = [(i, f"Something of its own in document {i} and no other.\n{common}") for i in range(150)]
+    assert sum(r._n_removed for r in line_dedup.dedup_lines(table(spark, rows)).collect()) == 149
+
+
+def check_lines(spark, rows):
+    """Every line of a block of MIN_CHARS that an earlier document has goes, by all pairs and all blocks, and no other line."""
+    want = shared_blocks(rows)
+    got = line_dedup.dedup_lines(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = dict(rows)[r.doc_id]
+        kept, lines = (r.text or "").split("\n"), (text or "").split("\n")
+        left = [x for k, x in enumerate(lines) if k not in want.get(r.doc_id, ())]
+        # An aligned block takes the blank lines at its edges along.
+        assert [x for x in kept if x.strip()] == [x for x in left if x.strip()] and len(kept) <= max(len(left), 1)
+        assert r.text == text or r._n_removed > 0
+        assert r._n_lines == (len(lines) if text else 0) and r._n_moved <= r._n_removed
+    return got
+
+
 def test_lines(spark):
     rng = random.Random(8)
     pool = [f"This is line number {k} of the shared pool of lines." for k in range(30)] + ["short", ""]
     rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.4 else f"Own line {i} {k} that nobody else has at all." for k in range(rng.randrange(1, 8)))) for i in range(40)]
     rows += [(100, rows[5][1]), (101, None), (102, ""), (103, "\n\n"), (None, rows[5][1]), (104, "  " + rows[5][1] + "  ")]
-    doomed = line_brute(rows)
-    got = line_dedup.dedup_lines(table(spark, rows)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        text = dict(rows)[r.doc_id]
-        gone = doomed.get(r.doc_id, set())
-        assert r._n_removed == len(gone)
-        assert r.text == (text if not gone else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
+    check_lines(spark, rows)
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
+    long = "\n".join(f"line {k} of a very long text" for k in range(20000))
+    got = {r.doc_id: r._n_removed for r in line_dedup.dedup_lines(table(spark, [(1, long), (2, "head\n" + long)])).collect()}
+    assert got == {1: 0, 2: 20000}
 
 
-def test_frequent_line_alone_pairs_nobody(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "RARE", 3)
-    common = "A licence line that very many documents carry at their end."
-    rows = [(i, f"Something of its own in document {i} and no other.\n{common}") for i in range(10)]
-    assert all(r._n_removed == 0 for r in line_dedup.dedup_lines(table(spark, rows)).collect())
+def test_lines_in_any_order(spark):
+    a, b = "First long line that is shared by some of the documents.", "Second long line that is shared by some of the documents."
+    rows = [(0, f"{a}\n{b}"), (1, f"{b}\n{a}\n{a}"), (2, "red apples grow"), (3, "blue plums fall"), (4, "red apples grow\n\nblue plums fall\nupon the grass"), (5, "own\nred apples grow\n\nblue plums fall\nupon the grass\nend"), (6, "red apples grow\nblue plums fall\nupon the grass")]
+    rng = random.Random(9)
+    pool = [f"pooled {k} " + "x" * rng.randrange(50) for k in range(12)] + ["", "short"]
+    rows += [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(10, 60)] + [(60, None), (61, "")]
+    got = {r.doc_id: (r._n_removed, r._n_moved) for r in check_lines(spark, rows)}
+    assert got[1] == (3, 2) and got[5] == (4, 0) and got[6] == (0, 0)
 
 
-def test_frequent_line_goes_at_any_frequency(spark):
-    common = "A licence line that very many documents carry at their end."
-    rows = [(i, f"Something of its own in document {i} and no other.\n{common}") for i in range(150)]
-    assert sum(r._n_removed for r in line_dedup.dedup_lines(table(spark, rows)).collect()) == 149
+def test_block_whose_lines_have_other_first_holders(spark):
+    """Documents 3 and 4 share a block of 47 characters; its lines stand first, alone, in 1 and 2."""
+    one, two = "the first half of a block", "the second half of it."
+    rows = [(1, f"{one}\nother"), (2, f"another\n{two}"), (3, f"x\n{one}\n{two}"), (4, f"{one}\n{two}\ny")]
+    got = {r.doc_id: r._n_removed for r in check_lines(spark, rows)}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 2}
 
 
-def shared_blocks(rows):
-    """Lines of every block of MIN_CHARS or more that an earlier document has too, by trying all blocks; blank edges don't count."""
-    lines = {i: [x.strip() for x in (t or "").split("\n")] for i, t in sorted(r for r in rows if r[0] is not None)}
-    seen, out = set(), {}
-    for i, ls in lines.items():
-        blocks = [(s, e) for s in range(len(ls)) for e in range(s, len(ls)) if ls[s] and ls[e] and sum(map(len, ls[s : e + 1])) >= line_dedup.MIN_CHARS]
-        out[i] = {k for s, e in blocks if tuple(ls[s : e + 1]) in seen for k in range(s, e + 1)}
-        seen |= {tuple(ls[s : e + 1]) for s, e in blocks}
-    return out
+def test_rows_of_one_id_are_cut_by_their_own_lines(spark):
+    long = "A long line that the first document has as well as others."
+    rows = [(1, long), (2, f"own\n{long}"), (2, f"{long}\nother\nthird")]
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(table(spark, rows)).collect())
+    assert got == [(1, long), (2, "other\nthird"), (2, "own")]
 
 
-def test_lines_outside_the_alignment(spark):
-    a, b = "First long line that is shared by some of the documents.", "Second long line that is shared by some of the documents."
-    rows = [(0, f"{a}\n{b}"), (1, f"{b}\n{a}\n{a}"), (2, "red apples grow"), (3, "blue plums fall"), (4, "red apples grow\n\nblue plums fall\nupon the grass"), (5, "own\nred apples grow\n\nblue plums fall\nupon the grass\nend"), (6, "red apples grow\nblue plums fall\nupon the grass")]
-    rng = random.Random(9)
-    pool = [f"pooled {k} " + "x" * rng.randrange(50) for k in range(12)] + ["", "short"]
-    rows += [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(10, 60)] + [(60, None), (61, "")]
-    want = shared_blocks(rows)
-    assert want[1] == {0, 1, 2} and want[5] == {1, 2, 3, 4} and not want[6]
-    for r in line_dedup.dedup_lines(table(spark, rows), unaligned=True).collect():
-        kept, lines = (r.text or "").split("\n"), (dict(rows)[r.doc_id] or "").split("\n")
-        left = [x for k, x in enumerate(lines) if k not in want[r.doc_id]]
-        # An aligned block takes the blank lines at its edges along.
-        assert [x for x in kept if x] == [x for x in left if x] and len(kept) <= max(len(left), 1)
+def test_clashing_columns_pass_through(spark):
+    long = "A long line that the first document has as well as others."
+    docs = spark.createDataFrame([(1, long, 1, 2, 3, 4), (2, f"own\n{long}", 5, 6, 7, 8)], "doc_id long, text string, _id int, _maybe int, _doomed int, _key int")
+    got = {r.doc_id: tuple(r)[:6] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: (1, long, 1, 2, 3, 4), 2: (2, "own", 5, 6, 7, 8)}
 
 
 def test_patience():
     a, b = [b"x", b"a", b"b", b"c", b"y", b"d"], [b"q", b"a", b"b", b"c", b"d"]
     assert line_dedup.patience_blocks(a, b) == [(1, 1, 3), (5, 4, 1)]
+    twice = [b"a", b"b", b"a", b"b"]
+    assert line_dedup.patience_blocks(twice, twice) == [(0, 0, 4)]
+    # Lines that are not unique in the whole are unique in a gap.
+    assert line_dedup.patience_blocks([b"r", b"s", b"U", b"r", b"t"], [b"s", b"r", b"q", b"U", b"z", b"r", b"t"]) == [(0, 1, 1), (2, 3, 1), (3, 5, 2)]
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([b"%d" % rng.randrange(6) for _ in range(rng.randrange(9))] for _ in range(2))
+        blocks = line_dedup.patience_blocks(a, b)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in blocks)
+        assert all(p[0] + p[2] <= q[0] and p[1] + p[2] <= q[1] for p, q in zip(blocks, blocks[1:]))

@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def slices(batches, columns: tuple[int, ...], items: int = 500_000):
+    """Slices of record batches whose list columns hold about so many items, to bound what a worker turns into Python objects."""
+    for batch in batches:
+        sizes = sum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(k)), 0)).astype(np.int64) for k in columns)
+        part = np.cumsum(sizes) // items if batch.num_rows else []
+        starts = np.flatnonzero(np.diff(part, prepend=-1)) if batch.num_rows else []
+        for i, s in enumerate(starts):
+            e = starts[i + 1] if i + 1 < len(starts) else batch.num_rows
+            yield batch.slice(s, e - s)
+
+
 def held_out(id_col: str) -> F.Column:
     """The evaluation fold of the contracts: crc32 of the id as text, modulo 5, is 0. A null id is in no fold."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -1,31 +1,27 @@
 """Line deduplication by pairwise alignment.
 
 Lines are compared without surrounding white space, by a 128-bit hash; blank
-lines never match. Each line that several documents hold proposes one pair for
-each later document: that document and the line's first document. So a line of
-any frequency costs one proposal an occurrence, and copies of one document pair
-with its first copy only. Every pair stands, however many documents hold its
-line, so a corpus that grows keeps no line that a smaller one loses. (RARE sets
-a limit for a pair of one line; there is none unless a caller sets it.)
-
-Standing pairs are aligned by patience diff: lines that are unique in both
-documents anchor the alignment in their longest common order, and equal
-neighbours extend each anchor to a block. Blocks of at least MIN_CHARS
-characters are deleted from the later document. The first document to hold a
-line keeps it, so no text vanishes altogether.
-
-Alignment with first holders leaves lines that repeat in a document, that stand
-in another order, or whose block has no first holder in common. With
-`unaligned`, which the query and the pipeline set, these go a second way: every
-least run of consecutive lines with MIN_CHARS characters, from each line on and
-up to each line, is hashed, and goes from every document but the first that has
-it. Such runs cover each line of each block of MIN_CHARS that two documents share.
+lines never match by themselves. Documents are paired through hashed runs of
+lines: the least runs of consecutive lines with MIN_CHARS characters, from each
+line on and up to each line. Each run that several documents hold pairs every
+later document with the run's first one, so two documents that share a block of
+MIN_CHARS, at any frequency, meet in some chain of pairs, a run costs one
+row an occurrence, and copies of one document pair with its first copy only.
+
+A pair is aligned by patience diff: equal heads and tails match, lines that are
+unique in both anchor the alignment in their longest common order, and the gaps
+between anchors are aligned again. Aligned blocks of at least MIN_CHARS
+characters are deleted from the later document. Shared runs of the pair that no
+monotone alignment can hold (a block that moved before another, or that stands
+twice in the later document) are blocks of the same pair too and go as moved
+ones; `_n_moved` counts their lines. The first document to hold a run keeps it,
+so no text vanishes altogether.
 
 Defined results: null or empty text has no lines and stays as it is; equal ids
-are one document, their rows are never compared, and each is rewritten by what
-all of them share with earlier ones; a null id is never compared; ties of the
+are one document, whose rows are never compared with each other and are each
+rewritten by their own lines; a null id is never compared; ties of the
 alignment go to the earlier line; an empty table gives an empty result; other
-columns pass through.
+columns pass through, but for those named as the added ones.
 """
 
 from __future__ import annotations
@@ -38,10 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.llm.common import Bitmap, Scratch, chunks, id_keys, long_lists, table
+from veritext.llm.common import Bitmap, Scratch, chunks, id_keys, long_lists, slices, table, unused
 
-#: Documents that may hold the only line of a pair: any number.
-RARE = 2**63 - 1
 MIN_CHARS = 40
 
 
@@ -52,49 +46,58 @@ def line_hashes(text: str | None) -> tuple[list[bytes], list[int]]:
 
 
 def _outline(batches):
-    for batch in chunks(batches, 1):
-        got = [line_hashes(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in got], pa.list_(pa.binary())), long_lists([np.array(n) for _, n in got], pa.int32())], ["id", "lines", "chars"])
+    for batch in chunks(batches, 2):
+        got = [line_hashes(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h for h, _ in got], pa.list_(pa.binary())), long_lists([np.array(n) for _, n in got], pa.int32())], ["id", "tag", "lines", "chars"])
 
 
-def patience_blocks(old: list[bytes], new: list[bytes]) -> list[tuple[int, int, int]]:
-    """Aligned common blocks (start in old, start in new, lines): unique common lines in longest common order, extended both ways."""
+def _anchors(old: list[bytes], new: list[bytes]) -> list[tuple[int, int]]:
+    """Lines that are unique in both, as (position in old, position in new), in their longest common order."""
     def unique(lines):
         at: dict[bytes, int] = {}
         for i, x in enumerate(lines):
             at[x] = -1 if x in at else i
         return at
 
-    there, here = unique(old), unique(new)
-    pairs = [(i, there[x]) for x, i in here.items() if x and i >= 0 and there.get(x, -1) >= 0]
-    pairs.sort()
-    tails, links, ends = [], [], []  # longest increasing subsequence of the positions in old
-    for k, (_, j) in enumerate(pairs):
-        p = bisect_left(tails, j)
+    there = unique(old)
+    pairs = [(there[x], i) for x, i in unique(new).items() if x and i >= 0 and there.get(x, -1) >= 0]
+    tails, links, ends = [], [], []  # longest increasing subsequence of the positions in old; pairs are in order of new
+    for k, (i, _) in enumerate(pairs):
+        p = bisect_left(tails, i)
         links.append(ends[p - 1] if p else -1)
-        if p == len(tails):
-            tails.append(j)
-            ends.append(k)
-        else:
-            tails[p], ends[p] = j, k
+        tails[p : p + 1], ends[p : p + 1] = [i], [k]
     chain, k = [], ends[-1] if ends else -1
     while k >= 0:
         chain.append(pairs[k])
         k = links[k]
-    blocks, low_new, low_old = [], 0, 0
-    chain.reverse()
-    for c, (i, j) in enumerate(chain):
-        if i < low_new or j < low_old:
-            continue  # inside the block before
-        top_new, top_old = (chain[c + 1] if c + 1 < len(chain) else (len(new), len(old)))
-        a = 0
-        while i - a > low_new and j - a > low_old and new[i - a - 1] == old[j - a - 1]:
-            a += 1
-        b = 1
-        while i + b < len(new) and j + b < len(old) and new[i + b] == old[j + b]:
-            b += 1
-        blocks.append((j - a, i - a, a + b))
-        low_new, low_old = i + b, j + b
+    return chain[::-1]
+
+
+def patience_blocks(old: list[bytes], new: list[bytes]) -> list[tuple[int, int, int]]:
+    """Aligned common blocks (start in old, start in new, lines), in order."""
+    matched, gaps = [], [(0, len(old), 0, len(new))]
+    while gaps:
+        a, b, c, d = gaps.pop()
+        while a < b and c < d and old[a] == new[c]:
+            matched.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and old[b - 1] == new[d - 1]:
+            b, d = b - 1, d - 1
+            matched.append((b, d))
+        chain = _anchors(old[a:b], new[c:d]) if a < b and c < d else []
+        low_old, low_new = a, c
+        for i, j in [(a + i, c + j) for i, j in chain]:
+            matched.append((i, j))
+            gaps.append((low_old, i, low_new, j))
+            low_old, low_new = i + 1, j + 1
+        if chain:
+            gaps.append((low_old, b, low_new, d))
+    blocks: list[tuple[int, int, int]] = []
+    for i, j in sorted(matched):
+        if blocks and blocks[-1][0] + blocks[-1][2] == i and blocks[-1][1] + blocks[-1][2] == j:
+            blocks[-1] = (*blocks[-1][:2], blocks[-1][2] + 1)
+        else:
+            blocks.append((i, j, 1))
     return blocks
 
 
@@ -103,7 +106,7 @@ def doomed_lines(old: list[bytes], new: list[bytes], chars: list[int], min_chars
     out = []
     for _, at, n in patience_blocks(old, new):
         if sum(chars[at : at + n]) >= min_chars:
-            out.extend(k for k in range(at, at + n))
+            out.extend(range(at, at + n))
     return out
 
 
@@ -123,62 +126,55 @@ def run_key(lines: list[bytes]) -> bytes:
 
 
 def _runs(batches):
-    for batch in batches:
-        ids, keys, starts, ends = [], [], [], []
-        for i, lines, chars in zip(*(c.to_pylist() for c in batch.columns)):
+    for batch in slices(batches, (2,)):
+        ids, tags, keys, starts, ends = [], [], [], [], []
+        for i, tag, lines, chars in zip(*(c.to_pylist() for c in batch.columns)):
             for s, e in least_runs(chars):
                 ids.append(i)
+                tags.append(tag)
                 keys.append(run_key(lines[s : e + 1]))
                 starts.append(s)
                 ends.append(e)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["id", "run", "start", "end"])
-
-
-def repeated_runs(outline: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, doomed): the lines of each least run that an earlier document has too. outline: id, lines, chars."""
-    runs = outline.mapInArrow(_runs, "id long, run binary, start int, end int")
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["id", "tag", "run", "start", "end"])
+
+
+def _align(batches):
+    """Rows (id, tag, old, lines, chars, runs) of pairs to the doomed lines: aligned ones, and those of shared runs left over."""
+    for batch in slices(batches, (2, 3)):
+        out = []
+        for i, tag, old, new, chars, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            aligned = set(doomed_lines(old, new, chars))
+            moved = {k for r in runs for k in range(r["start"], r["end"] + 1)} - aligned
+            out.append((i, tag, sorted(aligned), sorted(moved)))
+        cols = list(zip(*out)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["id", "tag", "aligned", "moved"])
+
+
+def deletions(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, tag, doomed, moved): indexes of the lines to delete from each later document of a pair, and how many of them are moved ones only. docs: id, tag (a hash of the text), text."""
+    outline = scratch.write(docs.where("id is not null").mapInArrow(_outline, "id long, tag long, lines array<binary>, chars array<int>"), "outline")
+    runs = outline.mapInArrow(_runs, "id long, tag long, run binary, start int, end int")
     owners = runs.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    # Written first, as the owners of lines are.
-    owners = scratch.write(owners.select("run", "first"), "run-owners")
-    return runs.join(owners, "run").where("id <> first").select("id", F.expr("sequence(start, end)").alias("doomed"))
-
-
-def deletions(docs: DataFrame, scratch: Scratch, unaligned: bool = False) -> DataFrame:
-    """(id, doomed): indexes of the lines to delete from each later document of a pair. docs: id, text; unaligned: repeated runs outside the alignment too."""
-    outline = scratch.write(docs.where("id is not null").mapInArrow(_outline, "id long, lines array<binary>, chars array<int>"), "outline")
-    held = outline.select("id", F.explode(F.array_distinct("lines")).alias("line")).where("line <> X''")
-    owners = held.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
-    # Written first, so that the join deals both sides itself and a frequent line can be split.
-    owners = scratch.write(owners.select("line", "first", "n"), "owners")
-    shared = held.join(owners, "line").where("id <> first")
-    pairs = shared.groupBy("first", "id").agg(F.min("n").alias("rarest"), F.count(F.lit(1)).alias("lines")).where(f"rarest <= {RARE} or lines >= 2")
-    pairs = scratch.write(pairs.select("first", "id"), "pairs")
-    later = outline.select("id", "lines", "chars")
+    # Written first, so that the join deals both sides itself and a frequent run can be split.
+    owners = scratch.write(owners.select("run", "first"), "owners")
+    shared = runs.join(owners, "run").where("id <> first")
+    pairs = scratch.write(shared.groupBy("first", "id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "pairs")
     earlier = outline.select(F.col("id").alias("first"), F.col("lines").alias("old"))
-    both = pairs.join(later, "id").join(earlier, "first").select("id", "old", "lines", "chars")
-
-    def align(batches):
-        for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for old, new, chars in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                out.append(doomed_lines(old, new, chars))
-            keep = [k for k, x in enumerate(out) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep], pa.int64()), pa.array([out[k] for k in keep], pa.list_(pa.int32()))], ["id", "doomed"])
-
-    found = both.mapInArrow(align, "id long, doomed array<int>")
-    if unaligned:
-        found = found.unionByName(repeated_runs(outline, scratch))
-    return found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("doomed"))).alias("doomed"))
+    both = pairs.join(outline, ["id", "tag"]).join(earlier, "first").select("id", "tag", "old", "lines", "chars", "runs")
+    found = both.mapInArrow(_align, "id long, tag long, aligned array<int>, moved array<int>")
+    each = found.groupBy("id", "tag").agg(F.array_distinct(F.flatten(F.collect_list("aligned"))).alias("aligned"), F.array_distinct(F.flatten(F.collect_list("moved"))).alias("moved"))
+    return each.select("id", "tag", F.array_union("aligned", "moved").alias("doomed"), F.size(F.array_except("moved", "aligned")).cast("long").alias("moved"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unaligned: bool = False) -> DataFrame:
-    """The documents, all columns, without deleted lines, and _n_lines and _n_removed. unaligned: see deletions.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without deleted lines, and _n_lines, _n_removed and _n_moved.
 
     Lines stay as they are and in order; a document that loses all its lines has empty text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    doomed = scratch.write(deletions(source, scratch, unaligned), "doomed")
+    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    doomed = scratch.write(deletions(docs.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.col(text_col).alias("text")), scratch), "doomed")
     touched = Bitmap(spark, doomed.select(id_keys("id").alias("key")), "key").test()
 
     @F.pandas_udf("boolean")
@@ -189,19 +185,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Untouched documents, known by a bit map on ids, pass without a shuffle. The
     # others meet their lines by a merge join at any size.
-    marked = docs.withColumn("_maybe", F.col(id_col).isNotNull() & maybe(id_keys(id_col)))
-    calm = marked.where("not _maybe").drop("_maybe").withColumn("_doomed", F.lit(None).cast("array<int>"))
-    cut = marked.where("_maybe").drop("_maybe").join(doomed.select(F.col("id").alias("_id"), F.col("doomed").alias("_doomed")).hint("merge"), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    docs = docs.drop("_n_lines", "_n_removed", "_n_moved")
+    flag, gone, moved, key, mark = (unused(docs, x) for x in ("_maybe", "_doomed", "_moved", "_key", "_mark"))
+    marked = docs.withColumn(flag, F.col(id_col).isNotNull() & maybe(id_keys(id_col)))
+    calm = marked.where(~F.col(flag)).drop(flag).withColumn(gone, F.lit(None).cast("array<int>")).withColumn(moved, F.lit(None).cast("long"))
+    theirs = doomed.select(F.col("id").alias(key), F.col("tag").alias(mark), F.col("doomed").alias(gone), F.col("moved").alias(moved)).hint("merge")
+    cut = marked.where(F.col(flag)).drop(flag).join(theirs, (F.col(id_col).cast("long") == F.col(key)) & (tag == F.col(mark)), "left").drop(key, mark)
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_doomed", i))
-    out = calm.unionByName(cut.withColumn("_doomed", F.when(F.size("_doomed") > 0, F.col("_doomed"))))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
     counts = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long")
-    out = out.withColumn("_n_lines", counts).withColumn("_n_removed", F.coalesce(F.size("_doomed"), F.lit(0)).cast("long"))
-    out = out.withColumn("_n_removed", F.when(F.col("_doomed").isNull(), F.lit(0).cast("long")).otherwise(F.col("_n_removed")))
-    return out.withColumn(text_col, F.when(F.col("_doomed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("_doomed")
+    out = calm.unionByName(cut).withColumn("_n_lines", counts).withColumn("_n_removed", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")).withColumn("_n_moved", F.coalesce(moved, F.lit(0).cast("long")))
+    return out.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop(gone, moved)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed and the digest of the text that is left, per document."""
+    """doc_id, n_lines, n_removed, n_moved and the digest of the text that is left, per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, unaligned=True).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_moved").alias("n_moved"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
