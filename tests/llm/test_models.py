@@ -188,22 +188,103 @@ def test_mixing_edges(spark):
 ITEM = "A train leaves Paris at 9 and runs 300 km to Lyon in 2 hours; how fast does the train run on average?"
 
 
-def contaminated(spark, text, item=ITEM):
-    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").selectExpr("*", "1 as item", "2 as tag")
-    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
-    (row,) = decontaminate.contamination(docs, bench).collect()
-    return row.contaminated, row.item_ids
+def check_contaminated(spark, cases):
+    """cases: document text, item text, whether the one holds the other; all in one run."""
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(cases)], "doc_id long, text string").selectExpr("*", "1 as item", "2 as tag")
+    texts = list(dict.fromkeys(i for _, i, _ in cases))
+    found = decontaminate.contamination(docs, spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).collect()
+    assert len(found) == len(cases) and all(r.contaminated == bool(r.item_ids) for r in found)
+    for r in found:
+        text, item, want = cases[r.doc_id]
+        assert (texts.index(item) in r.item_ids) == want, (text, item)
 
 
 def test_contamination(spark):
-    assert contaminated(spark, "Before. " + ITEM + " After.") == (True, [7])
     other = ITEM.replace("Paris", "Rome").replace("Lyon", "Milan").replace("300", "450").replace("9", "11").replace(" 2 ", " 3 ")
-    assert contaminated(spark, other) == (True, [7])
-    # One name for two towns breaks the mapping of the slots.
-    assert contaminated(spark, other.replace("Milan", "Rome")) == (False, [])
-    assert contaminated(spark, "A train is a thing that runs on rails and is often late in the evening.") == (False, [])
-    assert contaminated(spark, None) == (False, []) and contaminated(spark, "", "") == (False, [])
-    assert contaminated(spark, "too short", "too short") == (False, [])
+    twice = "Every guest of Paris who comes back to Paris must pay the toll of Paris at the gate of Paris again"
+    as_rome = twice.replace("Paris", "Rome")
+    check_contaminated(spark, [
+        ("Before. " + ITEM + " After.", ITEM, True),
+        (other, ITEM, True),
+        # Two values may become one; one value may not become two.
+        (other.replace("Milan", "Rome"), ITEM, True),
+        (as_rome, twice, True),
+        ("Every guest of Rome who comes back to Milan must pay the toll of Turin at the gate of Genoa again", twice, False),
+        # Values of other numbers of words stay one slot.
+        (as_rome.replace("Rome", "New York City"), twice, True),
+        (ITEM.replace("Paris", "New York City").replace("300", "12"), ITEM, True),
+        # A verbatim passage with one altered mention is still found.
+        (twice.replace("gate of Paris", "gate of Rome"), twice, True),
+        ("A train is a thing that runs on rails and is often late in the evening.", ITEM, False),
+        (None, ITEM, False),
+        ("", "", False),
+    ])
+
+
+def test_short_and_number_heavy_items_are_found_verbatim(spark):
+    items = ("What is 12 + 7?", "Ann, Bob, Carl, Dora, Emil, Fred, Gina, Hans, Ida: 3, 5, 8, 13.", "too short")
+    check_contaminated(spark, [(f"Some text before. {i} And some after.", i, True) for i in items] + [("Some text before. And some after; what is 12 or 8?", i, False) for i in items])
+
+
+def test_half_of_a_long_item_word_for_word(spark):
+    item = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80))
+    check_contaminated(spark, [("x " + " ".join(item.split()[:30]) + " y", item, True), ("x " + " ".join(item.split()[:20]) + " y", item, False), ("z " * 50000 + item, item, True)])
+
+
+def test_contamination_equals_a_plain_search(spark):
+    """Random items and documents with changed values, against all windows of all pairs."""
+    import random
+
+    rng = random.Random(12)
+    pool, names = [f"w{chr(97 + k)}x" for k in range(26)], ["Ann", "Bob", "Carl", "Dora"]
+    word = lambda: rng.choice(names) if rng.random() < 0.2 else str(rng.randrange(5)) if rng.random() < 0.2 else rng.choice(pool)
+    items = [(k, " ".join(word() for _ in range(rng.choice([3, 6, 12, 30])))) for k in range(12)]
+    docs = []
+    for k in range(60):
+        w = rng.choice(items)[1].split()
+        swap = {x: rng.choice(names) for x in names} | {str(x): str(rng.randrange(9)) for x in range(5)}
+        w = [swap.get(x, x) for x in w] if rng.random() < 0.6 else w
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            w[rng.randrange(len(w))] = word()
+        docs.append((k, " ".join(["lead", *w, "tail"])))
+
+    def tokens(text):
+        out, prev = [], ""
+        for k, x in enumerate(text.split()):
+            kind = 1 if x[0].isdigit() else 3 if x[0].isupper() and k else 0
+            if kind == 3 and prev == 3:
+                out[-1] = (3, out[-1][1] + (x.lower(),))
+            else:
+                out.append((kind, (x.lower(),)))
+            prev = kind
+        return out
+
+    def windows(text):
+        t, raw = tokens(text), text.lower().split()
+        at = np.cumsum([0] + [len(x[1]) for x in t]).tolist()
+        size = min(8, len(raw))
+        out = [(0, tuple(raw[p : p + size]), p, p + size, []) for p in range(len(raw) - size + 1)]
+        for p in range(len(t) - 7):
+            w = t[p : p + 8]
+            if sum(not k for k, _ in w) >= 4:
+                out.append((1, tuple(k or v for k, v in w), at[p], at[p + 8], [" ".join(v) for k, v in w if k]))
+        return out
+
+    want = {}
+    for k, text in docs:
+        found = []
+        for i, item in items:
+            size = min(8, len(item.split()))
+            raw = text.lower().split()
+            theirs = windows(text) + ([(0, tuple(raw[p : p + size]), p, p + size, []) for p in range(len(raw) - size + 1)] if size < 8 else [])
+            hits = [{"kind": a[0], "low": a[2], "high": a[3], "pos": b[2], "ours": a[4], "theirs": b[4]} for a in windows(item) for b in theirs if a[:2] == b[:2]]
+            share, run = decontaminate.covered(hits, len(item.split()))
+            if share >= decontaminate.COVERAGE or run >= decontaminate.VERBATIM:
+                found.append(i)
+        want[k] = found
+    shape = "id long, text string"
+    got = {r.doc_id: r.item_ids for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, shape.replace("id", "item_id"))).collect()}
+    assert got == want and sum(map(bool, want.values())) > 20
 
 
 def test_contamination_against_verbatim(spark):
@@ -214,6 +295,8 @@ def test_contamination_against_verbatim(spark):
     got = {r.doc_id: r.item_ids for r in decontaminate.contamination(docs, bench).collect()}
     assert got == want
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+    twice = decontaminate.contamination(docs.limit(20).union(docs.limit(20)), bench).collect()
+    assert len(twice) == 40 and len({(r.doc_id, r.contaminated) for r in twice}) == 20
     assert not any(r.contaminated for r in decontaminate.contamination(docs.limit(5), bench.limit(0)).collect())
 
 
