@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +73,7 @@ def unused(df: DataFrame, name: str) -> str:
 def slices(batches, columns: tuple[int, ...], items: int = 500_000):
     """Slices of record batches whose list columns hold about so many items, to bound what a worker turns into Python objects."""
     for batch in batches:
-        sizes = sum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(k)), 0)).astype(np.int64) for k in columns)
+        sizes = sum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(k)), 0)).astype(np.int64) for k in columns)
         part = np.cumsum(sizes) // items if batch.num_rows else []
         starts = np.flatnonzero(np.diff(part, prepend=-1)) if batch.num_rows else []
         for i, s in enumerate(starts):
@@ -189,7 +189,7 @@ def long_lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def chunks(batches, column: int, chars: int = 4_000_000):
     """Slices of record batches that hold about so many characters of a text column, to bound a worker's memory."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
         part = np.cumsum(sizes) // chars
         starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
         for i, s in enumerate(starts):
