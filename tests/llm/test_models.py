@@ -28,6 +28,46 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).where("lang = 'q'").unionByName(docs.where("doc_id = 5"))).collect()} == {"und"}
 
 
+def test_language_equals_a_plain_ranking(spark):
+    """Profiles, distances and winners from counted strings, over all scripts."""
+    from collections import Counter
+
+    texts = {"en": "the cat and the dog went over the hill", "ru": "кошка и собака пошли через холм", "dsrt": "𐐁𐐰𐐻 𐐁𐐲𐑉 𐐶𐐯𐑌𐐻 𐐬𐑂𐐲𐑉", "han": "𠀀𠀁 𠀂𠀃 𠀀𠀂"}
+    rows = [(k, t + " " + " ".join(t.split()[k % 3 :]), lang) for k, (lang, t) in enumerate((x for x in list(texts.items()) * 6))]
+    rows += [(100, "Кошка", None), (101, "𐐁𐐰𐐻", None), (102, "𠀁𠀂 𠀃", None), (103, "over it", None), (104, "x" * 300_000, None), (105, "٣ 42 ~", None)]
+
+    def grams(text):
+        out, words = Counter(), "".join(c.lower()[0] if c.isalpha() else " " for c in text).split()
+        flat = " " + " ".join(words) + " " if words else ""
+        for n in (1, 2, 3):
+            for k in range(len(flat) - n + 1):
+                g = flat[k : k + n]
+                if (n == 1 and g != " ") or (n == 2 and g != "  ") or (n == 3 and g[1] != " "):
+                    out[g] += 1
+        return out
+
+    def order(counts, most):
+        code = lambda g: [0] * (3 - len(g)) + [1 if c == " " else ord(c) for c in g]
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:most]
+
+    fold = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows}
+    profiles = {}
+    for lang in texts:
+        total = Counter()
+        for i, t, own in rows:
+            if own == lang and not fold[i]:
+                total += grams(t)
+        profiles[lang] = {g: k for k, g in enumerate(order(total, language_id.PROFILE_SIZE))}
+    want = {}
+    for i, t, _ in rows:
+        own = order(grams(t), language_id.DOCUMENT_SIZE)
+        away = {lang: sum(abs(p[g] - k) if g in p else language_id.OUT_OF_PLACE for k, g in enumerate(own)) for lang, p in sorted(profiles.items())}
+        want[i] = min(away, key=away.get) if own else "und"
+    got = {r.doc_id: (r.lang_pred, r.held_out) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: (want[i], fold[i]) for i in want}
+    assert [want[i] for i in (100, 101, 102, 103, 105)] == ["ru", "dsrt", "han", "en", "und"]
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_crf.score_quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
@@ -168,7 +208,7 @@ def test_url_model(spark):
 
 def test_mixing_hits_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
-    t = mixing.Targets(source={f"src{i}": 1.0 for i in range(20)}, lang={"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}, topic={"prose": 1.0, mixing.OTHER: 0.0} | {x: 0.02 for x in ("legal", "contact", "tabular")})
+    t = mixing.Targets(source={f"src{i}": 1.0 for i in range(20)}, lang={"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}, topic={"prose": 1.0, mixing.OTHER: 0.0} | {x: 0.02 for x in mixing.CUES})
     rows = mixing.weighed(docs, t, budget=0.05).withColumn("n", mixing.tokens("text")).collect()
     total = sum(r.n * r._prob for r in rows)
     assert abs(total / sum(r.n for r in rows) - 0.05) < 0.005
@@ -176,6 +216,55 @@ def test_mixing_hits_targets(spark):
         assert abs(sum(r.n * r._prob for r in rows if r.lang == lang) / total - share) < 0.02
 
 
+def check_mix(rows):
+    """Probabilities of the default targets, by raking a plain array; rows as weighed returns them."""
+    import hashlib
+    import re
+
+    n = np.array([len(re.findall("[^ \\t\\n\\x0b\\x0c\\r]+", r.text or "")) for r in rows], dtype=float)
+
+    def topic(text, words):
+        counts = [len(re.findall(p, text or "")) for p in mixing.CUES.values()]
+        return list(mixing.CUES)[int(np.argmax(counts))] if max(counts) * mixing.CUE_WORDS >= max(words, 1) else "prose"
+
+    keys = [[r.source or "other" for r in rows], [r.lang if r.lang in mixing.Targets().lang else "other" for r in rows], [topic(r.text, k) for r, k in zip(rows, n)]]
+    assert [r._topic for r in rows] == keys[2] and [r._source for r in rows] == keys[0]
+    dims = [np.unique(k, return_inverse=True) for k in keys]
+    shape = [len(d[0]) for d in dims]
+    cells = np.zeros(shape)
+    np.add.at(cells, tuple(d[1] for d in dims), n)
+    goals = []
+    for k, (names, _) in enumerate(dims):
+        total = cells.sum(tuple(j for j in range(3) if j != k))
+        goal = total**mixing.TEMPER if not k else np.array([(mixing.Targets().lang if k == 1 else mixing.Targets().topic).get(x, 0.0) for x in names]) * (total > 0)
+        goals.append(goal / goal.sum())
+    w = cells.copy()
+    for _ in range(500):
+        for k in range(3):
+            have = w.sum(tuple(j for j in range(3) if j != k), keepdims=True)
+            w = w * np.divide(goals[k].reshape([-1 if j == k else 1 for j in range(3)]), have, out=np.zeros_like(have), where=have > 0)
+    weight = np.divide(w, cells, out=np.zeros_like(w), where=cells > 0)
+    low, high = 0.0, 1e12
+    for _ in range(200):  # the rate by bisection
+        rate = (low + high) / 2
+        low, high = (rate, high) if (cells * np.minimum(1, rate * weight)).sum() < mixing.BUDGET * cells.sum() else (low, rate)
+    for r, k in zip(rows, zip(*[d[1] for d in dims])):
+        want = min(1.0, rate * weight[k])
+        assert abs(r._prob - want) < 2e-3, (r.doc_id, r._prob, want)
+        digest = hashlib.md5(f"{mixing.SEED}:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()
+        assert r._kept == (int(digest[:13], 16) / 2**52 < r._prob)
+
+
+def test_mixing_equals_plain_raking(spark):
+    check_mix(mixing.weighed(spark.read.parquet(f"{SF}/documents.parquet")).collect())
+
+
+def test_mixing_keeps_clashing_columns_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "word " * 200_000, "en", "a", 1, 2), (2, "few words here", "de", "b", 3, 4)], "doc_id long, text string, lang string, source string, n int, x int")
+    rows = {r.doc_id: r for r in mixing.weighed(docs).collect()}
+    assert (rows[1].n, rows[1].x, rows[2].n, rows[2].x) == (1, 2, 3, 4) and all(0 <= r._prob <= 1 for r in rows.values())
+
+
 def test_mixing_edges(spark):
     shape = "doc_id long, text string, lang string, source string, prob double, topic string"
     docs = spark.createDataFrame([(1, None, None, None, 0.0, ""), (2, "", "en", "src1", 0.0, ""), (None, "a b", "xx", "zz", 0.0, ""), (2, "", "en", "src1", 0.0, "")], shape)
@@ -347,27 +436,52 @@ def test_suffix_array(seed):
         assert {k for k, v in enumerate(c) if v} == want
 
 
+ITALIAN = "La mattina il vecchio pescatore scendeva verso la spiaggia con le reti sulle spalle e guardava il cielo per capire se il vento avrebbe portato pioggia prima di sera; poi spingeva la barca in acqua."
+POLISH = "Wczesnym rankiem stary rybak schodził na brzeg z sieciami na ramieniu i patrzył w niebo, żeby sprawdzić, czy przed wieczorem przyjdzie deszcz, a potem spychał łódź na wodę i długo czekał."
+
+
 def test_pipeline(spark):
+    import random
+
     import corpus_pipeline as cp
+    from tests.llm.test_dedup import components, shared_blocks
 
+    rng = random.Random(2)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
-    odd = spark.createDataFrame([(90001, None, "en", "s", 0), (90002, "123", None, None, 3)], "doc_id long, text string, lang string, source string, n_chars long")
-    docs = docs.unionByName(odd)
+    wrong = docs.where("lang = 'fr' and length(text) > 300").orderBy("doc_id").first()
+    gibberish = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(2000))
+    odd = [(90001, None, "en", "s", 0), (90002, "123", None, None, 3), (90003, gibberish, "en", "s", 9), (90004, ITALIAN, "en", "s", 9), (90005, POLISH, "en", "s", 9), (90006, wrong.text + " " + wrong.text[::-1][:0], "en", "src1", 9), (None, wrong.text, None, None, None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = docs.unionByName(docs.where("doc_id = 3"))
     held = docs
     for name, stage in cp.STAGES:
+        before = held.collect()
         out = stage(spark, held, SF)
         assert sorted(out.columns) == sorted(cp.COLUMNS), name
-        ids = {r.doc_id for r in out.select("doc_id").collect()}
-        assert ids <= {r.doc_id for r in held.select("doc_id").collect()}
+        after = out.collect()
+        ids = {r.doc_id for r in after}
+        assert ids <= {r.doc_id for r in before}
         if name == "language":
-            assert not ids & {90001, 90002} and len(ids) == docs.count() - 2
+            assert {r.doc_id for r in before} - ids == {90001, 90002, 90003, 90004, 90005}
+            assert {r.lang for r in after if r.doc_id in (90006, None)} == {"fr"}
+        if name == "lines":
+            doomed = shared_blocks([(r.doc_id, r.text) for r in before])
+            for r in after:
+                text = next(x.text for x in before if x.doc_id == r.doc_id)
+                left = [x.strip() for k, x in enumerate(text.split("\n")) if k not in doomed.get(r.doc_id, ())]
+                assert [x for x in map(str.strip, r.text.split("\n")) if x] == [x for x in left if x]
+            assert {r.doc_id for r in before} - ids == {r.doc_id for r in before if r.doc_id is not None and not any(x.strip() for k, x in enumerate(r.text.split("\n")) if k not in doomed[r.doc_id])}
         if name == "near-copies":
-            from tests.llm.test_dedup import components
-
-            rows = [(r.doc_id, r.text) for r in held.collect()]
-            assert ids == set(components(rows).values())
+            assert ids == set(components([(r.doc_id, r.text) for r in before if r.doc_id is not None]).values()) | {None}
         if name == "benchmark":
             items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-            assert ids == {r.doc_id for r in held.collect() if not any(i in " ".join(r.text.lower().split()) for i in items)}
-        held = out
+            assert ids == {r.doc_id for r in before if not any(i in " ".join(r.text.lower().split()) for i in items)}
+        if name == "mix":
+            chosen = {r.doc_id: r._kept for r in mixing.weighed(held).collect()}
+            assert ids == {i for i, k in chosen.items() if k}
+            check_mix(mixing.weighed(held).collect())
+        held = spark.createDataFrame(after, held.schema)
     assert cp.run(spark, SF).count() > 0
+    empty = docs.limit(0)
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name

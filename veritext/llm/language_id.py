@@ -3,8 +3,9 @@
 A language's profile ranks its most frequent n-grams (1 to 3 letters of words
 padded with spaces) over the training fold. A document's own most frequent
 n-grams are ranked alike, over its whole text, and the language whose profile
-has the least out-of-place distance wins. Text is counted in bins of a fixed
-alphabet, so a document costs one sort of its n-gram codes.
+has the least out-of-place distance wins. Letters of every script count as
+themselves, in lower case; three code points fit in one 64-bit n-gram code, so a
+document costs one sort of its codes.
 
 The profiles are fitted on about PROFILE_DOCS documents a language, chosen by a
 hash of the id; that bound does not touch what is predicted.
@@ -30,38 +31,41 @@ PROFILE_DOCS = 4000
 PROFILE_SIZE, DOCUMENT_SIZE = 1000, 400
 #: Rank distance of an n-gram that a profile lacks.
 OUT_OF_PLACE = PROFILE_SIZE
-_CODES = 512
 UNDETERMINED = "und"
-
+#: Bits of a letter's code point, and the code of the gap between words.
+_BITS, _GAP = 21, 1
 
 _CODE_TABLE: list[np.ndarray] = []
 
 
-def _letters() -> np.ndarray:
-    """Code of each BMP character: 0 no letter, 1-26 a-z, others by a hash of the lower-case letter."""
-    if _CODE_TABLE:
-        return _CODE_TABLE[0]
-    codes = np.zeros(65536, dtype=np.int64)
-    for c in range(65536):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ch.lower()[0]
-            codes[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) * 2654435761 >> 8) % (_CODES - 27)
-    _CODE_TABLE.append(codes)
-    return codes
+def _letter(point: int) -> int:
+    """The lower-case code point of a letter; 0 for other characters."""
+    ch = chr(point)
+    return ord(ch.lower()[0]) if ch.isalpha() else 0
+
+
+def letters(points: np.ndarray) -> np.ndarray:
+    """Lower-case code points of letters, 0 for other characters; those of the first plane come from a table."""
+    if not _CODE_TABLE:
+        _CODE_TABLE.append(np.array([_letter(c) for c in range(65536)], dtype=np.int64))
+    out = _CODE_TABLE[0][np.minimum(points, 65535)]
+    high = points > 65535
+    if high.any():
+        kinds, which = np.unique(points[high], return_inverse=True)
+        out[high] = np.array([_letter(int(c)) for c in kinds], dtype=np.int64)[which]
+    return out
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes of a text and how often each occurs."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = _letters()[np.minimum(points, 65535)]
+    c = letters(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
     c = np.concatenate([[0], c, [0]])
-    keep = (c > 0) | np.concatenate([[True], c[:-1] > 0])  # one gap between words
-    c = c[keep]
-    two = c[:-1] * _CODES + c[1:]
-    three = (two[:-1] * _CODES + c[2:])[(c[1:-1] > 0)]
-    parts = [c[c > 0], (two[(c[:-1] > 0) | (c[1:] > 0)]) + _CODES, three + _CODES**2 + _CODES]
-    return np.unique(np.concatenate(parts), return_counts=True)
+    c = c[(c > 0) | np.concatenate([[True], c[:-1] > 0])]  # one gap between words
+    is_letter = c > 0
+    c = np.where(is_letter, c, _GAP)
+    two = (c[:-1] << _BITS) | c[1:]
+    three = (two[:-1] << _BITS) | c[2:]
+    return np.unique(np.concatenate([c[is_letter], two[is_letter[:-1] | is_letter[1:]], three[is_letter[1:-1]]]), return_counts=True)
 
 
 def ranking(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -98,7 +102,7 @@ def fit_profiles(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fol
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, train: DataFrame | None = None) -> DataFrame:
-    """id, held_out, lang_pred, score per document; keep: further columns to return.
+    """id, held_out, lang_pred, score and n_ranked (n-grams that were ranked) per document; keep: further columns to return.
 
     score is the margin of the winning distance over the runner-up's, times the
     share of the document's n-grams the winner's profile knows; 0 to 1."""
@@ -112,12 +116,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def predict(batches):
         for batch in chunks(batches, batches_text):
-            names, scores = [], []
+            names, scores, ranked = [], [], []
             for text in batch.column(batches_text).to_pylist():
                 found, counts = ngram_counts(text or "")
                 if not len(found) or not langs:
                     names.append(UNDETERMINED)
                     scores.append(0.0)
+                    ranked.append(min(len(found), DOCUMENT_SIZE))
                     continue
                 own = ranking(found, counts, DOCUMENT_SIZE)
                 at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
@@ -130,16 +135,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 rival = away[order[1]] if len(order) > 1 else OUT_OF_PLACE * len(own)
                 margin = 1.0 - away[best] / rival if rival else 0.0
                 names.append(langs[best])
+                ranked.append(len(own))
                 scores.append(round(min(1.0, max(0.0, (0.5 + 0.5 * margin) * known)), 6))
             columns = [c for i, c in enumerate(batch.columns) if i != batches_text or text_col in (keep or [])]
             labels = [c for i, c in enumerate(batch.schema.names) if i != batches_text or text_col in (keep or [])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*labels, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(ranked, pa.int32())], [*labels, "lang_pred", "score", "n_ranked"])
 
     keep = list(dict.fromkeys([id_col, *(keep or [])]))
     inner = docs.select(*[F.col(f"`{c}`") for c in keep if c != text_col], fold.alias("held_out"), F.col(text_col))
     batches_text = len(inner.columns) - 1
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema if f.name != text_col or text_col in keep)
-    return inner.mapInArrow(predict, f"{shape}, lang_pred string, score double")
+    return inner.mapInArrow(predict, f"{shape}, lang_pred string, score double, n_ranked int")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
