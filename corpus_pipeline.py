@@ -17,39 +17,56 @@ from veritext.llm.mixing import weighed
 from veritext.llm.near_dedup import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Language scores below it mean that a text is like no known language.
-MIN_LANGUAGE_SCORE = 0.15
+#: A document goes if its language score is under SLACK times the score that all but QUANTILE of the documents with
+#: a right prediction reach, among those of about its number of n-grams; groups of under LEAST such documents take the lowest of the others' thresholds.
+QUANTILE, SLACK, LEAST = 0.001, 0.8, 50
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the profiles know; those without letters or like no profile go."""
-    docs = docs.select(*COLUMNS)
-    found = identify(docs, keep=COLUMNS)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
+    """Documents in a language that the profiles know, whose lang becomes the predicted one.
+
+    Those without letters, and those whose score is low beside the scores of rightly predicted training documents
+    of their size, go; null text counts as empty, a wrong or null lang is replaced, repeated rows stay or go
+    together, an empty table stays empty."""
+    scored = Scratch(spark, "language").write(identify(docs.select(*COLUMNS), keep=COLUMNS), "scored")
+    size = F.floor(F.log2(F.col("n_ranked").cast("double"))).cast("int")  # at most 9 groups
+    right = scored.where(~F.col("held_out") & F.col("doc_id").isNotNull() & (F.col("lang_pred") == F.col("lang")) & (F.col("n_ranked") > 0))
+    # Scores in thousandths, so that the quantile keeps at most a thousand numbers a group.
+    found = right.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile(floor(score * 1000), {QUANTILE})").alias("q")).collect()
+    least = {r["size"]: SLACK * r["q"] / 1000 for r in found if r["n"] >= LEAST}
+    lowest = min(least.values(), default=0.0)
+    needed = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, v)]) if least else None
+    threshold = F.coalesce(needed[size], F.lit(lowest)) if least else F.lit(lowest)
+    kept = scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= threshold))
+    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in COLUMNS])
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the blocks of lines that earlier ones have; those left without text go. n_chars is counted anew."""
+    """Documents without the blocks of lines that earlier ones have; those left without text go. n_chars is counted anew.
+
+    Null and empty texts and null ids stay as they are; an empty table stays empty."""
     out = dedup_lines(docs.select(*COLUMNS)).where("_n_removed = 0 or trim(text) <> ''")
     return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    Documents without words, and those without an id, stay; rows that repeat a kept id stay together."""
     dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     # The merge join moves alike at every size; a group of copies may be most of the corpus.
     return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def no_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, re-parameterised ones included."""
+    """Documents that hold no benchmark item, re-parameterised ones included. Null and empty texts stay."""
     found = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "tag").distinct()
     tagged = docs.withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     return tagged.join(found.withColumnRenamed("doc_id", "_id"), F.col("_tag").eqNullSafe(F.col("tag")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample at the target weights of sources, languages and topics."""
+    """A sample at the target weights of sources, predicted languages and topics; rows of one id stay or go together."""
     return weighed(docs).where("_kept").select(*COLUMNS)
 
 
