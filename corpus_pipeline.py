@@ -17,9 +17,10 @@ from veritext.llm.mixing import weighed
 from veritext.llm.near_dedup import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document goes if its language score is under SLACK times the score that all but QUANTILE of the documents with
-#: a right prediction reach, among those of about its number of n-grams; groups of under LEAST such documents take the lowest of the others' thresholds.
-QUANTILE, SLACK, LEAST = 0.001, 0.8, 50
+#: A document goes if its language score is under SLACK times the median of the training documents with a right prediction
+#: and about its number of n-grams (the median, since garbage that carries a language's label scores low but "right");
+#: groups of under LEAST such documents take the lowest of the others' thresholds.
+SLACK, LEAST = 0.4, 20
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     size = F.floor(F.log2(F.col("n_ranked").cast("double"))).cast("int")  # at most 9 groups
     right = scored.where(~F.col("held_out") & F.col("doc_id").isNotNull() & (F.col("lang_pred") == F.col("lang")) & (F.col("n_ranked") > 0))
     # Scores in thousandths, so that the quantile keeps at most a thousand numbers a group.
-    found = right.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile(floor(score * 1000), {QUANTILE})").alias("q")).collect()
+    found = right.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(floor(score * 1000), 0.5)").alias("q")).collect()
     least = {r["size"]: SLACK * r["q"] / 1000 for r in found if r["n"] >= LEAST}
     lowest = min(least.values(), default=0.0)
     needed = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, v)]) if least else None
