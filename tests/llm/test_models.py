@@ -408,9 +408,65 @@ def test_repeated_blocks_without_structure(spark):
     menu, tail = "Home News Sport Weather Contact us About this site", "All rights reserved by the example publishing company"
     pages = spark.createDataFrame([(i, f"http://a.org/{i}", f"<div>{menu}</div><div>Text number {i} says something of its own, {i * i} times over.</div><div>{tail}</div>") for i in range(6)], "page_id long, url string, html string")
     for r in html_extract.extract(pages).collect():
-        assert r.text == f"Text number {r.page_id} says something of its own, {r.page_id ** 2} times over." and r.n_repeated > 10
+        assert r.text == f"Text number {r.page_id} says something of its own, {r.page_id ** 2} times over." and (r.n_cut, r.n_asked) == (2, 3)
 
 
+def plain_pages(n, host="a.org"):
+    """Pages without structure: a menu on all of them, a notice on three, a text of their own."""
+    menu, note = "Home News Sport Weather Contact us About this site", "A notice that stands on just three of the pages here"
+    return [(i, f"http://{host}/{i}", f"<div>{menu}</div><div>Text number {i} says something of its own, {i * i} times over.</div>" + (f"<div>{note}</div>" if i % (n // 3 or 1) == 0 and i // (n // 3 or 1) < 3 else "")) for i in range(n)]
+
+
+@pytest.mark.parametrize("chars", [300, 1000, 10**9])
+def test_shards_and_other_hosts_change_nothing(spark, monkeypatch, chars):
+    """A host in many shards, one shard, or beside many other pages: the same text, equal to a plain count of runs."""
+    monkeypatch.setattr(html_extract, "SHARD_CHARS", chars)
+    rows = plain_pages(12) + [(100 + i, u, h) for i, u, h in plain_pages(12)[:2]] + [(200 + i, u, h) for i, u, h in plain_pages(2, "b.org")] + [(300, "http://a.org/x", PAGE)]
+    streams = {i: [(t, z) for t, z in html_extract.page_blocks(h)] for i, _, h in rows}
+
+    def runs(i):
+        words = " ".join(t for t, _ in streams[i]).split(" ")
+        return [tuple(words[k : k + 6]) for k in range(len(words) - 5)]
+
+    want = {}
+    for i, url, html in rows:
+        mine = {h for j, u, h in rows if u.split("/")[2] == url.split("/")[2]}
+        held = {h: set(runs(next(j for j, _, x in rows if x == h))) for h in mine}
+        again, kept, at = set(), [], 0
+        for k, r in enumerate(runs(i)):
+            if sum(r in s for s in held.values()) >= 3:
+                again |= set(range(k, k + 6))
+        for text, zone in streams[i]:
+            n = len(text.split(" "))
+            if zone == html_extract.ARTICLE or (not any(z == html_extract.ARTICLE for _, z in streams[i]) and zone == html_extract.OPEN and 2 * len(again & set(range(at, at + n))) < n):
+                kept.append(text)
+            at += n
+        want[i] = "\n\n".join(kept)
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and "Home" not in got[5] and "Home" in got[200] and "notice" not in got[0]
+
+
+def test_boilerplate_of_most_pages_goes_from_articles_too():
+    blocks = [[(f"A text number {i} with words of its own", 2), ("Subscribe to our letter for more stories like this one", 2)] for i in range(30)]
+    hashes = html_extract.WordHashes()
+    both = html_extract.repeated_tokens([html_extract._stream([t for t, _ in b], hashes) for b in blocks])
+    assert [html_extract.main_text(b, *x)[0] for b, x in zip(blocks, zip(*both))] == [b[0][0] for b in blocks]
+    few = html_extract.repeated_tokens([html_extract._stream([t for t, _ in b], hashes) for b in blocks[:8]])
+    assert html_extract.main_text(blocks[0], few[0][0], few[1][0])[1] == 0
+
+
+def test_class_words_inside_an_article():
+    html = '<article><div class="article-header"><h1>Head</h1></div><p>Order from the <span class="menu">menu</span> now.</p><section class="related-work"><p>Others did it.</p></section><div class="ad">Buy</div><div class="post-comments"><p>Nice</p></div><ul class="site-menu"><li>Home</li></ul></article>'
+    assert [t for t, z in html_extract.page_blocks(html) if z == html_extract.ARTICLE] == ["Head", "Order from the menu now.", "Others did it."]
+
+
+def test_end_tags_without_a_start_are_cheap():
+    import time
+
+    began = time.perf_counter()
+    blocks = html_extract.page_blocks("<div>" * 40000 + "text" + "</p>" * 40000 + "</div>" * 40000 + "<p>" + "word " * 400_000)
+    assert [t[:4] for t, _ in blocks] == ["text", "word"] and time.perf_counter() - began < 20
+
 @pytest.mark.parametrize("seed", range(4))
 def test_suffix_array(seed):
     rng = np.random.default_rng(seed)
@@ -426,7 +482,7 @@ def test_suffix_array(seed):
         assert shared[k] == n
     pages = [rng.integers(0, 4, rng.integers(0, 60)).astype(np.uint64) * np.uint64(2) for _ in range(6)]
     pages.append(pages[0])
-    got = html_extract.repeated_tokens(pages, 4, 3)
+    got, _ = html_extract.repeated_tokens(pages, 4, 3)
     kinds = {tuple(p.tolist()) for p in pages}
     for p, c in zip(pages, got):
         p, want = p.tolist(), set()
