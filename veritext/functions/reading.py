@@ -97,6 +97,7 @@ def treatment(text: str, span: tuple[int, int] | None = None) -> str:
 
 
 _COURTS = {c: re.compile("(?i:" + (p + HOLDING_VERB).replace(" ", r"\s+") + ")") for c, p in COURTS.items()}
+# A recital of the lexicon (fixed values there) that a comma ends, right before a court's name.
 _RECITAL = re.compile(rf"(?i)\b(?:{'|'.join(r.replace(' ', r'\s+') for r in RECITALS)})\w*\b[^,]{{0,60}},\s*(?:the\s+)?$")
 _BENCH = re.compile(rf"(?i)\b({'|'.join(BENCHES)})[-\s]?(?:Judge|Member)s?\s+Bench\b")
 
@@ -124,8 +125,33 @@ def hierarchy(text: str, court_name: str | None, bench: int | None) -> str:
 # ---- polarity
 
 _NEGATES, _REJECTS_CLAIM, _CLAIM = (re.compile(cue(p, word=True)) for p in (NEGATORS, REJECTIONS, CLAIM_WORDS))
+# Where a sentence falls into clauses: marks, "that" after a word of saying, and the joints of the lexicon (fixed values there).
 _JOINT = re.compile(rf"(?i)([;:,]|\s\b(?:{'|'.join(SAYING)})\s+that\b|\s\bwhether\b|\s\b(?:{'|'.join(JOINTS)})\b)")
-_STATUTE = re.compile(r"\b(?:[Ss]ections?|[Aa]rticles?|[Rr]ules?|[Oo]rders?|[Cc]lauses?)\s+\d+[A-Za-z-]*|(?:\b[A-Z][A-Za-z]+\s+(?:and\s+|of\s+|the\s+)?)*\b(?:Act|Code|Rules|Constitution|Ordinance|Regulations)\b(?:,?\s*\d{4})?")
+# What a provision and an enactment are called.
+PROVISIONS, ENACTMENTS = frozenset("section sections article articles rule rules order orders clause clauses".split()), frozenset("Act Code Rules Constitution Ordinance Regulations".split())
+_LINKING = frozenset(("and", "of", "the"))
+
+
+def statute_terms(text: str) -> set[str]:
+    """Tokens of the provisions and enactments that a text names: "section 80", "Code of Civil Procedure, 1908"."""
+    words = text.split()
+    bare = [w.strip("(),.;:'\"") for w in words]
+    capital = [w == b and len(b) > 1 and b.isalpha() and b[0].isupper() for w, b in zip(words, bare)]
+    named: set[int] = set()
+    for k, word in enumerate(bare):
+        if (word.lower() in PROVISIONS and word[1:].islower()) and k + 1 < len(bare) and bare[k + 1][:1].isdigit():
+            named |= {k, k + 1}
+        if word in ENACTMENTS:
+            named.add(k)
+            at = k
+            while at and (capital[at - 1] or (at > 1 and words[at - 1] in _LINKING and capital[at - 2])):
+                at -= 1
+                named.add(at)
+            if k + 1 < len(bare) and len(bare[k + 1]) == 4 and bare[k + 1].isdigit():
+                named.add(k + 1)
+    return {t for k in named for t in py_tokens(bare[k])}
+
+
 
 
 def distinctive(text: str) -> set[str]:
@@ -189,7 +215,7 @@ def opposes(proposition: str, sentence: str, weights: dict[str, float] | None =
     shared = wanted & distinctive(sentence)
     if len(shared) < MIN_TERMS or len(shared) / len(wanted) < MIN_TERM_SHARE:
         return None
-    referring = {t for m in _STATUTE.finditer(proposition) for t in py_tokens(m[0])}
+    referring = statute_terms(proposition)
     substance = len(shared - referring)
     if substance < 1:
         return None

@@ -156,8 +156,15 @@ def separate_opinions(paragraphs: DataFrame) -> DataFrame:
 def strip_signoff(paragraphs: DataFrame) -> DataFrame:
     """The last paragraph of each version without the publisher's sign-off at its foot; others as they are."""
     last = F.col("seq") == F.max("seq").over(Window.partitionBy("version"))
-    bare = F.regexp_replace("body", structure.SIGNOFF, "")
-    return paragraphs.withColumn("body", F.when(last, bare).otherwise(F.col("body")))
+    strip = structure.without_signoff
+
+    @F.pandas_udf("string")
+    def bare(bodies):
+        return bodies.map(lambda x: None if x is None else strip(x))
+
+    marked = paragraphs.withColumn("_last", last)
+    # Only last paragraphs go through Python.
+    return marked.where(~F.col("_last")).unionByName(marked.where("_last").withColumn("body", bare("body"))).drop("_last")
 
 
 def disposition(paragraphs: DataFrame) -> DataFrame:
