@@ -177,3 +177,14 @@ def test_quotes_meet_every_passage(spark):
     got = contrary.quote_matches(spark.createDataFrame(quotes, "item_id long, quote string"), spark.createDataFrame(passages, "doc_id long, text string, ocr boolean")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert {(1, 1000), (1, 1001), (1, 1006), (3, 1003)} <= {x[:2] for x in want}
+
+
+def test_contained_finds_quotations_of_any_length(spark):
+    from veritext.operators import contrary
+
+    texts = [(1, "alpha beta  Gamma delta epsilon"), (2, "nothing here"), (3, "x" + " one two three four five six seven eight nine ten" + "y"), (4, None), (5, "")]
+    quotes = [(1, "beta gamma delta"), (2, "gamma"), (3, "amma del"), (4, "ne two three four five six seven eight nine te"), (5, "beta delta"), (6, "one two three four five six seven nine"), (7, None), (8, "HERE")]
+    got = {(r.doc_id, r.item_id) for r in contrary.contained(spark.createDataFrame(quotes, "item_id long, quote string"), spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    fold = lambda s: " ".join(s.lower().split())
+    assert got == {(d, q) for d, t in texts for q, s in quotes if t is not None and s is not None and fold(s) in fold(t)}
+    assert contrary.contained(spark.createDataFrame([], "item_id long, quote string"), spark.createDataFrame(texts, "doc_id long, text string")).count() == 0

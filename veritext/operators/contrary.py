@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritext.functions.citations import extract
@@ -81,14 +81,45 @@ def _shift(cite: str, by: int) -> str:
     return re.sub(r"(\d+)(\D*)$", lambda m: f"{int(m[1]) + by}{m[2]}", cite)
 
 
+def word_runs(text: Column, size: int) -> Column:
+    """Hashes of all runs of so many words of a folded text, each once, sliced within the row."""
+    words = F.split(text, " ")
+    last = F.size(words) - size + 1
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: F.xxhash64(F.lit(size), F.array_join(F.slice(words, i, size), " ")))
+    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<long>"))
+
+
+#: Words inside a quotation by which it meets texts.
+INNER_WORDS = 6
+
+
+def contained(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, item_id: texts that hold a quotation as a string, both folded. quotes: item_id, quote; texts: doc_id, text.
+
+    The words inside a quotation, without its first and last, are whole words wherever it stands; a run of them
+    joins quotations and texts by hash, and the strings are compared. Quotations of one or two words have none
+    inside, so these, part of a stated set, are looked up in every text."""
+    asked = quotes.where("quote is not null").select("item_id", folded(F.col("quote")).alias("quote")).withColumn("inner", F.least(F.size(F.split("quote", " ")) - 2, F.lit(INNER_WORDS)))
+    said = texts.where("text is not null").select("doc_id", folded(F.col("text")).alias("said"))
+    sizes = sorted(r[0] for r in asked.select("inner").distinct().collect())  # INNER_WORDS + 1 numbers at most
+    found = said.join(asked.where("inner < 1"), F.contains("said", "quote")).select("doc_id", "item_id") if sizes and sizes[0] < 1 else None
+    long = [n for n in sizes if n > 0]
+    if long:
+        words = F.split("quote", " ")
+        keyed = asked.where("inner > 0").select("item_id", F.xxhash64("inner", F.array_join(F.slice(words, F.lit(2), F.col("inner")), " ")).alias("g"))
+        held = said.select("doc_id", F.explode(F.flatten(F.array(*[word_runs(F.col("said"), n) for n in long]))).alias("g"))
+        pairs = held.join(keyed, "g").select("doc_id", "item_id").distinct()
+        met = pairs.join(said, "doc_id").join(asked.select("item_id", "quote"), "item_id").where(F.contains("said", "quote")).select("doc_id", "item_id")
+        found = met if found is None else found.unionByName(met)
+    return (said.crossJoin(asked.limit(0)).select("doc_id", "item_id") if found is None else found).distinct()
+
+
 def shared_runs(claims: DataFrame, passages: DataFrame, least: int = 6) -> DataFrame:
     """claim_id, id, words: the longest run of each claim's words in each passage that shares least words in a row with it.
 
-    Claims meet passages by hashed word runs of that length, so only sharing pairs are compared."""
+    Claims meet passages by hashed word runs of that length, cut within the row, so only sharing pairs are compared."""
     def grams(df, key, text):
-        words = df.select(key, F.posexplode(F.split(folded(F.col(text)), " ")).alias("pos", "word"))
-        ahead = Window.partitionBy(key).orderBy("pos").rowsBetween(0, least - 1)
-        return words.select(key, F.xxhash64(F.collect_list("word").over(ahead)).alias("g")).distinct()
+        return df.select(key, F.explode(word_runs(folded(F.col(text)), least)).alias("g"))
 
     left, right = grams(claims, "claim_id", "claim"), grams(passages, "id", "text")
     pairs = right.join(left, "g").select("claim_id", "id").distinct()

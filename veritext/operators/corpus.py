@@ -184,9 +184,10 @@ def check_pinpoint(claims: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 
 def text_versions(documents: DataFrame, key: str = "version", text: str = "text") -> DataFrame:
-    """version, sha256, char_count, and whether enough text for a judgment is there."""
+    """version, sha256, char_count, n_words, and whether enough text for a judgment is there."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return documents.select(F.col(key).alias("version"), F.sha2(body, 256).alias("sha256"), F.length(body).alias("char_count"), (F.length(body) > 500).alias("has_judgment"))
+    words = F.regexp_count(body, F.lit("[\\p{L}\\p{N}_]+"))
+    return documents.select(F.col(key).alias("version"), F.sha2(body, 256).alias("sha256"), F.length(body).alias("char_count"), words.alias("n_words"), (F.length(body) > 500).alias("has_judgment"))
 
 
 def replace_versions(held: DataFrame, new: DataFrame, key: str = "version") -> DataFrame:
@@ -197,3 +198,26 @@ def replace_versions(held: DataFrame, new: DataFrame, key: str = "version") -> D
 def corrected_bench(recorded: Column, coram: Column) -> Column:
     """The printed bench line corrects the recorded strength upward only."""
     return F.greatest(F.coalesce(recorded, F.lit(0)), F.coalesce(F.size(coram), F.lit(0)))
+
+
+def figures(documents: DataFrame, source: str, judgments: DataFrame, day: str) -> DataFrame:
+    """n, sources, first_day, last_day: size of a corpus and the days that it spans."""
+    days = judgments.agg(F.min(day).cast("date").cast("string").alias("first_day"), F.max(day).cast("date").cast("string").alias("last_day"))
+    return documents.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(source).alias("sources")).join(F.broadcast(days), F.lit(True))  # one row each
+
+
+def by_court(judgments: DataFrame) -> DataFrame:
+    """court, n; a court of null is unrecorded."""
+    return judgments.groupBy(F.coalesce("court", F.lit("unrecorded")).alias("court")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def opinion_counts(opinions: DataFrame) -> DataFrame:
+    """kind, n, versions: opinions of each kind, and how many versions have one."""
+    return opinions.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("version").alias("versions"))
+
+
+def last_paragraphs(paragraphs: DataFrame) -> DataFrame:
+    """The last paragraph of each version, in one pass without a window."""
+    rest = [c for c in paragraphs.columns if c != "version"]
+    last = paragraphs.groupBy("version").agg(F.max_by(F.struct(*rest), "seq").alias("last"))
+    return last.select("version", *[F.col(f"last.{c}").alias(c) for c in rest])

@@ -35,6 +35,12 @@ def blocked_pairs(names: DataFrame, titles: DataFrame) -> DataFrame:
     return met.unionByName(asked.where("coalesce(year, 0) = 0").crossJoin(of_any).select("name", "year", "title", "case", "n"))
 
 
+def within_a_year(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of two tables with equal keys whose years differ by one at most: a band join as an equi-join of three copies of one side."""
+    near = left.withColumn("_year", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1))).drop("year")
+    return near.join(right.withColumnRenamed("year", "_year"), [*keys, "_year"]).drop("_year")
+
+
 def by_parties(names: DataFrame, titles: DataFrame, least: float = PARTY_SCORE, margin: float = PARTY_MARGIN, top: int = 5) -> DataFrame:
     """name_id, case, score, status: found, or ambiguous if a runner-up is within the margin; not_found otherwise."""
     pairs = blocked_pairs(names, titles)

@@ -130,3 +130,20 @@ def recall_at(outcomes: DataFrame, *ks: int) -> DataFrame:
 def flips(pairs: DataFrame) -> DataFrame:
     """opposed_only, agreed_only, both, neither over pairs (key, opposed, agreed) of flags."""
     return pairs.agg(F.count_if(F.expr("opposed and not agreed")).alias("opposed_only"), F.count_if(F.expr("agreed and not opposed")).alias("agreed_only"), F.count_if(F.expr("opposed and agreed")).alias("both_flagged"), F.count_if(F.expr("not opposed and not agreed")).alias("neither"))
+
+
+def traffic(calls: DataFrame) -> DataFrame:
+    """kind, mean_value, share of all calls. calls: kind, value."""
+    n = calls.agg(F.count(F.lit(1)).alias("total"))
+    by = calls.groupBy("kind").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count(F.lit(1)).alias("n"))
+    return by.join(F.broadcast(n), F.lit(True)).select("kind", "mean_value", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+def outcome_table(items: DataFrame, key: str, outcomes: list[str]) -> DataFrame:
+    """Counts of each outcome per key, a column an outcome; zero where there is none. items: key, outcome."""
+    return items.groupBy(key).agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in outcomes])
+
+
+def lowered(step: Column, down: Column, floor: Column) -> Column:
+    """The grade (A to F) some steps below a step (0 for A), F at the most, and at least as bad as a floor's step."""
+    return F.get(F.array(*[F.lit(g) for g in "ABCDEF"]), F.greatest(F.least(step + down, F.lit(5)), floor).cast("int"))

@@ -27,13 +27,13 @@ def query(name: str, sql: str | None = None):
 _EDGES_SQL = """
 edges AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_suppkey AS citing, l_partkey % 100 AS cited,
   CASE l_orderkey % 7 WHEN 0 THEN 'overruled' WHEN 1 THEN 'doubted' WHEN 2 THEN 'relied_on' WHEN 3 THEN 'followed' WHEN 4 THEN 'referred' WHEN 5 THEN 'distinguished' ELSE 'partly_overruled' END AS treatment,
-  CAST(l_shipdate AS DATE) AS citing_date FROM lineitem WHERE l_linenumber <= 2)
+  CAST(l_shipdate AS DATE) AS citing_date FROM lineitem)
 """
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(*[F.lit(t) for t in _TREATMENTS])
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 2")
+    li = table(spark, sf, "lineitem")
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_suppkey").alias("citing"), (F.col("l_partkey") % 100).alias("cited"), F.get(names, (F.col("l_orderkey") % 7).cast("int")).alias("treatment"), F.col("l_shipdate").cast("date").alias("citing_date"))
 
 
@@ -103,11 +103,11 @@ def outranked_by(spark, sf):
 
 
 @query("table_of_authorities", """
-WITH c AS (SELECT DISTINCT p_partkey AS judgment, p_name AS title, p_size AS court_rank, CAST(l_linenumber AS VARCHAR) AS label FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 2)
+WITH c AS (SELECT DISTINCT p_partkey AS judgment, p_name AS title, p_size AS court_rank, CAST(l_linenumber AS VARCHAR) AS label FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT judgment, title, string_agg(label, ', ' ORDER BY len(label), label) AS labels, CAST(row_number() OVER (ORDER BY court_rank, title, judgment) AS INTEGER) AS place FROM c GROUP BY judgment, title, court_rank
 """)
 def table_of_authorities(spark, sf):
-    cites = table(spark, sf, "lineitem").join(table(spark, sf, "part").where("p_size <= 2"), F.col("p_partkey") == F.col("l_partkey"))
+    cites = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
     return authorities_table(cites.select(F.col("p_partkey").alias("judgment"), F.col("p_name").alias("title"), F.col("p_size").alias("court_rank"), F.lit(None).cast("date").alias("decided"), F.col("l_linenumber").cast("string").alias("label")))
 
 
@@ -197,14 +197,14 @@ def fuzzy_party_match(spark, sf):
     return resolve.by_parties(names, titles)
 
 
-@query("supra_resolve", "SELECT 'd1' AS citing, 3 AS seq, 'Kasturi' AS name, 'A1' AS cited")
+@query("supra_resolve")
 def supra_resolve(spark, sf):
     body = spark.createDataFrame([("d1", 3, "As held in Kasturi (supra), the rule applies."), ("d1", 4, "In Unknown Person (supra) nothing was said.")], "citing string, seq int, body string")
     cited = spark.createDataFrame([("d1", "A1", "Kasturi v. Iyyamperumal"), ("d1", "B2", "State of Kerala v. Rao")], "citing string, cited string, title string")
     return citator.supra_references(body, cited)
 
 
-@query("edges_from_text", "SELECT * FROM (VALUES ('Z9', 'A1', 'followed', 1), ('Z9', 'B2', 'overruled', 2), ('Z9', 'B2', 'referred', 3)) t(citing, cited, treatment, seq)")
+@query("edges_from_text")
 def edges_from_text(spark, sf):
     body = spark.createDataFrame([("Z9", 1, "We respectfully follow the law in A v. B, (2019) 4 SCC 1."), ("Z9", 2, "B v. C, AIR 1973 SC 1461 is hereby overruled."), ("Z9", 3, "“B v. C, AIR 1973 SC 1461 is hereby overruled.”")], "citing string, seq int, body string")
     return citator.citation_edges(body, _alias_table(spark))

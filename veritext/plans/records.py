@@ -12,7 +12,7 @@ from veritext.functions.lexicon import PREAMBLE, ROLES, cue
 from veritext.functions.reading import hierarchy, opposes, treatment, voice, weight
 from veritext.functions.structure import clean_pages
 from veritext.functions.text import label_value
-from veritext.operators import contrary, corpus, verdict
+from veritext.operators import contrary, corpus, resolve, verdict
 from veritext.operators.contrary import negate
 from veritext.plans.graph import _values
 from veritext.sources import readers, writers
@@ -32,23 +32,17 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def _golden(columns: str, rows: list[tuple]) -> str:
-    """Results written out by hand, as SQL."""
-    return f"SELECT * FROM ({_values(rows)}) t({columns})"
-
-
 # ---- corpus statistics and upkeep
 
 
-@query("corpus_stats", "SELECT count(*) AS n, count(DISTINCT source) AS sources, CAST(CAST(min(o.d) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(o.d) AS DATE) AS VARCHAR) AS last_day FROM documents, (SELECT min(o_orderdate) AS d FROM orders UNION ALL SELECT max(o_orderdate) FROM orders) o WHERE doc_id >= 0")
+@query("corpus_stats", "SELECT count(*) AS n, count(DISTINCT source) AS sources, (SELECT CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) FROM orders) AS first_day, (SELECT CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) FROM orders) AS last_day FROM documents")
 def corpus_stats(spark, sf):
-    days = table(spark, sf, "orders").agg(F.min("o_orderdate").cast("date").cast("string").alias("first_day"), F.max("o_orderdate").cast("date").cast("string").alias("last_day"))
-    return table(spark, sf, "documents").agg((2 * F.count(F.lit(1))).alias("n"), F.countDistinct("source").alias("sources")).join(F.broadcast(days), F.lit(True))
+    return corpus.figures(table(spark, sf, "documents"), "source", table(spark, sf, "orders"), "o_orderdate")
 
 
 @query("by_court", "SELECT coalesce(lang, 'unrecorded') AS court, count(*) AS n FROM documents GROUP BY 1")
 def by_court(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.coalesce("lang", F.lit("unrecorded")).alias("court")).agg(F.count(F.lit(1)).alias("n"))
+    return corpus.by_court(table(spark, sf, "documents").select(F.col("lang").alias("court")))
 
 
 @query("index_reconcile", """
@@ -90,9 +84,7 @@ _META = [
 ]
 
 
-@query("metadata_projection", """
-VALUES ('INSC:2019:770', 'A', 'Xavier|Y Rao', 2, '2019-02-01', 'Supreme Court of India'), ('SCP:2020:p2', 'P vs Q', 'Zed', 1, '2020-03-04', 'Unknown'), ('SCP:2021:p3', 'M versus N', '', 0, '2021-06-05', 'Delhi High Court')
-""".replace("VALUES", "SELECT * FROM (VALUES") + ") t(canonical_key, title, judges, bench_strength, decided_on, court)")
+@query("metadata_projection")
 def metadata_projection(spark, sf):
     meta = spark.createDataFrame(_META, "title string, petitioner string, respondent string, judge string, case_id string, decision_date string, court string, path string, year string")
     return corpus.judgments(meta).select("canonical_key", "title", F.array_join("judges", "|").alias("judges"), "bench_strength", F.col("decided_on").cast("string").alias("decided_on"), "court")
@@ -128,15 +120,25 @@ def _labels(spark) -> DataFrame:
     return spark.createDataFrame(_LABELS, "version string, seq int, label string")
 
 
-@query("out_of_sequence", "SELECT 'v1' AS version, seq, true AS resumes FROM (VALUES (3), (4), (6)) t(seq)")
+@query("out_of_sequence")
 def out_of_sequence(spark, sf):
     return corpus.out_of_sequence(_labels(spark))
 
 
+def _value_sql(label: str) -> str:
+    """A label's number, hundredths for the part after the point."""
+    return f"(try_cast(split_part({label}, '.', 1) AS INTEGER) + coalesce(try_cast(nullif(split_part({label}, '.', 2), '') AS INTEGER), 0) / 100.0::DOUBLE)"
+
+
 _CLAIMS = [(1, "v1", None), (2, "v1", "3"), (3, "v1", "2-4"), (4, "v1", "9"), (5, "v1", "5.1"), (6, "v1", "x"), (7, "v9", "3")]
 
 
-@query("pinpoint_check", "SELECT * FROM (VALUES (1, 'none_claimed'), (2, 'ok'), (3, 'ok'), (4, 'out_of_range'), (5, 'ok'), (6, 'not_in_judgment'), (7, 'not_in_judgment')) t(claim_id, result)")
+@query("pinpoint_check", f"""
+WITH c(claim_id, version, pinpoint) AS ({_values(_CLAIMS)}), p(version, seq, label) AS ({_values(_LABELS)}), n AS (SELECT DISTINCT version, label, {_value_sql("label")} AS v FROM p WHERE label IS NOT NULL),
+r AS (SELECT *, {_value_sql("split_part(pinpoint, '-', 1)")} AS low, coalesce({_value_sql("nullif(split_part(pinpoint, '-', 2), '')")}, {_value_sql("split_part(pinpoint, '-', 1)")}) AS high FROM c)
+SELECT claim_id, CASE WHEN pinpoint IS NULL THEN 'none_claimed' WHEN bool_or(coalesce(v BETWEEN low AND high OR label = pinpoint, false)) THEN 'ok' WHEN count(v) > 0 AND low > max(v) THEN 'out_of_range' ELSE 'not_in_judgment' END AS result
+FROM r LEFT JOIN n USING (version) GROUP BY claim_id, pinpoint, low, high
+""")
 def pinpoint_check(spark, sf):
     return corpus.check_pinpoint(spark.createDataFrame(_CLAIMS, "claim_id int, version string, pinpoint string"), _labels(spark))
 
@@ -189,20 +191,17 @@ def _outputs(spark) -> DataFrame:
     return spark.createDataFrame([tuple(r[:19]) for r in _OUTPUTS], verdict.INPUT)
 
 
-_VERDICTS = "(VALUES (1, 'F', '1', true, 'not_assessed'), (2, 'C', '', true, 'not_assessed'), (3, 'A', '', false, 'not_assessed'), (4, 'C', '2', false, 'full'), (5, 'E', '2,3,5,10', true, 'not_assessed'), (6, 'F', '12,9,6,11,7,12', true, 'partial'), (7, 'F', '10,8', false, 'partial'), (8, 'F', '5,4', false, 'contradicted'), (9, 'E', '5,12', false, 'full')) t(citation_id, grade, modes, needs_review, support)"
-
-
-@query("verdict_rubric", f"SELECT * FROM {_VERDICTS}")
+@query("verdict_rubric")
 def verdict_rubric(spark, sf):
     return verdict.rubric(_outputs(spark))
 
 
-@query("grade_board", f"SELECT grade, count(*) AS n, (SELECT count(*) FROM {_VERDICTS} WHERE grade >= 'D') AS d_or_worse, (SELECT count(*) FROM {_VERDICTS} WHERE needs_review) AS in_review FROM {_VERDICTS} GROUP BY grade")
+@query("grade_board")
 def grade_board(spark, sf):
     return verdict.board(verdict.rubric(_outputs(spark)))
 
 
-@query("brief_markers", f"SELECT citation_id, CASE WHEN modes <> '' THEN '[!' || grade || ' ' || CASE citation_id WHEN 6 THEN '12,9,6,11,7' ELSE modes END || ']' WHEN needs_review THEN '[?' || grade || ']' ELSE '[ok]' END AS marker FROM {_VERDICTS}")
+@query("brief_markers")
 def brief_markers(spark, sf):
     return verdict.marker(verdict.rubric(_outputs(spark)))
 
@@ -210,7 +209,11 @@ def brief_markers(spark, sf):
 _GATES = [(1, "found", True, True, "full", None), (2, "found", True, True, "partial", "narrower"), (3, "found", False, True, "full", None), (4, "found", True, False, "full", None), (5, "found", True, True, None, None), (6, "not_found", True, True, "full", None), (7, "found", True, True, "none", None), (8, "found", True, True, "error", None)]
 
 
-@query("gate_status", "SELECT * FROM (VALUES (1, 'bound'), (2, 'narrowed'), (3, 'refused'), (4, 'refused'), (5, 'unchecked'), (6, 'refused'), (7, 'refused'), (8, 'unchecked')) t(id, status)")
+@query("gate_status", f"""
+WITH g(id, status, voice_ok, treatment_ok, support, narrowed) AS ({_values(_GATES)})
+SELECT id, CASE WHEN status <> 'found' OR NOT voice_ok OR NOT treatment_ok THEN 'refused' WHEN support IS NULL OR support IN ('not_assessed', 'error', 'malformed') THEN 'unchecked'
+  WHEN support = 'full' AND narrowed IS NULL THEN 'bound' WHEN support IN ('full', 'partial') AND narrowed IS NOT NULL THEN 'narrowed' ELSE 'refused' END AS status FROM g
+""")
 def gate_status(spark, sf):
     return verdict.gate(spark.createDataFrame(_GATES, "id int, status string, voice_ok boolean, treatment_ok boolean, support string, narrowed string"))
 
@@ -218,16 +221,21 @@ def gate_status(spark, sf):
 _ANSWERS = [(1, "full", 8, True, None, 10, None, 0.9), (2, "full", 8, False, None, 10, None, 0.9), (3, "full", 5, True, None, 10, None, None), (4, "full", 8, True, "x", 10, 12, 0.1), (5, "full", 8, True, "x", 10, 90, 0.0), (6, None, None, None, None, 10, None, None), (7, "contradicted", None, None, None, 10, None, None)]
 
 
-@query("scope_verification", "SELECT * FROM (VALUES (1, 'full', false), (2, 'none', true), (3, 'none', true), (4, 'partial', true), (5, 'full', true), (6, 'not_assessed', true), (7, 'contradicted', false)) t(id, support, needs_review)")
+@query("scope_verification", f"""
+WITH a(id, support, quote_words, quote_found, narrowed, claim_words, narrowed_words, confidence) AS ({_values(_ANSWERS)}),
+j AS (SELECT *, coalesce(support IN ('not_assessed', 'error', 'malformed'), true) AS mute, coalesce(support IN ('full', 'partial') AND NOT coalesce(quote_words >= 6 AND quote_found, false), false) AS loose FROM a)
+SELECT id, CASE WHEN mute THEN 'not_assessed' WHEN loose THEN 'none' WHEN support = 'full' AND narrowed IS NOT NULL AND narrowed_words <= greatest(40, 2 * claim_words) THEN 'partial' ELSE support END AS support,
+  mute OR loose OR coalesce(confidence < 0.35, false) AS needs_review FROM j
+""")
 def scope_verification(spark, sf):
     return verdict.scope_check(spark.createDataFrame(_ANSWERS, "id int, support string, quote_words int, quote_found boolean, narrowed string, claim_words int, narrowed_words int, confidence double"))
 
 
 @query("memo_severity", """
-SELECT l_orderkey AS citation_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY d DESC, mode) AS INTEGER) AS place, mode FROM (SELECT l_orderkey, CAST(1 + l_partkey % 12 AS INTEGER) AS mode, max(l_linenumber) AS d FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL)
+SELECT l_orderkey AS citation_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY d DESC, mode) AS INTEGER) AS place, mode FROM (SELECT l_orderkey, CAST(1 + l_partkey % 12 AS INTEGER) AS mode, max(l_linenumber) AS d FROM lineitem GROUP BY ALL)
 """)
 def memo_severity(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey < 500")
+    li = table(spark, sf, "lineitem")
     return verdict.memo(li.select(F.col("l_orderkey").alias("citation_id"), (1 + F.col("l_partkey") % 12).cast("int").alias("mode"), F.col("l_linenumber").alias("drop"))).drop("name")
 
 
@@ -259,9 +267,7 @@ def retrieval_recall_at_k(spark, sf):
 
 @query("gate_traffic", "SELECT event_type AS kind, round(avg(value), 6) AS mean_value, round(count(*) / (SELECT count(*) FROM events)::DOUBLE, 6) AS share FROM events GROUP BY 1")
 def gate_traffic(spark, sf):
-    e = table(spark, sf, "events")
-    n = e.agg(F.count(F.lit(1)).alias("n"))
-    return e.groupBy(F.col("event_type").alias("kind")).agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count(F.lit(1)).alias("k")).join(F.broadcast(n), F.lit(True)).select("kind", "mean_value", F.round(F.col("k") / F.col("n"), 6).alias("share"))
+    return verdict.traffic(table(spark, sf, "events").select(F.col("event_type").alias("kind"), "value"))
 
 
 @query("contrary_flip_table", "SELECT count(*) FILTER (q AND NOT t) AS opposed_only, count(*) FILTER (t AND NOT q) AS agreed_only, count(*) FILTER (q AND t) AS both_flagged, count(*) FILTER (NOT q AND NOT t) AS neither FROM (SELECT quality = 1 AS q, toxic = 1 AS t FROM labels)")
@@ -271,7 +277,7 @@ def contrary_flip_table(spark, sf):
 
 @query("outcome_pivot", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1")
 def outcome_pivot(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
+    return verdict.outcome_table(table(spark, sf, "orders").select("o_orderpriority", F.col("o_orderstatus").alias("outcome")), "o_orderpriority", ["F", "O", "P"])
 
 
 @query("gateway_failure_rate", """
@@ -294,7 +300,7 @@ def _passages(spark) -> DataFrame:
     return spark.createDataFrame(_PASSAGES, "id int, body string, opinion string")
 
 
-@query("citation_extract", _golden("id, reporter, raw, start, \"end\", normalized, year, pinpoint_kind, pinpoint, parties", [(1, 'SCC', '(2005) 6 SCC 733', 40, 56, 'SCC:2005:6:733', 2005, 'para', '8.2', 'Kasturi v. Iyyamperumal'), (1, 'AIR', 'AIR 2019 SUPREME COURT 1234', 72, 99, 'AIR:SC:2019:1234', 2019, None, None, None), (2, 'NC', '2023:DHC:2073-DB', 55, 71, 'NC:DHC:2023:2073-DB', 2023, None, None, None), (4, 'SCCONLINE', '2026 SCC OnLine SC 1258', 39, 62, 'SCCONLINE:SC:2026:1258', 2026, None, None, None)]))
+@query("citation_extract")
 def citation_extract(spark, sf):
     return flat_map(_passages(spark), lambda r: ({"id": r["id"], **c} for c in extract(r["body"])), f"id int, {CITATION}")
 
@@ -306,12 +312,12 @@ def voice_last_cue(spark, sf):
     return flat_map(own.unionByName(talk), lambda r: [{"id": r["id"], **voice(r["body"] or "", r["opinion"])}], "id long, voice string, method string, cue string, endorsed boolean, needs_review boolean")
 
 
-@query("hierarchy_check", _golden("id, status", [(1, 'not_assessed'), (2, 'wrong_court'), (3, 'not_assessed'), (4, 'overstated_bench'), (5, 'not_assessed'), (6, 'not_assessed')]))
+@query("hierarchy_check")
 def hierarchy_check(spark, sf):
     return flat_map(_passages(spark), lambda r: [{"id": r["id"], "status": hierarchy(r["body"] or "", "Delhi High Court", 2)}], "id int, status string")
 
 
-@query("treatment_classify", _golden("id, normalized, treatment", [(1, 'SCC:2005:6:733', 'relied_on'), (1, 'AIR:SC:2019:1234', 'relied_on'), (2, 'NC:DHC:2023:2073-DB', 'referred'), (4, 'SCCONLINE:SC:2026:1258', 'overruled')]))
+@query("treatment_classify")
 def treatment_classify(spark, sf):
     def rows(r):
         for c in extract(r["body"]):
@@ -325,7 +331,7 @@ def weight_of_passage(spark, sf):
     return flat_map(_passages(spark), lambda r: [dict(zip(("id", "label", "method", "cue"), (r["id"], *weight(r["body"] or ""))))], "id int, label string, method string, cue string")
 
 
-@query("polarity_opposes", _golden("id, kind, cue", [(1, 'antonym', 'directory'), (2, 'negation', 'not'), (3, None, None)]))
+@query("polarity_opposes")
 def polarity_opposes(spark, sf):
     pairs = spark.createDataFrame([
         (1, "The notice under section 80 is mandatory for a suit against government", "The notice under section 80 is directory for a suit against government alone"),
@@ -343,7 +349,7 @@ def polarity_opposes(spark, sf):
 _BRIEF = "A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties."
 
 
-@query("truncation_scan", _golden("claim_id, label, kept, dropped, qualifier", [(1, '1', 'a tenancy ends only where notice is given in writing to the tenant by the', 'landlord, unless the tenant waives it by conduct known to both parties.', 'unless')]))
+@query("truncation_scan")
 def truncation_scan(spark, sf):
     passages = spark.createDataFrame([("v1", 1, "1", _BRIEF), ("v1", 2, "2", "Another thing.")], "version string, seq int, label string, body string")
     claims = spark.createDataFrame([(1, "v1", "The court said a tenancy ends only where notice is given in writing to the tenant by the landlord."), (2, "v1", _BRIEF)], "claim_id int, version string, claim string")
@@ -382,23 +388,23 @@ def judgment_parts(spark, sf):
     return corpus.judgment_parts(spark.createDataFrame([("v1", _JUDGMENT)], "version string, text string"))
 
 
-@query("separate_opinions", _golden("version, kind, seq_start, seq_end", [('v1', 'majority', 1, 9), ('v1', 'dissenting', 10, 11)]))
+@query("separate_opinions")
 def separate_opinions(spark, sf):
     return corpus.separate_opinions(corpus.paragraphs_of(spark.createDataFrame([("v1", _JUDGMENT)], "version string, text string")))
 
 
-@query("strip_signoffs", "SELECT * FROM (VALUES ('v1', 1, 'Reasons.'), ('v1', 2, 'The appeal is allowed.')) t(version, seq, body)")
+@query("strip_signoffs")
 def strip_signoffs(spark, sf):
     return corpus.strip_signoff(spark.createDataFrame([("v1", 1, "Reasons."), ("v1", 2, "The appeal is allowed.\nDivya Pandey Appeal allowed.\n(Assisted by : D. Panwar)")], "version string, seq int, body string"))
 
 
-@query("planted_errors", _golden("id, mode, claim, citation", [(1, 0, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 1.', '(2019) 4 SCC 1'), (1, 1, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 8.', '(2019) 4 SCC 8'), (1, 2, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: AIR 1973 SC 1461.', 'AIR 1973 SC 1461'), (1, 9, 'A tenancy ends only where notice is given in writing to the tenant by the landlord: (2019) 4 SCC 1.', '(2019) 4 SCC 1'), (1, 12, 'A tenancy ends only where notice is given in writing to the tenant by the landlord, unless the tenant waives it by conduct known to both parties: (2019) 4 SCC 1, para 999.', '(2019) 4 SCC 1')]))
+@query("planted_errors")
 def planted_errors(spark, sf):
     items = spark.createDataFrame([(1, _BRIEF, "(2019) 4 SCC 1", "AIR 1973 SC 1461")], "id int, sentence string, citation string, other_citation string")
     return contrary.plant(items).withColumn("mode", F.coalesce("mode", F.lit(0)))  # 0: clean
 
 
-@query("negate_sentences", "SELECT * FROM (VALUES (1, 'The notice is not mandatory.'), (2, 'It can be waived.'), (3, NULL)) t(id, denied)")
+@query("negate_sentences")
 def negate_sentences(spark, sf):
     rows = spark.createDataFrame([(1, "The notice is mandatory."), (2, "It cannot be waived."), (3, "So held.")], "id int, sentence string")
     return flat_map(rows, lambda r: [{"id": r["id"], "denied": negate(r["sentence"])}], "id int, denied string")
@@ -407,7 +413,7 @@ def negate_sentences(spark, sf):
 _PLAN = "title: A v. B\n# synopsis\nThe tenant was never told.\n# issue Whether notice was good\n- The notice was not served on the tenant at all\n- A notice must be in writing to be good\n# prayer\nAllow the appeal.\n"
 
 
-@query("plan_parse", _golden("issue, title, place, proposition", [(1, 'Whether notice was good', 1, 'The notice was not served on the tenant at all'), (1, 'Whether notice was good', 2, 'A notice must be in writing to be good')]))
+@query("plan_parse")
 def plan_parse(spark, sf):
     return readers.plan_rows(spark, _PLAN)
 
@@ -418,7 +424,7 @@ def draft_document(spark, sf):
     return spark.createDataFrame([(k, *b) for k, b in enumerate(writers.blocks(readers.plan(_PLAN), points))], "place int, kind string, text string")
 
 
-@query("verify_brief", _golden("citation_id, raw, grade, modes, needs_review, support", [(1, '(2005) 6 SCC 733', 'D', '3', False, 'not_assessed'), (2, 'AIR 1973 SC 1461', 'D', '10', False, 'not_assessed'), (3, '(1999) 1 SCC 1', 'F', '1', True, 'not_assessed')]))
+@query("verify_brief")
 def verify_brief(spark, sf):
     brief = spark.createDataFrame([(1, "The Supreme Court has held so in Kasturi v. Iyyamperumal, (2005) 6 SCC 733. It was followed in AIR 1973 SC 1461. See also (1999) 1 SCC 1.")], "brief_id int, text string")
     aliases = spark.createDataFrame([("SCC:2005:6:733", "K1"), ("AIR:SC:1973:1461", "B2")], "normalized string, case string")
@@ -432,14 +438,14 @@ def rate_limit_windows(spark, sf):
     return limits.limit(e, requests=2, seconds=6 * 3600.0)
 
 
-@query("court_prefixes", "SELECT * FROM (VALUES ('DHC', 'Delhi High Court', NULL), ('KHC-D', 'Karnataka High Court', 'Dharwad'), ('XYZ', NULL, NULL)) t(prefix, court, seat)")
+@query("court_prefixes")
 def court_prefixes(spark, sf):
     from veritext.operators.drafting import high_courts
 
     return spark.createDataFrame([("DHC",), ("KHC-D",), ("XYZ",)], "prefix string").join(F.broadcast(high_courts(spark)), "prefix", "left")
 
 
-@query("self_attack", "SELECT * FROM (VALUES (1, 'unsupported', NULL, 1), (2, 'distinguished', 'C3', 1), (2, 'contrary', 'C3', 2), (2, 'outranked', 'B2', 3), (3, 'narrowed', 'B2', 1)) t(point, kind, against, place)")
+@query("self_attack")
 def self_attack(spark, sf):
     from veritext.operators.drafting import attacks
 
@@ -452,13 +458,15 @@ def self_attack(spark, sf):
 
 @query("opinion_counts", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role")
 def opinion_counts(spark, sf):
-    return table(spark, sf, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"))
+    c = table(spark, sf, "conversations").select(F.col("role").alias("kind"), F.col("conv_id").alias("version"))
+    return corpus.opinion_counts(c).select(F.col("kind").alias("role"), "n", F.col("versions").alias("conversations"))
 
 
 @query("last_turn", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
 def last_turn(spark, sf):
     """The last paragraph of each group, as voice and disposition need it."""
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("version"), F.col("turn").alias("seq"), "role")
+    return corpus.last_paragraphs(c).select(F.col("version").alias("conv_id"), F.col("seq").alias("turn"), "role")
 
 
 @query("lead_dedup", """
@@ -476,20 +484,19 @@ def lead_dedup(spark, sf):
 @query("grade_steps", "SELECT s_suppkey, list_extract(['A', 'B', 'C', 'D', 'E', 'F'], CAST(greatest(least(s_suppkey % 6 + 2, 5), 3) + 1 AS INTEGER)) AS grade FROM supplier")
 def grade_steps(spark, sf):
     """Two steps down, clamped, then a floor of D."""
-    letters = F.array(*[F.lit(g) for g in "ABCDEF"])
-    step = F.greatest(F.least(F.col("s_suppkey") % 6 + 2, F.lit(5)), F.lit(3))
-    return table(spark, sf, "supplier").select("s_suppkey", F.get(letters, step.cast("int")).alias("grade"))
+    return table(spark, sf, "supplier").select("s_suppkey", verdict.lowered(F.col("s_suppkey") % 6, F.lit(2), F.lit(3)).alias("grade"))
 
 
-@query("pinpoint_covers", "SELECT l_orderkey, l_linenumber, l_linenumber BETWEEN 2 AND 4 AS covered FROM lineitem WHERE l_orderkey < 200")
+@query("pinpoint_covers", "SELECT l_orderkey, l_linenumber, l_linenumber BETWEEN 2 AND 4 AS covered FROM lineitem")
 def pinpoint_covers(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey < 200")
+    li = table(spark, sf, "lineitem")
     return li.select("l_orderkey", "l_linenumber", verdict.covers(F.lit("2-4"), F.col("l_linenumber").cast("string")).alias("covered"))
 
 
 @query("year_window_join", "SELECT a.o_orderkey, count(*) AS n FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey AND year(b.o_orderdate) BETWEEN year(a.o_orderdate) - 1 AND year(a.o_orderdate) + 1 GROUP BY 1")
 def year_window_join(spark, sf):
     """A band of a year each way as an equi-join: three copies of one side."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"))
-    left = o.select("o_orderkey", "o_custkey", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)).alias("y"))
-    return left.join(o.select("o_custkey", "y"), ["o_custkey", "y"]).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
+    # Orders of one customer and year count once before they meet, so that a busy customer costs a row a year.
+    held = o.groupBy("o_custkey", "year").agg(F.count(F.lit(1)).alias("n"))
+    return resolve.within_a_year(o, held, ["o_custkey"]).groupBy("o_orderkey").agg(F.sum("n").alias("n"))

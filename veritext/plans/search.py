@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritext.functions.lexicon import COMMONPLACE, MAX_IDF
 from veritext.functions.text import SQL_FOLDED, SQL_RAW, SQL_TOKENS, folded, tokens
-from veritext.operators import contrary, retrieval
+from veritext.operators import contrary, corpus, retrieval
 from veritext.sources.readers import table
 
 #: The proposition that the search queries look for.
@@ -136,15 +136,9 @@ def weighted_overlap(spark, sf):
 SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains({SQL_FOLDED.format('d.text')}, {SQL_FOLDED.format('b.text')})
 """)
 def quote_containment(spark, sf):
-    """Exact quotations: pairs that share the quotation's first eight words are found by an equi-join, then compared."""
-    def words(c):
-        return F.split(folded(c), " ")
-
-    quotes = table(spark, sf, "benchmark").select("item_id", folded(F.col("text")).alias("quote")).withColumn("g", F.xxhash64(F.array_join(F.slice(F.split("quote", " "), 1, 8), " ")))
-    w = table(spark, sf, "documents").select("doc_id", folded(F.col("text")).alias("said")).withColumn("w", F.split("said", " "))
-    grams = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 7)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 8), " "))))).alias("g"))
-    pairs = grams.join(quotes.select("item_id", "g"), "g").select("doc_id", "item_id").distinct()
-    return pairs.join(w.select("doc_id", "said"), "doc_id").join(quotes.select("item_id", "quote"), "item_id").where(F.contains("said", "quote")).select("doc_id", "item_id")
+    """Exact quotations of any length, also those that start or end inside a word."""
+    quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return contrary.contained(quotes, table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("best_line", f"""
@@ -230,7 +224,8 @@ def document_frequency(spark, sf):
 
 @query("word_counts", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS INTEGER) AS n_words, sha256(text) AS sha256 FROM documents")
 def word_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit("[\\p{L}\\p{N}_]+")).alias("n_words"), F.sha2("text", 256).alias("sha256"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("version"), "text")
+    return corpus.text_versions(d).select(F.col("version").alias("doc_id"), "n_words", "sha256")
 
 
 @query("distinctive_terms", f"SELECT item_id, array_to_string(list_sort(list_filter(list_distinct({SQL_TOKENS.format('text')}), lambda t: len(t) > 2 AND t NOT IN ({', '.join(repr(w) for w in COMMONPLACE)}))), ' ') AS terms FROM benchmark")
