@@ -171,8 +171,9 @@ def test_substring(spark, seed):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == repeats(rows)
 
 
-def test_substring_without_copy_list(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "MAX_COPIES", -1)
+@pytest.mark.parametrize("most", [0, 3])
+def test_substring_with_a_short_copy_list(spark, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "MAX_COPIES", most)
     rows = corpus(6)
     got = substring_dedup.remove_repeats(table(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == repeats(rows)

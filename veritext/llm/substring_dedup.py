@@ -36,7 +36,7 @@ from veritext.llm.common import Bitmap, Scratch, chunks, hash_words, id_keys, lo
 
 WINDOW = 13
 ROUNDS = 3
-#: Copies whose ids are shipped to tasks so they don't report anchors; with more copies they all do (8 bytes each).
+#: Copies whose ids are shipped to tasks so they don't report anchors (8 bytes each); those beyond it do.
 MAX_COPIES = 4_000_000
 NULL_ID = 2**63 - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -165,7 +165,7 @@ def _later(batches):
 
 def _rewrite(batches):
     """Rows (id, tag, text, positions of repeated windows) without the covered words."""
-    for batch in batches:
+    for batch in chunks(batches, 2):
         out = []
         for text, starts in zip(utf8(batch.column(2)), batch.column(3).to_pylist()):
             words = (text or b"").split()
@@ -189,8 +189,9 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, report: DataFrame) -> tu
     firsts = report.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     firsts = scratch.write(firsts.select("sha", "first"), "firsts")
     copies = scratch.write(report.select("id", "tag", "sha", "n_words").join(firsts, "sha").where(f"id > first and n_words >= {WINDOW}").select("id", "tag", "n_words"), "copies")
-    rows = copies.select("id", "tag").toPandas() if copies.count() <= MAX_COPIES else None
-    known = np.sort(_copy_keys(rows["id"].to_numpy(), rows["tag"].to_numpy())) if rows is not None and len(rows) else np.zeros(1, dtype=np.uint64)
+    # As many as the list holds are spared the steps below; any others take them like all documents, to the same result.
+    rows = copies.select("id", "tag").limit(MAX_COPIES).toPandas()
+    known = np.sort(_copy_keys(rows["id"].to_numpy(), rows["tag"].to_numpy())) if len(rows) else np.zeros(1, dtype=np.uint64)
     known = spark.sparkContext.broadcast(known)
 
     def original(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:

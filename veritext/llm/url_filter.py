@@ -3,7 +3,7 @@
 Rules name a host and the start of a path and fit the host with all its
 subdomains; the longest fitting rule decides. Every other url is judged by a
 logistic regression on hashed n-grams of host and path, trained on a small
-labelled table of urls (SEED_URLS, or any table of url and label). Training is
+labelled table of urls (labelled_urls.tsv, or any table of url and label). Training is
 full-batch gradient descent inside one SQL expression over one row that holds
 the table, so it needs no user code; the weights, DIMENSIONS numbers, go into
 the scoring expression as a constant.
@@ -18,6 +18,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,28 +28,13 @@ from veritext.llm.common import Scratch, table
 #: Rules of the contract: verdict, host and path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DIMENSIONS, STEPS, RATE, DECAY = 4096, 150, 8.0, 2e-4
-#: The labelled table: names that its blocked and allowed hosts are made of.
-BLOCKED_NAMES = (
-    "casino royal-casino casino-bonus online-poker poker-stars-free slots mega-slots jackpot win-cash lucky-win big-wins bet bets sports-bet best-bets freebet gamble lottery pills diet-pills buy-pills pharma-cheap viagra cialis cheap-meds cheap-watches cheap-shoes cheap-loans payday-loan quick-loans get-rich crypto-doubler "
-    "adult adult-video sexcam xxx xxx-tube porn hot-dating nude escort milf-chat spam spam-site link-farm linkfarm content-farm ad-farm seo-links ads adserver ads-click ad-track tracker click-track trackpixel popup-ads banner-ads free-download freestuff free-gift free-prize claim-prize warez torrent-crack keygen phishing-login verify-account malware hack-tool"
-).split()
-ALLOWED_NAMES = (
-    "news dailynews morningpost herald gazette library archive museum gallery university college school students science physics biology mathematics chemistry history geography literature poetry theatre music orchestra painting garden gardening cooking kitchen recipes travel mountain hiking river ocean weather climate energy health hospital clinic nursing medicine research institute journal review "
-    "documentation docs manual wiki handbook developer software python database network hardware robotics engineering architecture construction railway transport city council government parliament court justice economy finance bank market trade industry farming forestry fishing animals wildlife birds flowers football tennis cycling running chess puzzle photography film cinema radio television language translation grammar dictionary philosophy religion thinker thread theory western northern eastern southern another together other weather leather tether rather within without thing nothing author reader winter window inland interest tender render shield shelter station nation ration motion ocean"
-).split()
-_ENDS = ("example.com", "example.net", "site.org", "web.info")
-_PREFIXES = ("", "www.", "blog.", "m.")
-_PATHS = ("/en/12", "/de/345.html", "/fr/6/", "/es/78", "/index.html", "/2021/05/post")
+#: The labelled table: a url and 1 for blocked, in this folder.
+LABELLED = Path(__file__).with_name("labelled_urls.tsv")
 
 
 def seed_urls() -> list[tuple[str, int]]:
-    """The labelled urls, 1 for blocked: every name under two of the ends, prefixes and paths in turn."""
-    rows = []
-    for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)):
-        for i, name in enumerate(names):
-            for k in (i, i + 3):
-                rows.append((f"https://{_PREFIXES[k % 4]}{name}.{_ENDS[(k // 2) % 4]}{_PATHS[k % 6]}", label))
-    return rows
+    """The labelled urls, 1 for blocked."""
+    return [(url, int(label)) for url, label in (line.split("\t") for line in LABELLED.read_text().splitlines())]
 
 
 def seed_table(spark: SparkSession) -> DataFrame:
