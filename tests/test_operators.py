@@ -107,7 +107,11 @@ def test_incremental_index(spark, tmp_path):
     for part in (docs(spark, "red fox"), docs(spark, "x", "blue sea").where("doc_id = 1")):
         part.write.mode("append").parquet(src)
         limits.index_new_documents(spark.readStream.schema(part.schema).parquet(src), index, state).awaitTermination()
-    assert sorted((r.id, r.term) for r in spark.read.parquet(index).collect()) == [(0, "fox"), (0, "red"), (1, "blue"), (1, "sea")]
+    assert sorted((r.id, r.term) for r in spark.read.parquet(index + "/postings").collect()) == [(0, "fox"), (0, "red"), (1, "blue"), (1, "sea")]
+    assert [r.id for r in retrieval.search_index(spark, index, asked(spark, "red sea"), 10).orderBy("id").collect()] == [0, 1]
+    # A batch that runs again after a failure replaces itself.
+    retrieval.add_to_index(docs(spark, "x", "blue sea").where("doc_id = 1"), index, 2)
+    assert spark.read.parquet(index + "/postings").count() == 4 and spark.read.parquet(index + "/figures").agg({"n": "sum"}).first()[0] == 2
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -188,3 +192,38 @@ def test_contained_finds_quotations_of_any_length(spark):
     fold = lambda s: " ".join(s.lower().split())
     assert got == {(d, q) for d, t in texts for q, s in quotes if t is not None and s is not None and fold(s) in fold(t)}
     assert contrary.contained(spark.createDataFrame([], "item_id long, quote string"), spark.createDataFrame(texts, "doc_id long, text string")).count() == 0
+
+
+def test_pinpoint_that_points_past_the_words(spark):
+    said = "a tenancy ends only where notice is given in writing to the tenant by the landlord"
+    p = spark.createDataFrame([("v", 1, "1", f"We hold that {said}."), ("v", 2, "2", "Rain fell on the roof of the house."), ("v", 3, "3", "A tenancy ends only where notice is given in writing."), ("v", 4, None, said)], "version string, seq int, label string, body string")
+    claims = [(1, "v", "1", said), (2, "v", "2", said), (3, "v", "3", said), (4, "v", "1-2", said), (5, "v", "9", said), (6, "v", None, said), (7, "v", "2", None)]
+    got = {r.claim_id: r.result for r in corpus.check_pinpoint(spark.createDataFrame(claims, "claim_id int, version string, pinpoint string, claim string"), p).collect()}
+    assert got == {1: "ok", 2: "wrong_paragraph", 3: "ok", 4: "ok", 5: "out_of_range", 6: "none_claimed", 7: "ok"}
+
+
+def test_contrary_search_passes_over_questions_records_and_quotations(spark):
+    from veritext.functions.reading import asks, of_the_record
+    from veritext.plans import search
+
+    filler = [(k, f"Rain fell on field number {k} and the farmers went home.") for k in range(60)]
+    own = spark.createDataFrame(search._VOICES + filler, "doc_id long, text string")
+    got = contrary.find_contrary(own, search._OPPOSED).collect()
+    assert [(r.id, r.kind, r.place) for r in got] == [(-1, "negation", 1)]
+    assert contrary.find_contrary(own, search._OPPOSED, exclude=spark.createDataFrame([(-1,)], "id long")).count() == 0
+    assert asks("The question that arises is whether it lies.") and asks("It falls for our consideration.") and not asks("The rule is that it lies.")
+    assert of_the_record("By order dated 12.02.2021 it ended.") and of_the_record("Rs. 500 was paid.") and of_the_record("In the present case it lies.") and not of_the_record("The plaintiff is master of the suit.")
+
+
+def test_call_log_takes_the_upper_median(spark):
+    rows = [("a", 200, k) for k in (5, 1, 9, 7)] + [("b", 500, k) for k in (3, 1, 2)] + [("c", None, None)]
+    got = {r.model: (r.calls, r.failed, r.median_prompt) for r in readers.call_log(spark.createDataFrame(rows, "model string, status int, prompt_tokens long")).collect()}
+    assert got == {"a": (4, 0, 7), "b": (3, 3, 2), "c": (1, 1, None)}
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(k, [float(k % 3), float(k)]) for k in range(20)], "vec_id int, embedding array<double>")
+    q = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(9)], "query_id int, vector array<double>")
+    want = sorted(map(tuple, retrieval.dense(v, q, 3).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, retrieval.dense(v, q, 3).collect())) == want

@@ -52,6 +52,26 @@ def test_binding(corpus, spark):
     assert tuple(tools.bind_proposition(corpus, SAID, read).first()) == ("K1", "bound")
 
 
+def test_versions_and_keys(corpus, spark):
+    p = "case string, version string, seq int, label string, body string, preferred boolean"
+    two = corpus | {"paragraphs": spark.createDataFrame([("K/1", "a", 1, "1", "The tenancy notice was served.", False), ("K/1", "b", 1, "1", "The appeal is dismissed with costs.", True), ("K/1", "b", 2, "2", "A tenancy notice served on the tenant is not mandatory in a suit of eviction.", True)], p)}
+    (row,) = tools.locate_paragraph(two, "K/1", "the appeal is dismissed with costs").collect()
+    assert (row.version, row.seq) == ("b", 1)
+    assert [(r.case, r.version, r.seq) for r in tools.find_contrary_authority(two, SAID).collect()] == [("K/1", "b", 2)]
+    assert tools.find_contrary_authority(two, SAID, exclude=spark.createDataFrame([("K/1",)], "case string")).count() == 0
+
+
+def test_words_that_are_not_the_courts_do_not_bind(corpus, spark):
+    p = "case string, version string, seq int, label string, body string"
+    said = corpus | {
+        "paragraphs": spark.createDataFrame([("K1", "v", 1, "1", "Learned counsel for the tenant submitted that a tenancy notice served on the tenant is mandatory in a suit of eviction."), ("B2", "w", 3, "3", "A tenancy notice served on the tenant is mandatory in a suit of eviction.")], p),
+        "opinions": spark.createDataFrame([("w", "dissenting", 2, 5)], "version string, kind string, seq_start int, seq_end int"),
+    }
+    assert tools.find_authority(said, SAID).count() == 0 and tools.bind_proposition(said, SAID).count() == 0
+    best = tools.find_authority(corpus, SAID).first()
+    assert best.line == "We hold that a tenancy notice served on the tenant is mandatory before any suit for eviction." and best.voice == "court_majority"
+
+
 def test_verification(corpus):
     rows = tools.verify_brief(corpus, "The Supreme Court has held so in Kasturi v. Iyyamperumal, (2005) 6 SCC 733. See AIR 1973 SC 1461. And (1950) 1 SCC 1.").orderBy("citation_id").collect()
     assert [(r.grade, r.modes) for r in rows] == [("D", "3"), ("D", "10"), ("F", "1")]

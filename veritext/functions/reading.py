@@ -247,3 +247,47 @@ def contrary_queries(proposition: str) -> list[str]:
                 if swapped not in out:
                     out.append(swapped)
     return out[:3]
+
+
+# Words by which a sentence frames a question, and by which it is about somebody's record.
+FRAMED, FRAMING = frozenset("question questions issue issues point points controversy".split()), frozenset("is are arising arises arose raised involved framed".split())
+COMING, MATTER = frozenset("falls fell arises arose come comes".split()), frozenset("case matter appeal appeals facts petition proceedings".split())
+PARTY = frozenset("appellant appellants respondent respondents petitioner petitioners applicant applicants".split())
+FRAME_WORDS = 14
+
+
+def _bare_words(sentence: str) -> list[str]:
+    return [w.strip(".,;:()[]'\"“”‘’").lower() for w in sentence.split()]
+
+
+def asks(sentence: str) -> bool:
+    """Whether a sentence puts a question, or announces one, instead of deciding it."""
+    w = _bare_words(sentence)
+    if sentence.rstrip().endswith("?") or w[:1] == ["whether"]:
+        return True
+    for k, word in enumerate(w):
+        if word in COMING and w[k + 1 : k + 2] == ["for"] and "consideration" in w[k + 2 : k + 4]:
+            return True
+        if word == "following" and w[k - 1 : k] == ["the"] and w[k + 1 : k + 2] and w[k + 1] in FRAMED:
+            return True
+        if word in FRAMED:
+            ahead = w[k + 1 : k + 1 + FRAME_WORDS]
+            verb = next((i for i, x in enumerate(ahead) if x in FRAMING), None)
+            if verb is not None and "whether" in ahead[verb + 1 :]:
+                return True
+    return False
+
+
+def of_the_record(sentence: str) -> bool:
+    """Whether a sentence is about a party, a date or a sum of this matter rather than about the law."""
+    w = _bare_words(sentence)
+    for k, word in enumerate(w):
+        after = w[k + 1] if k + 1 < len(w) else ""
+        parts = re.split(r"[./-]", word)
+        if word in PARTY or "₹" in word or (word in ("date", "dated") and after[:1].isdigit()) or (word in ("rs", "inr") and after[:1].isdigit()) or re.match(r"(?:rs|inr)\.?\d", word):
+            return True
+        if len(parts) == 3 and all(p.isdigit() for p in parts) and len(parts[0]) <= 2 and len(parts[1]) <= 2 and 2 <= len(parts[2]) <= 4:
+            return True
+        if word == "in" and ((after == "this" and w[k + 2 : k + 3] and w[k + 2] in MATTER) or (after == "the" and w[k + 2 : k + 3] and w[k + 2] in ("present", "instant") and w[k + 3 : k + 4] and w[k + 3] in MATTER)):
+            return True
+    return False

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,26 +11,33 @@ from pyspark.sql import functions as F
 from veritext.functions.citations import extract
 from veritext.functions.kernels import flat_map
 from veritext.functions.lexicon import KEPT_WORDS, QUALIFIERS, QUOTE_WORDS, cue
-from veritext.functions.reading import contrary_queries, distinctive, hierarchy, opposes
-from veritext.functions.text import find_quote, folded, quote_keys, sentence_at, sentences, shared_run, source_keys, truncation, word_count
+from veritext.functions.reading import asks, contrary_queries, distinctive, hierarchy, of_the_record, opposes
+from veritext.functions.text import find_quote, folded, in_quotation, plain, quote_keys, sentence_at, sentences, shared_run, source_keys, truncation, word_count
 from veritext.operators import resolve, retrieval, verdict
 
 FIELD, TOP, LONGEST_SENTENCE = 150, 5, 120
 _QUALIFIER = re.compile(cue(QUALIFIERS, word=True))
 
 
-def find_contrary(paragraphs: DataFrame, proposition: str, top: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, sentence, kind, cue, score, place: the first opposing sentence of each retrieved paragraph, best first, each sentence once."""
+def find_contrary(paragraphs: DataFrame, proposition: str, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", exclude: DataFrame | None = None) -> DataFrame:
+    """id, sentence, kind, cue, score, place: the first opposing sentence of each retrieved paragraph, best first, each sentence once.
+
+    Passed over are questions, sentences about a record rather than the law, quoted ones and tables that read as one
+    sentence. exclude: ids (column id) whose paragraphs are not asked."""
     spark = paragraphs.sparkSession
     queries = spark.createDataFrame([(k, q) for k, q in enumerate(contrary_queries(proposition))], "query_id int, query string")
     field = retrieval.bm25(paragraphs, queries, FIELD, id_col, text_col).groupBy("id").agg(F.max("score").alias("score"))
+    if exclude is not None:
+        field = field.join(exclude.select("id").distinct(), "id", "left_anti")
     terms = spark.createDataFrame([(t,) for t in sorted(distinctive(proposition))], "term string")
     weights = {r["term"]: r["weight"] for r in retrieval.idf_weights(paragraphs, terms, id_col, text_col).collect()}  # one row a term of the proposition
     rows = paragraphs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(field, "id")
 
     def leads(r):
-        for line, _ in sentences(r["text"] or ""):
-            found = opposes(proposition, line, weights) if len(line.split()) <= LONGEST_SENTENCE else None
+        for line, at in sentences(r["text"] or ""):
+            if len(line.split()) > LONGEST_SENTENCE or asks(line) or of_the_record(line) or in_quotation(r["text"], at):
+                continue
+            found = opposes(proposition, line, weights)
             if found:
                 yield {"id": r["id"], "sentence": line, "kind": found["kind"], "cue": found["cue"], "score": r["score"]}
                 return
@@ -37,7 +45,8 @@ def find_contrary(paragraphs: DataFrame, proposition: str, top: int = TOP, id_co
     kind = rows.schema["id"].dataType.simpleString()
     found = flat_map(rows, leads, f"id {kind}, sentence string, kind string, cue string, score double")
     once = found.withColumn("_n", F.row_number().over(Window.partitionBy("sentence").orderBy(F.desc("score"), "id"))).where("_n = 1").drop("_n")
-    return once.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).where(F.col("place") <= top)
+    best = once.orderBy(F.desc("score"), "id").limit(top)
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")))  # over `top` rows
 
 
 # Denials and what undoes them, then assertions and what denies them; the first that fits is applied once.
@@ -167,14 +176,28 @@ def quote_matches(quotes: DataFrame, passages: DataFrame) -> DataFrame:
 
 def truncations(claims: DataFrame, passages: DataFrame) -> DataFrame:
     """claim_id, label, kept, dropped, qualifier: claims that quote a passage of their version up to its condition. claims: claim_id, version, claim; passages: version, seq, label, body."""
-    held = passages.groupBy("version").agg(F.sort_array(F.collect_list(F.struct("seq", "label", "body"))).alias("parts"))
-
     def rows(r):
-        found = truncation(r["claim"], [(p["label"], p["body"]) for p in r["parts"]])
+        found = truncation(r["claim"], [(r["label"], r["body"])])
         if found:
-            yield {"claim_id": r["claim_id"], **found}
+            yield {"claim_id": r["claim_id"], "seq": r["seq"], **found}
+
+    # A claim meets the paragraphs that share a run of KEPT_WORDS with it, paragraph by paragraph; the first in order counts.
+    # The first and last word of a shared run may be parts of words, the ones between are whole.
+    def keyed(df, key, text):
+        def runs(r):
+            w = plain(r[text] or "").split()
+            for run in {" ".join(w[k : k + KEPT_WORDS - 2]) for k in range(len(w) - KEPT_WORDS + 3)}:
+                yield {"version": r["version"], key: r[key], "g": int.from_bytes(hashlib.blake2b(run.encode(), digest_size=8).digest(), "big", signed=True)}
+
+        return flat_map(df.select("version", key, text), runs, f"version string, {key} int, g long")
 
-    return flat_map(claims.join(held, "version"), rows, "claim_id int, label string, kept string, dropped string, qualifier string")
+    asked = keyed(claims, "claim_id", "claim")
+    held = keyed(passages.join(claims.select("version").distinct(), "version", "left_semi"), "seq", "body")
+    met = held.join(asked, ["version", "g"]).select("claim_id", "version", "seq").distinct()
+    pairs = met.join(claims, ["claim_id", "version"]).join(passages.select("version", "seq", "label", "body"), ["version", "seq"])
+    found = flat_map(pairs.select("claim_id", "claim", "seq", "label", "body"), rows, "claim_id int, seq int, label string, kept string, dropped string, qualifier string")
+    first = found.groupBy("claim_id").agg(F.min_by(F.struct("label", "kept", "dropped", "qualifier"), "seq").alias("t"))
+    return first.select("claim_id", "t.*")
 
 
 def verify_brief(brief: DataFrame, aliases: DataFrame, cases: DataFrame, standings: DataFrame) -> DataFrame:
@@ -189,7 +212,13 @@ def verify_brief(brief: DataFrame, aliases: DataFrame, cases: DataFrame, standin
     found = flat_map(brief, rows, "brief_id int, citation_id int, raw string, normalized string, parties string, proposition string")
     met = resolve.exact(found, aliases).join(cases, "case", "left").join(standings.select("case", F.col("status").alias("treatment")), "case", "left")
     met = resolve.name_mismatch(met)
-    check = F.pandas_udf(lambda p, c, b: p.to_frame("p").assign(c=c, b=b).apply(lambda r: hierarchy(r["p"] or "", r["c"], None if r["b"] != r["b"] else r["b"]), axis=1), "string")
+
+    @F.pandas_udf("string")
+    def check(said, court, bench):
+        import pandas as pd
+
+        return pd.Series([hierarchy(p or "", c, None if b is None or b != b else b) for p, c, b in zip(said, court, bench)], dtype=object)
+
     columns = {n: t for n, t in (x.split(" ") for x in verdict.INPUT.split(", "))}
     have = {"citation_id": F.col("citation_id"), "status": F.col("status"), "name_mismatch": F.col("mismatch"), "hierarchy": check("proposition", "court", "bench"), "treatment": F.col("treatment")}
     shaped = met.select("raw", "brief_id", *[have.get(n, F.lit(None)).cast(t).alias(n) for n, t in columns.items()])

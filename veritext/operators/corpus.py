@@ -9,7 +9,7 @@ from veritext.functions import structure
 from veritext.functions.citations import extract
 from veritext.functions.kernels import flat_map, group_map
 from veritext.functions.lexicon import PREAMBLE, ROLES, cue
-from veritext.functions.text import label_value
+from veritext.functions.text import label_value, shared_run
 
 MIN_EMBEDDED_CHARS = 60
 
@@ -172,14 +172,28 @@ def disposition(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.where(F.col("body").rlike(cue(ROLES["disposition"]))).groupBy("version").agg(F.max("seq").alias("seq"))
 
 
+#: Words in a row that place a claim elsewhere, and how many times as many as at its pinpoint.
+ELSEWHERE_WORDS, ELSEWHERE_TIMES = 10, 2
+
+
 def check_pinpoint(claims: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """claim_id, result: none_claimed, ok, out_of_range or not_in_judgment. claims: claim_id, version, pinpoint (label or range)."""
+    """claim_id, result: none_claimed, ok, wrong_paragraph, out_of_range or not_in_judgment. claims: claim_id, version, pinpoint (label or range), and maybe claim; paragraphs: version, seq, label, and maybe body.
+
+    With texts, a pinpoint that exists is wrong if another paragraph has ten or more of the claim's words in a row, and twice as many as those it points at."""
     c = F.col
     low, high = label_value(F.split_part("pinpoint", F.lit("-"), F.lit(1))), label_value(F.split_part("pinpoint", F.lit("-"), F.lit(2)))
     asked = claims.withColumn("low", low).withColumn("high", F.coalesce(high, low))
     labels = first_labels(paragraphs).select("version", "label", label_value(c("label")).alias("value"))
-    met = asked.join(labels, "version", "left").groupBy("claim_id", "pinpoint", "low", "high").agg(F.max(F.coalesce((c("label") == c("pinpoint")) | c("value").between(c("low"), c("high")), F.lit(False))).alias("hit"), F.max("value").alias("top"), F.count("label").alias("n"))
-    state = F.when(c("pinpoint").isNull(), "none_claimed").when(c("hit"), "ok").when((c("n") > 0) & (c("low") > c("top")), "out_of_range").otherwise("not_in_judgment")
+    inside = F.coalesce((c("label") == c("pinpoint")) | c("value").between(c("low"), c("high")), F.lit(False))
+    met = asked.join(labels, "version", "left").groupBy("claim_id", "pinpoint", "low", "high").agg(F.max(inside).alias("hit"), F.max("value").alias("top"), F.count("label").alias("n"))
+    found = F.when(c("hit"), "ok")
+    if "claim" in claims.columns and "body" in paragraphs.columns:
+        texts = asked.where("claim is not null").join(first_labels(paragraphs).select("version", "label", "body", label_value(c("label")).alias("value")), "version")
+        runs = flat_map(texts.select("claim_id", "claim", "body", inside.alias("here")), lambda r: [{"claim_id": r["claim_id"], "here": r["here"], "words": shared_run(r["claim"], r["body"] or "")[0]}], "claim_id int, here boolean, words int")
+        longest = runs.groupBy("claim_id").agg(F.coalesce(F.max(F.when(c("here"), c("words"))), F.lit(0)).alias("at"), F.coalesce(F.max(F.when(~c("here"), c("words"))), F.lit(0)).alias("off"))
+        met = met.join(longest, "claim_id", "left")
+        found = F.when(c("hit") & F.coalesce((c("off") >= ELSEWHERE_WORDS) & (c("off") >= ELSEWHERE_TIMES * c("at")), F.lit(False)), "wrong_paragraph").when(c("hit"), "ok")
+    state = F.when(c("pinpoint").isNull(), "none_claimed").when(found.isNotNull(), found).when((c("n") > 0) & (c("low") > c("top")), "out_of_range").otherwise("not_in_judgment")
     return met.select("claim_id", state.alias("result"))
 
 

@@ -54,25 +54,43 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int | None = 20, id_col: str
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
-def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> None:
-    """An inverted index on disk: postings in folders by a hash of the term and sorted by term, and the corpus figures.
+#: Folders that the postings of a batch are dealt over by term.
+BUCKETS = 64
 
-    A search reads the folders of its terms only, and of those the row groups that hold them."""
-    post = inverted_index(docs, id_col, tokens(F.col(text_col))).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    post.repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    figures = docs.select(F.greatest(F.size(tokens(F.col(text_col))), F.lit(0)).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets"))
-    figures.write.mode("overwrite").parquet(f"{path}/figures")
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> None:
+    """An inverted index on disk, from nothing: see add_to_index."""
+    for part in ("postings", "figures"):  # an index that stood there goes
+        target = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        target.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    add_to_index(docs, path, 0, id_col, text_col, buckets)
+
+
+def add_to_index(docs: DataFrame, path: str, batch: int, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> None:
+    """Adds documents to an index as one batch: postings in folders by a hash of the term, sorted by term, and the batch's figures.
+
+    A batch that is written again replaces itself. A bucket is cut into slices by document, as many as the shuffle has
+    partitions to spare, so frequent terms and large corpora are more tasks and not larger ones. A search reads the
+    folders of its terms only, and of those the row groups that hold them."""
+    spark = docs.sparkSession
+    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    post = inverted_index(docs, id_col, tokens(F.col(text_col))).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)))
+    dealt = post.repartition(slices * buckets, "bucket", "slice").drop("slice") if slices > 1 else post.drop("slice").repartition("bucket")
+    dealt.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    figures = docs.select(F.greatest(F.size(tokens(F.col(text_col))), F.lit(0)).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"), F.lit(buckets).alias("buckets"))
+    figures.write.mode("overwrite").parquet(f"{path}/figures/batch={batch}")
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, top: int = 20, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, id, score, rank: the same as bm25, from an index. The terms of the queries, a stated set, prune the read."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    figures = spark.read.parquet(f"{path}/figures").first()
+    figures = spark.read.parquet(f"{path}/figures").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("buckets").alias("buckets")).first()
     asked = wanted.select("term", F.pmod(F.xxhash64("term"), F.lit(figures["buckets"])).cast("int").alias("bucket")).distinct().collect()
     post = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin([r["bucket"] for r in asked]) & F.col("term").isin([r["term"] for r in asked]))
     freq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(0.0), F.log(1 + (figures["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (figures["avg_len"] or 1.0)))
+    mean = figures["total"] / figures["n"] if figures["n"] and figures["total"] else 1.0
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
     scored = post.join(freq.join(wanted, "term"), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("rank") <= top)
 
@@ -83,7 +101,12 @@ def bm25_fts(docs: DataFrame, queries: DataFrame, top: int | None = 20, **cols:
 
 def near(docs: DataFrame, terms: list[str], window: int = NEAR_WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_hits: documents in which all terms stand within so many tokens of each other, counting all tokens."""
-    placed = docs.select(F.col(id_col).alias("id"), F.expr("1").alias("one"), F.posexplode(raw_tokens(F.col(text_col))).alias("pos", "term")).where(F.col("term").isin(*terms))
+    # Only documents that hold all terms, and of these only the places of the terms, leave the scan.
+    held = docs.select(F.col(id_col).alias("id"), raw_tokens(F.col(text_col)).alias("all"))
+    for t in dict.fromkeys(terms):
+        held = held.where(F.array_contains("all", t))
+    spots = F.filter(F.transform("all", lambda t, i: F.struct(i.alias("pos"), t.alias("term"))), lambda x: x["term"].isin(*terms))
+    placed = held.select("id", F.inline(spots))
     ahead = Window.partitionBy("id").orderBy("pos").rangeBetween(0, window + 1)
     for i, t in enumerate(terms):
         placed = placed.withColumn(f"t{i}", F.max((F.col("term") == t).cast("int")).over(ahead))
@@ -98,9 +121,21 @@ def cosine(left: Column, right: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
+#: Query vectors that are broadcast together.
+QUERY_BLOCK = 4096
+
+
 def dense(vectors: DataFrame, queries: DataFrame, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, id, score, rank by exact cosine. queries: query_id, vector; a stated set, so its blocks ship to all vectors."""
+    """query_id, id, score, rank by exact cosine. queries: query_id, vector; a stated set, of which at most QUERY_BLOCK ship to all vectors at once."""
     held = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    n = queries.count()
+    if n > QUERY_BLOCK:
+        parts = -(-n // QUERY_BLOCK) * 2  # twice as many as needed: blocks by a hash differ in size
+        blocks = [dense(vectors, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k), top, id_col, vector_col) for k in range(parts)]
+        out = blocks[0]
+        for more in blocks[1:]:
+            out = out.unionByName(more)
+        return out
     scored = held.join(F.broadcast(queries), F.lit(True)).select("query_id", "id", F.round(cosine(F.col("v"), F.col("vector")), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= top)
 

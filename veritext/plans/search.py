@@ -97,7 +97,8 @@ SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, round(1000 * s
 def rrf_fusion(spark, sf):
     docs = table(spark, sf, "documents")
     lexical = retrieval.bm25(docs, _asked(spark), 120).select(F.lit(0).alias("ranker"), F.col("id").alias("item"), "rank")
-    near = retrieval.near(docs, list(NEAR)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_hits"), "id"))).where("rank <= 40").select(F.lit(1).alias("ranker"), F.col("id").alias("item"), "rank")
+    best = retrieval.near(docs, list(NEAR)).orderBy(F.desc("n_hits"), "id").limit(40)
+    near = best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n_hits"), "id"))).select(F.lit(1).alias("ranker"), F.col("id").alias("item"), "rank")
     dense = retrieval.dense(table(spark, sf, "embeddings"), _vector(spark, sf, 0), 120).select(F.lit(2).alias("ranker"), F.col("id").alias("item"), "rank")
     fused = retrieval.fuse(lexical.unionByName(near).unionByName(dense))
     return fused.select(F.col("item").alias("doc_id"), F.round("score", 9).alias("score"), F.round("relevance", 6).alias("relevance"))
@@ -174,17 +175,28 @@ def fts_query_terms(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(retrieval.fts_terms(F.col("text"))), " OR ").alias("query"))
 
 
-@query("find_authorities")
+_BEST_SQL = ORACLE_SQL["best_line"].replace(" the and with that'", " the and that'")
+
+
+@query("find_authorities", f"""
+WITH fused AS ({ORACLE_SQL["rrf_fusion"]}), voiced AS (SELECT f.doc_id, f.relevance, d.source, d.text FROM fused f JOIN documents d USING (doc_id) WHERE NOT regexp_matches(d.text, 'Learned counsel')),
+prior AS (SELECT doc_id, source, relevance + CASE WHEN text LIKE '%held%' THEN 1.0 ELSE 0.0 END AS relevance FROM voiced),
+one AS (SELECT * FROM prior QUALIFY row_number() OVER (PARTITION BY source ORDER BY relevance DESC, doc_id) = 1),
+b AS ({_BEST_SQL})
+SELECT one.doc_id, source, round(relevance, 3) AS score, line_no, coalesce(quality = 0, false) AS doubtful FROM one LEFT JOIN b USING (doc_id) LEFT JOIN labels USING (doc_id) ORDER BY doubtful, score DESC, doc_id LIMIT 5
+""")
 def find_authorities(spark, sf):
-    """Fused search, one result per source, its best line, relevance with the bonus, doubtful ones last."""
+    """Fused search over the words, NEAR and vectors, counsel's words left out, a prior for holdings, one result per source with its best line, doubtful ones last."""
     docs = table(spark, sf, "documents")
-    ranked = rrf_fusion(spark, sf).join(docs, "doc_id")
-    lines = ranked.select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    best = retrieval.best_line(lines, PROPOSITION + " the and that").select(F.col("id").alias("doc_id"), "line", "overlap")
-    one = retrieval.first_of_group(ranked, "source", F.desc("relevance"), F.col("doc_id"))
+    met = rrf_fusion(spark, sf).join(docs, "doc_id").where(~F.col("text").rlike("Learned counsel"))
+    met = met.withColumn("relevance", F.col("relevance") + F.when(F.contains("text", F.lit("held")), 1.0).otherwise(0.0))
     labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("doubtful"))
-    out = one.join(best, "doc_id", "left").join(labels, "doc_id", "left").select("doc_id", "source", F.round("relevance", 3).alias("score"), "line", F.coalesce("doubtful", F.lit(False)).alias("doubtful"))
-    return out.orderBy("doubtful", F.desc("score"), "doc_id").limit(5)
+    # One of a source and five of all first: only their lines are read.
+    one = retrieval.first_of_group(met, "source", F.desc("relevance"), F.col("doc_id")).join(labels, "doc_id", "left").withColumn("doubtful", F.coalesce("doubtful", F.lit(False)))
+    top = one.withColumn("score", F.round("relevance", 3)).orderBy("doubtful", F.desc("score"), "doc_id").limit(5)
+    lines = top.select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    best = retrieval.best_line(lines, PROPOSITION + " the and that").select(F.col("id").alias("doc_id"), "line_no")
+    return top.join(best, "doc_id", "left").select("doc_id", "source", "score", "line_no", "doubtful")
 
 
 @query("longest_shared_run")
@@ -193,9 +205,19 @@ def longest_shared_run(spark, sf):
     return contrary.shared_runs(claims, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")).select("claim_id", "id", "words")
 
 
+#: Passages beside the documents: one opposes the proposition, the others must be passed over.
+_OPPOSED = "A notice served on the tenant is mandatory in a suit of eviction"
+_VOICES = [
+    (-1, "The matter is old. A notice served on the tenant is not mandatory in a suit of eviction."), (-2, "Whether a notice served on the tenant is not mandatory in a suit of eviction?"),
+    (-3, "A notice served on the appellant tenant is not mandatory in a suit of eviction."), (-4, "It was said that \u201ca rule. A notice served on the tenant is not mandatory in a suit of eviction. So it is\u201d once."), (-5, "A notice served on the tenant is mandatory in a suit of eviction."),
+]
+
+
 @query("contrary_search")
 def contrary_search(spark, sf):
-    return contrary.find_contrary(table(spark, sf, "documents"), "The erth that in the edat is mandatory and the hain of thation was maintainable")
+    """Of the documents and a few passages on one point, the sentence that opposes it."""
+    own = spark.createDataFrame(_VOICES, "doc_id long, text string")
+    return contrary.find_contrary(table(spark, sf, "documents").select("doc_id", "text").unionByName(own), _OPPOSED)
 
 
 @query("candidate_pool_union", f"""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritext.functions.kernels import group_map
 
 REQUESTS, SECONDS = 120, 60.0
 SCHEMA = "client string, bucket string, ts timestamp_ntz, place int, allowed boolean"
@@ -26,12 +26,20 @@ def decide(times: list[float], start: float | None, used: int, requests: int, se
 
 def limit(events: DataFrame, requests: int = REQUESTS, seconds: float = SECONDS) -> DataFrame:
     """client, bucket, ts, place, allowed over events (client, bucket, ts)."""
-    def rows(held):
-        times = [r["ts"].timestamp() for r in held]
-        for r, (place, ok) in zip(held, decide(times, None, 0, requests, seconds)[0]):
-            yield {**r, "place": place, "allowed": ok}
-
-    return group_map(events.select("client", "bucket", "ts"), ["client", "bucket"], ["ts"], rows, SCHEMA)
+    def run(batches):
+        key, start, used = None, None, 0  # the window of the client that the batch before ended with
+        for batch in batches:
+            held = batch.to_pylist()
+            out = []
+            for r in held:
+                if (r["client"], r["bucket"]) != key:
+                    key, start, used = (r["client"], r["bucket"]), None, 0
+                ((place, ok),), start, used = decide([r["ts"].timestamp()], start, used, requests, seconds)
+                out.append((place, ok))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p for p, _ in out], pa.int32()), pa.array([ok for _, ok in out], pa.bool_())], [*batch.schema.names, "place", "allowed"])
+
+    # A client's requests pass in order; its state is one window, however many there are.
+    return events.select("client", "bucket", "ts").repartition("client", "bucket").sortWithinPartitions("client", "bucket", "ts").mapInArrow(run, SCHEMA)
 
 
 def limit_stream(events: DataFrame, requests: int = REQUESTS, seconds: float = SECONDS, late: str = "10 minutes") -> DataFrame:
@@ -55,11 +63,12 @@ def limit_stream(events: DataFrame, requests: int = REQUESTS, seconds: float = S
 
 
 def index_new_documents(stream: DataFrame, index_path: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text"):
-    """Adds the postings of new documents to an index table and ends when all are in (Trigger.AvailableNow)."""
-    from veritext.functions.text import tokens
+    """Adds new documents to an index, a batch of it for each batch of the stream, and ends when all are in (Trigger.AvailableNow).
+
+    A batch that is replayed after a failure replaces what it wrote before; search_index reads all batches."""
+    from veritext.operators.retrieval import add_to_index
 
-    def add(batch: DataFrame, _: int) -> None:
-        terms = batch.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("terms")).select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-        terms.groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf")).write.mode("append").parquet(index_path)
+    def add(batch: DataFrame, number: int) -> None:
+        add_to_index(batch, index_path, number + 1, id_col, text_col)  # batch 0 is that of write_index
 
     return stream.writeStream.foreachBatch(add).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
