@@ -63,8 +63,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def ngrams(host: str, path: str) -> str:
     """SQL of the distinct hash buckets of a url's 3- to 5-grams of the host and 3-grams of the path."""
     def grams(mark: str, column: str, n: int) -> str:
-        text = f"concat('^', {column}, '$')"
-        return f"transform(sequence(1, greatest(1, length({column}) + 3 - {n})), p -> cast(pmod(xxhash64('{mark}', substring({text}, p, {n})), {DIMENSIONS}) as int))"
+        # Characters first, so that a long url costs its length and not the square of it.
+        starts = f"sequence(1, greatest(1, size(c) + 1 - {n}))"
+        return f"transform(array(split(concat('^', {column}, '$'), '')), c -> transform({starts}, p -> cast(pmod(xxhash64('{mark}', array_join(slice(c, p, {n}), '')), {DIMENSIONS}) as int)))[0]"
 
     return f"array_distinct(concat({grams('h', host, 3)}, {grams('h', host, 4)}, {grams('h', host, 5)}, {grams('p', path, 3)}))"
 
