@@ -227,3 +227,12 @@ def test_vectors_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, retrieval.dense(v, q, 3).collect()))
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
     assert sorted(map(tuple, retrieval.dense(v, q, 3).collect())) == want
+
+
+def test_fragments():
+    words = [f"word{chr(97 + k)}" for k in range(26)]
+    assert contrary.fragment(" ".join(words[:15])) is None
+    assert contrary.fragment(" ".join(words[:20])) == " ".join(words[4:16])
+    labels = words[:3] + ["(A2,", "A4,"] * 6 + words[3:15]
+    assert contrary.fragment(" ".join(labels)).split().count("A4,") <= 2
+    assert contrary.fragment(" ".join(["A1,"] * 30)) is None

@@ -85,6 +85,48 @@ def plant(items: DataFrame) -> DataFrame:
     return flat_map(items, rows, "id int, mode int, claim string, citation string")
 
 
+def plant_readings(seeds: DataFrame) -> DataFrame:
+    """id, mode, claim, citation: errors of reading, each where its seed has the words for it.
+
+    A claim of too large a bench (3), another case's proposition (4), counsel's words (5), a dissent's (6), words the
+    court did not decide on (7), and an overruled case (10). seeds: id, sentence, citation, label, bench, and the pairs
+    counsel, dissent and obiter (_label, _sentence), foreign_sentence, and dead_ (citation, label, sentence)."""
+    def at(label: str, citation: str = "citation") -> Column:
+        return F.concat(F.col(citation), F.lit(", para "), F.col(label))
+
+    lowered = F.concat(F.lower(F.substring("sentence", 1, 1)), F.expr("substring(sentence, 2)"))
+    larger = F.when(F.coalesce("bench", F.lit(0)) < 5, F.concat(F.lit("A Constitution Bench of this Court held that "), lowered))
+    made = [
+        (3, larger, at("label")), (4, F.col("foreign_sentence"), at("label")), (5, F.col("counsel_sentence"), at("counsel_label")), (6, F.col("dissent_sentence"), at("dissent_label")),
+        (7, F.col("obiter_sentence"), at("obiter_label")), (10, F.col("dead_sentence"), at("dead_label", "dead_citation")),
+    ]
+    items = F.array(*[F.struct(F.lit(m).alias("mode"), claim.alias("claim"), citation.alias("citation")) for m, claim, citation in made])
+    return seeds.select("id", F.inline(F.filter(items, lambda x: x["claim"].isNotNull() & x["citation"].isNotNull())))
+
+
+#: Words of a fragment query, words that a sentence has beyond them, and how many of them must be plain words.
+FRAGMENT_WORDS, FRAGMENT_REST, READABLE_WORDS = 12, 4, 8
+
+
+def fragment(sentence: str) -> str | None:
+    """A readable run of words as near the middle of a sentence as there is one, the earlier of two; None for short sentences."""
+    words = sentence.split()
+    if len(words) < FRAGMENT_WORDS + FRAGMENT_REST:
+        return None
+    plain_word = [len(b) >= 3 and b.isalpha() for b in (w.strip(".,;:()[]") for w in words)]
+    last = len(words) - FRAGMENT_WORDS
+    for start in sorted(range(last + 1), key=lambda k: (abs(k - last // 2), k)):
+        if sum(plain_word[start : start + FRAGMENT_WORDS]) >= READABLE_WORDS:
+            return " ".join(words[start : start + FRAGMENT_WORDS])
+    return None
+
+
+def seeded_sample(items: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """n rows in the order of a hash of seed and key: the same ones in every run, whatever the partitions."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return items.orderBy(order, key).limit(n)
+
+
 def _shift(cite: str, by: int) -> str:
     """The citation with its last number moved on."""
     return re.sub(r"(\d+)(\D*)$", lambda m: f"{int(m[1]) + by}{m[2]}", cite)

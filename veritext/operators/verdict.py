@@ -147,3 +147,19 @@ def outcome_table(items: DataFrame, key: str, outcomes: list[str]) -> DataFrame:
 def lowered(step: Column, down: Column, floor: Column) -> Column:
     """The grade (A to F) some steps below a step (0 for A), F at the most, and at least as bad as a floor's step."""
     return F.get(F.array(*[F.lit(g) for g in "ABCDEF"]), F.greatest(F.least(step + down, F.lit(5)), floor).cast("int"))
+
+
+def rates(items: DataFrame) -> DataFrame:
+    """grounding (verdicts that claim support and have a verified quotation), abstention (those in need of review), mean_seconds of timed items; null without any. items: support, quote_verified, needs_review, seconds."""
+    claims = F.col("support").isin("full", "partial")
+    return items.agg(
+        F.round(F.avg(F.when(claims, _fixed(F.col("quote_verified")).cast("double"))), 6).alias("grounding"),
+        F.round(F.avg(F.when(F.col("support").isNotNull(), _fixed(F.col("needs_review")).cast("double"))), 6).alias("abstention"),
+        F.round(F.avg(F.when(F.col("seconds") > 0, F.col("seconds").cast("double"))), 6).alias("mean_seconds"),
+    )
+
+
+def line_accuracy(outcomes: DataFrame) -> DataFrame:
+    """kind, found, accuracy: of the searches that found the paragraph, how many named its line; null where none did. outcomes: kind, rank, line_matched."""
+    hit = F.when(F.col("rank").isNotNull(), _fixed(F.col("line_matched")).cast("double"))
+    return outcomes.groupBy("kind").agg(F.count("rank").alias("found"), F.round(F.avg(hit), 6).alias("accuracy"))

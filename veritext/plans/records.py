@@ -265,6 +265,44 @@ def retrieval_recall_at_k(spark, sf):
     return verdict.recall_at(e, 1, 5, 10)
 
 
+@query("eval_rates", "SELECT round(avg(CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN 1.0::DOUBLE ELSE 0 END END), 6) AS grounding, round(avg(CASE WHEN toxic = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS abstention, round(avg(CASE WHEN doc_id % 7 > 0 THEN CAST(doc_id % 7 AS DOUBLE) END), 6) AS mean_seconds FROM labels")
+def eval_rates(spark, sf):
+    support = F.when(F.col("quality") == 1, "full").otherwise("none")
+    return verdict.rates(table(spark, sf, "labels").select(support.alias("support"), (F.col("toxic") == 0).alias("quote_verified"), (F.col("toxic") == 1).alias("needs_review"), (F.col("doc_id") % 7).alias("seconds")))
+
+
+@query("line_accuracy", "SELECT event_type AS kind, count(*) FILTER (user_id % 3 > 0) AS found, round(avg(CASE WHEN user_id % 3 > 0 THEN CASE WHEN event_id % 4 > 0 THEN 1.0::DOUBLE ELSE 0 END END), 6) AS accuracy FROM events GROUP BY 1")
+def line_accuracy(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 17).alias("rank"), (F.col("event_id") % 4 > 0).alias("line_matched"))
+    return verdict.line_accuracy(e)
+
+
+@query("seeded_sample", "SELECT doc_id FROM documents ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50")
+def seeded_sample(spark, sf):
+    """A sample of fixed size is the operator."""
+    return contrary.seeded_sample(table(spark, sf, "documents").select("doc_id"), "doc_id", 50)
+
+
+_SEEDS = [
+    (1, "The notice was good.", "(2019) 4 SCC 1", "3", 2, "5", "The notice was bad in law.", None, None, "9", "It may be that it was late.", "A suit lies.", "AIR 1973 SC 1", "2", "It does not lie."),
+    (2, "A suit lies.", "(2020) 1 SCC 9", "7", 5, None, None, "12", "I would hold otherwise.", None, None, None, None, None, None),
+]
+_SEED_COLUMNS = "id, sentence, citation, label, bench, counsel_label, counsel_sentence, dissent_label, dissent_sentence, obiter_label, obiter_sentence, foreign_sentence, dead_citation, dead_label, dead_sentence"
+
+
+@query("planted_readings", f"""
+WITH s({_SEED_COLUMNS}) AS ({_values(_SEEDS)}), m AS (
+  SELECT id, 3 AS mode, CASE WHEN bench < 5 THEN 'A Constitution Bench of this Court held that ' || lower(sentence[1]) || sentence[2:] END AS claim, citation || ', para ' || label AS citation FROM s UNION ALL
+  SELECT id, 4, foreign_sentence, citation || ', para ' || label FROM s UNION ALL SELECT id, 5, counsel_sentence, citation || ', para ' || counsel_label FROM s UNION ALL
+  SELECT id, 6, dissent_sentence, citation || ', para ' || dissent_label FROM s UNION ALL SELECT id, 7, obiter_sentence, citation || ', para ' || obiter_label FROM s UNION ALL
+  SELECT id, 10, dead_sentence, dead_citation || ', para ' || dead_label FROM s
+) SELECT * FROM m WHERE claim IS NOT NULL AND citation IS NOT NULL
+""")
+def planted_readings(spark, sf):
+    kinds = ", ".join(f"{c} {'int' if c in ('id', 'bench') else 'string'}" for c in _SEED_COLUMNS.split(", "))
+    return contrary.plant_readings(spark.createDataFrame(_SEEDS, kinds))
+
+
 @query("gate_traffic", "SELECT event_type AS kind, round(avg(value), 6) AS mean_value, round(count(*) / (SELECT count(*) FROM events)::DOUBLE, 6) AS share FROM events GROUP BY 1")
 def gate_traffic(spark, sf):
     return verdict.traffic(table(spark, sf, "events").select(F.col("event_type").alias("kind"), "value"))
