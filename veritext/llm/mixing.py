@@ -40,9 +40,9 @@ MAX_SOURCES, TEMPER, CUE_WORDS = 256, 0.7, 50
 #: Cues of each topic; of equal counts the first topic wins.
 CUES = {
     "tabular": "[|\\t]",
-    "legal": "(?i)licen[cs]e|copyright|warrant|liabilit|hereby|pursuant",
-    "contact": "@|https?://|www[.]|[+]?[0-9][0-9 -]{7,}[0-9]",
-    "code": "[{};]|[=!<>]=|[(][)]",
+    "legal": "[LCWHPlcwhp](?:icen[cs]e|opyright|arrant|iabilit|ereby|ursuant)",
+    "contact": "@|://|www[.]|[0-9]{3}[ -][0-9]{3}",
+    "code": "[{};]|==|[(][)]",
     "noise": "[#$%&*~^]{2,}",
 }
 
@@ -61,12 +61,12 @@ def category(column: str, known: dict[str, float]) -> Column:
     return F.when(F.col(column).isin(*[k for k in known if k != OTHER]), F.col(column)).otherwise(F.lit(OTHER))
 
 
-def topic(text_col: str) -> Column:
-    """The topic with most cues in the text, if they are frequent enough; else prose."""
+def topic(text_col: str, n_tokens: Column) -> Column:
+    """The topic with most cues in the text, if they are frequent enough among its tokens; else prose."""
     counts = [F.coalesce(F.regexp_count(F.col(text_col), F.lit(p)), F.lit(0)) for p in CUES.values()]
     # One array, so that each pattern is counted once.
     found = F.array(*counts)
-    most = F.transform(F.array(found), lambda c: F.when(F.array_max(c) * CUE_WORDS >= F.greatest(tokens(text_col), F.lit(1)), F.get(F.array(*[F.lit(k) for k in CUES]), (F.array_position(c, F.array_max(c)) - 1).cast("int"))))
+    most = F.transform(F.array(found), lambda c: F.when(F.array_max(c) * CUE_WORDS >= F.greatest(n_tokens, F.lit(1)), F.get(F.array(*[F.lit(k) for k in CUES]), (F.array_position(c, F.array_max(c)) - 1).cast("int"))))
     return F.coalesce(F.get(most, F.lit(0)), F.lit("prose"))
 
 
@@ -141,22 +141,26 @@ def tempered(cells: DataFrame, temper: float = TEMPER, most: int = MAX_SOURCES)
 
 
 def weighed(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
-    """The documents, all columns, and _source, _lang, _topic, _prob (of being kept) and _kept."""
+    """The documents, all columns, and _tokens, _source, _lang, _topic, _prob (of being kept) and _kept."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    cells = docs.groupBy(F.col(source_col).alias("source"), category(lang_col, targets.lang).alias("lang"), topic(text_col).alias("topic")).agg(F.sum(tokens(text_col)).alias("n"))
+    docs = docs.drop("_source", "_lang", "_topic", "_prob", "_kept", "_tokens")
+    # Texts are counted once; what follows reads a few columns of this table.
+    marked = docs.withColumn("_tokens", tokens(text_col)).withColumn("_lang", category(lang_col, targets.lang)).withColumn("_topic", topic(text_col, F.col("_tokens")))
+    marked = scratch.write(marked, "marked")
+    cells = marked.groupBy(F.col(source_col).alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("n"))
     cells = scratch.write(cells, "cells")
     if targets.source is None:
         targets = replace(targets, source=tempered(cells))
     cells = cells.groupBy(category("source", targets.source).alias("source"), "lang", "topic").agg(F.sum("n").alias("n"))
     found, rate, _ = factors(cells, targets, scratch, rounds, budget)
-    marked = docs.withColumn("_source", category(source_col, targets.source)).withColumn("_lang", category(lang_col, targets.lang)).withColumn("_topic", topic(text_col))
+    marked = marked.withColumn("_source", category(source_col, targets.source))
     return marked.withColumn("_prob", probability(found, rate)).withColumn("_kept", chance(id_col) < F.col("_prob"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang and topic category, tokens, probability and whether it is kept, per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return weighed(docs).select("doc_id", F.col("_source").alias("source_cat"), F.col("_lang").alias("lang_cat"), F.col("_topic").alias("topic"), tokens("text").alias("n_tokens"), F.round("_prob", 6).alias("prob"), F.col("_kept").alias("kept"))
+    return weighed(docs).select("doc_id", F.col("_source").alias("source_cat"), F.col("_lang").alias("lang_cat"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_prob", 6).alias("prob"), F.col("_kept").alias("kept"))
 
 
 def _sql(targets: Targets = Targets(), rounds: int = ROUNDS) -> str:
