@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its language score is under SLACK times the median of the training documents with a right prediction
 #: and about its number of n-grams (the median, since garbage that carries a language's label scores low but "right");
 #: groups of under LEAST such documents take the lowest of the others' thresholds.
-SLACK, LEAST = 0.4, 20
+SLACK, LEAST = 0.33, 20
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
