@@ -236,3 +236,14 @@ def test_fragments():
     labels = words[:3] + ["(A2,", "A4,"] * 6 + words[3:15]
     assert contrary.fragment(" ".join(labels)).split().count("A4,") <= 2
     assert contrary.fragment(" ".join(["A1,"] * 30)) is None
+
+
+def test_years_and_done_cases(spark, tmp_path):
+    from veritext.operators import citator
+
+    spark.createDataFrame([(1, 2019), (2, 2021)], "x int, year int").write.partitionBy("year").parquet(str(tmp_path / "m"))
+    assert [r.year for r in readers.years(spark, str(tmp_path / "m")).collect()] == [2019, 2021]
+    body = spark.createDataFrame([("Z9", 1, "See AIR 1973 SC 1461."), ("Z8", 1, "See AIR 1973 SC 1461.")], "citing string, seq int, body string")
+    aliases = spark.createDataFrame([("AIR:SC:1973:1461", "B2")], "normalized string, case string")
+    assert {r.citing for r in citator.citation_edges(body, aliases).collect()} == {"Z8", "Z9"}
+    assert {r.citing for r in citator.citation_edges(body, aliases, spark.createDataFrame([("Z8",)], "citing string")).collect()} == {"Z9"}

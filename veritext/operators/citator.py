@@ -62,10 +62,10 @@ def cited_share(cases: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.agg(F.countDistinct("cited").alias("cited")).join(n, F.lit(True)).select("cited", "cases", F.round(F.try_divide(F.col("cited").cast("double"), F.col("cases")), 6).alias("share"))
 
 
-def citation_edges(paragraphs: DataFrame, aliases: DataFrame) -> DataFrame:
+def citation_edges(paragraphs: DataFrame, aliases: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """Edges of paragraphs (citing, seq, body): every citation, its sentence's treatment of it, joined to the alias table.
 
-    Harm said inside a quotation is the quoted court's, and counts as a mere reference."""
+    done: cases (column citing) whose paragraphs were read before and are not read again. Harm said inside a quotation is the quoted court's, and counts as a mere reference."""
     def rows(r):
         for k, c in enumerate(extract(r["body"])):
             what = treatment(r["body"], (c["start"], c["end"]))
@@ -73,6 +73,8 @@ def citation_edges(paragraphs: DataFrame, aliases: DataFrame) -> DataFrame:
                 what = "referred"
             yield {"citing": r["citing"], "seq": r["seq"], "pos": k, "normalized": c["normalized"], "treatment": what}
 
+    if done is not None:
+        paragraphs = paragraphs.join(done.select("citing").distinct(), "citing", "left_anti")
     found = flat_map(paragraphs.select("citing", "seq", "body"), rows, "citing string, seq int, pos int, normalized string, treatment string")
     known = found.join(aliases.select("normalized", F.col("case").alias("cited")), "normalized").where("citing <> cited")
     return dedup_edges(known, "seq", "pos").select("citing", "cited", "treatment", "seq")

@@ -74,9 +74,10 @@ def reconcile(index: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return gone.unionByName(wanted.select(key).join(index.select(key), key, "left_anti").withColumn("action", F.lit("insert")))
 
 
-def needing_text(documents: DataFrame, have: DataFrame, key: str, newest: str, limit: int | None = None) -> DataFrame:
-    """Documents without text yet, newest first."""
-    out = documents.join(have.select(key), key, "left_anti").orderBy(F.desc(newest), key)
+def needing_text(documents: DataFrame, have: DataFrame, key: str, newest: str, limit: int | None = None, years: list[int] | None = None, year: Column | None = None) -> DataFrame:
+    """Documents without text yet, newest first; years: only those of these years, year: where it stands (a date column `newest` by default)."""
+    out = documents if years is None else documents.where((F.year(newest) if year is None else F.coalesce(year, F.year(newest))).isin(*years))
+    out = out.join(have.select(key), key, "left_anti").orderBy(F.desc(newest), key)
     return out if limit is None else out.limit(limit)
 
 

@@ -58,6 +58,30 @@ def resume_list(spark, sf):
     return corpus.needing_text(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "n_chars", 100).select("doc_id")
 
 
+@query("resume_years", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) IN (1995, 1997) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2) ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
+def resume_years(spark, sf):
+    """A page of the work list of some years."""
+    have = table(spark, sf, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("o_orderkey"))
+    return corpus.needing_text(table(spark, sf, "orders"), have, "o_orderkey", "o_orderdate", 200, [1995, 1997]).select("o_orderkey")
+
+
+@query("missing_vectors", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def missing_vectors(spark, sf):
+    held = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "m1").otherwise("m0").alias("model"))
+    return writers.missing_vectors(table(spark, sf, "documents").select("doc_id"), held, "doc_id", "m1")
+
+
+_CITED_META = [("K1", "(2005) 6 SCC 733; AIR 2005 SC 100"), ("K2", "AIR 1973 SC 1461"), ("K3", None)]
+
+
+@query("metadata_aliases", f"""
+WITH m(canonical_key, citation) AS ({_values(_CITED_META)}), c AS (SELECT canonical_key, trim(unnest(string_split(citation, ';'))) AS raw FROM m)
+SELECT canonical_key, CASE WHEN raw LIKE 'AIR%' THEN 'AIR:SC:' || split_part(raw, ' ', 2) || ':' || split_part(raw, ' ', 4) ELSE 'SCC:' || raw[2:5] || ':' || split_part(raw, ' ', 2) || ':' || split_part(raw, ' ', 4) END AS normalized, raw FROM c
+""")
+def metadata_aliases(spark, sf):
+    return corpus.aliases_of(spark.createDataFrame(_CITED_META, "canonical_key string, citation string"))
+
+
 @query("embeddable", "SELECT doc_id FROM documents WHERE length(text) >= 60 AND source <> 'src1'")
 def embeddable(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.lit(True).alias("preferred"), F.when(F.col("source") == "src1", "headnote").alias("kind"), F.col("text").alias("body"))

@@ -23,6 +23,15 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METADATA).option("basePath", path).parquet(path)
 
 
+def years(spark: SparkSession, path: str) -> DataFrame:
+    """year, from the names of the partition folders alone, in order."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm.Path(root, "year=*")) or []
+    names = sorted(f.getPath().getName().partition("=")[2] for f in found)
+    return spark.createDataFrame([(int(n),) for n in names if n.isdigit()], "year int")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str = GOLD) -> DataFrame:
     """JSON lines with a fixed schema: unknown keys are dropped, blank lines skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -20,10 +20,15 @@ def failures(df: DataFrame, path: str) -> None:
 
 
 def vectors(df: DataFrame, path: str, model: str) -> None:
-    """Vectors with the name of their model; rows of another model are replaced."""
+    """Vectors with the name of their model; rows of that model are replaced."""
     replace_partitions(df.withColumn("model", F.lit(model)), path, "model")
 
 
+def missing_vectors(items: DataFrame, held: DataFrame, key: str, model: str) -> DataFrame:
+    """Items without a vector of this model: what a build has to encode when it goes on. Vectors of another model don't count, so a change of model starts anew. held: key, model."""
+    return items.join(held.where(F.col("model") == model).select(key).distinct(), key, "left_anti")
+
+
 def annotate(text: str, marks: list[tuple[int, str]]) -> str:
     """A brief with a mark behind each span end, put in from right to left."""
     for end, mark in sorted(marks, reverse=True):
