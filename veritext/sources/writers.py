@@ -72,4 +72,10 @@ def authorities_table(cites: DataFrame) -> DataFrame:
     """judgment, title, labels over cites (judgment, title, court_rank, decided, label): by court, date and title; labels by length, then text."""
     g = cites.groupBy("judgment", "title", "court_rank", "decided").agg(F.collect_set("label").alias("labels"))
     ordered = F.array_join(F.transform(F.array_sort(F.transform("labels", lambda x: F.struct(F.length(x), x.alias("label")))), lambda s: s["label"]), ", ")
-    return g.select("judgment", "title", ordered.alias("labels"), F.row_number().over(Window.orderBy("court_rank", "decided", "title", "judgment")).alias("place"))
+    # Placed within its court, after all of the courts before it: a row a court knows how many those are.
+    courts = g.groupBy(F.col("court_rank").alias("_court")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_court").rowsBetween(Window.unboundedPreceding, -1)
+    courts = courts.select("_court", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("court_rank").orderBy("decided", "title", "judgment"))
+    placed = g.withColumn("_own", own).join(courts, F.col("court_rank").eqNullSafe(F.col("_court")))
+    return placed.select("judgment", "title", ordered.alias("labels"), (F.col("_own") + F.col("_before")).cast("int").alias("place"))
