@@ -482,6 +482,30 @@ def test_shards_and_other_hosts_change_nothing(spark, monkeypatch, chars):
     assert got == want and "Home" not in got[5] and "Home" in got[200] and "notice" not in got[0]
 
 
+@pytest.mark.parametrize("chars", [400, 1500, 4000, 10**9])
+def test_boilerplate_is_counted_over_all_pages_of_a_host(spark, monkeypatch, chars):
+    """A host in shards of a few pages, of some twenty or in one: the same text, equal to a plain count over its different texts."""
+    monkeypatch.setattr(html_extract, "SHARD_CHARS", chars)
+    lines = {"half": 30, "less": 29, "most": 45, "some": 3}  # pages that carry the line, of 60 different ones
+    say = {k: f"This {k} line stands at the end of pages of the host" for k in lines}
+
+    def page(i, extra=""):
+        own = [f"Text number {i} says something of its own, {i * i} times over."] + [say[k] for k, n in lines.items() if (i * 37 + 11 * len(k)) % 60 < n]
+        plain = i % 10 == 0  # no article element
+        return ("" if plain else "<article>") + "".join(f"<div{extra}>{t}</div>" for t in own) + ("" if plain else "</article>"), own, plain
+
+    rows, want = [], {}
+    for i in range(60):
+        for copy in range(1 + 6 * (i % 20 == 7)):  # equal texts in different html count once
+            html, own, plain = page(i, f" title='{copy}'" if copy else "")
+            rows.append((i + 100 * copy, f"http://a.org/{i}", html))
+            want[i + 100 * copy] = "\n\n".join(t for t in own if t not in ([say[k] for k in lines] if plain else [say["half"], say["most"]]))
+    rows += [(1000 + i, f"http://b.org/{i}", page(i)[0]) for i in range(1, 10)]
+    want |= {1000 + i: "\n\n".join(page(i)[1]) for i in range(1, 10)}
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_boilerplate_of_most_pages_goes_from_articles_too():
     blocks = [[(f"A text number {i} with words of its own", 2), ("Subscribe to our letter for more stories like this one", 2)] for i in range(30)]
     hashes = html_extract.WordHashes()

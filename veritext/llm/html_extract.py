@@ -13,15 +13,15 @@ keeps the open blocks of which less than half stands on MIN_PAGES or more pages.
 Repetition on fewer pages is no ground to cut an article (see README): articles
 quote passages that other pages carry too.
 
-A host's pages meet in one task. The largest hosts (over SHARD_CHARS of html, at
-most MAX_HOT of them, so that their list stays small) are dealt over shards by a
-hash of the html, so equal pages meet. The shards of a host share its pages at
-random, so what half of the pages carry shows in each; the few-page repetition
-that decides pages without an article is counted over all shards of the host.
+Large hosts (over SHARD_CHARS of html, at most MAX_HOT of them, so that their list
+stays small) are dealt over shards by a hash of the page's text, so equal pages meet.
+The suffix array of each shard gives the runs that may decide a block and the pages
+that carry them; the counts are summed over the shards of a host, and what the sum
+leaves open is counted page by page. So the result doesn't depend on the shards.
 
 Defined results: null html or html without text gives empty text and 0
 characters; a url that is null or has no host forms one group with the others
-of that kind; equal pages count as one page for repetition; repeated rows get
+of that kind; pages of equal text count as one page for repetition; repeated rows get
 equal rows; an empty table gives an empty result; other columns are not read.
 """
 
@@ -33,9 +33,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from veritext.llm.common import Bitmap, Scratch, WordHashes, chunks, mix, signed, table
 
@@ -43,7 +43,13 @@ MIN_RUN, MIN_PAGES = 6, 3
 #: Share of a host's pages that makes a run boilerplate even inside articles, and the pages a host needs for that.
 BOILER, MIN_HOST = 0.5, 20
 SHARD_CHARS, MAX_HOT = 3_000_000, 100_000
+#: A shard of several gives the counts of runs on this share of its pages, to bound the host's count.
+PROPOSED = BOILER / 2
+#: Pages that a task remembers, to pass over their copies.
+MAX_SEEN = 500_000
 NOISE, OPEN, ARTICLE = 0, 1, 2
+#: What a shard finds: its number of pages, runs of undecided pages, runs on many pages.
+SHARD, REPEATED, BOILERPLATE = 0, 1, 2
 #: Elements and name parts that hold no article text.
 NOISE_TAGS = frozenset("nav footer aside form menu dialog button select option label input".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -175,8 +181,36 @@ def suffix_array(tokens: np.ndarray, levels: int = 5) -> tuple[np.ndarray, np.nd
     return order, shared
 
 
+def run_groups(once: list[np.ndarray], min_run: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of different pages end to end, the group of each place (places with equal next min_run tokens share one) and the number of pages of each group.
+
+    A separator of its own stands after each page, so no group of several places crosses the end of a page."""
+    flat = np.concatenate([np.append(s >> np.uint64(1), np.uint64(2**63 + k)) for k, s in enumerate(once)])
+    page = np.repeat(np.arange(len(once)), [len(s) + 1 for s in once])
+    order, shared = suffix_array(flat)
+    group = np.cumsum(shared < min_run)
+    pairs = np.unique(group * np.int64(len(once)) + page[order])
+    many = np.bincount(pairs // len(once), minlength=group[-1] + 1)
+    at = np.empty(len(flat), dtype=np.int64)
+    at[order] = group
+    return flat, at, many
+
+
+def run_cover(starts: np.ndarray, n: int, min_run: int = MIN_RUN) -> np.ndarray:
+    """Which of n tokens lie in runs with these starts."""
+    edge = np.zeros(n + min_run + 1, dtype=np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + min_run, -1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def least_pages(pages: int) -> float:
+    """Pages that must carry a run for it to be boilerplate on a host of so many different pages."""
+    return max(MIN_PAGES, BOILER * pages) if pages >= MIN_HOST else pages + 1
+
+
 def repeated_tokens(streams: list[np.ndarray], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each page's token stream, which tokens lie in runs that stand on several different pages, and which on BOILER of all."""
+    """For each token stream of a whole host's pages (all in memory; `extract` sums over shards), which tokens lie in runs that stand on several different pages, and which on BOILER of all."""
     kinds: dict[bytes, int] = {}
     kind = [kinds.setdefault(s.tobytes(), len(kinds)) for s in streams]
     if len(kinds) < min_pages:
@@ -184,25 +218,48 @@ def repeated_tokens(streams: list[np.ndarray], min_run: int = MIN_RUN, min_pages
         return none, none
     first = {k: i for i, k in reversed(list(enumerate(kind)))}
     once = [streams[first[k]] for k in range(len(kinds))]  # equal pages count once
-    size = np.array([len(s) for s in once])
-    flat = np.concatenate([np.append(s >> np.uint64(1), np.uint64(2**63 + k)) for k, s in enumerate(once)])  # a separator of its own after each page
-    page = np.repeat(np.arange(len(once)), size + 1)
-    order, shared = suffix_array(flat)
-    group = np.cumsum(shared < min_run)
-    pairs = np.unique(group * np.int64(len(once)) + page[order])
-    many = np.bincount(pairs // len(once), minlength=group[-1] + 1)
-    ends = np.cumsum(size + 1)
+    flat, at, many = run_groups(once, min_run)
+    ends = np.cumsum([len(s) + 1 for s in once])
     out = []
-    for least in (min_pages, max(min_pages, BOILER * len(once)) if len(once) >= MIN_HOST else len(once) + 1):
-        starts = order[(many >= least)[group]]
-        edge = np.zeros(len(flat) + min_run + 1, dtype=np.int64)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + min_run, -1)
-        covered = np.cumsum(edge)[: len(flat)] > 0
-        out.append([covered[ends[k] - size[k] - 1 : ends[k] - 1] for k in kind])
+    for least in (min_pages, max(min_pages, least_pages(len(once)))):
+        covered = run_cover(np.flatnonzero(many[at] >= least), len(flat), min_run)
+        out.append([covered[ends[k] - len(once[k]) - 1 : ends[k] - 1] for k in kind])
     return out[0], out[1]
 
 
+def shard_runs(once: list[np.ndarray], few: list[np.ndarray], article: list[np.ndarray], host: int, lone: bool) -> tuple[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Runs of a shard that may decide a block, by its suffix array: (kind, hashes, pages, whether a run touches an article).
+
+    once: the shard's different pages; few, article: which of their tokens stand
+    in open blocks of undecided pages and in article blocks. lone: the host has
+    no other shard, so its counts are the host's. Also returned: the pages that
+    a run not given as BOILERPLATE may have here at most."""
+    n, share = len(once), least_pages(len(once)) if lone else PROPOSED * len(once)
+    missed = max(0, int(np.ceil(share)) - 1)
+    ask = any(x.any() for x in few)
+    if lone and (n < MIN_PAGES or (n < MIN_HOST and not ask)):
+        return missed, []
+    flat, at, many = run_groups(once)
+    whole = np.concatenate([np.arange(len(s) + 1) + MIN_RUN <= len(s) for s in once])  # starts of runs that end within their page
+
+    def touched(masks):
+        tokens = np.concatenate([np.append(m, False) for m in masks])
+        ahead = np.cumsum(np.concatenate([[0], tokens, np.zeros(MIN_RUN, dtype=np.int64)]))
+        return np.bincount(at[whole & (ahead[MIN_RUN : MIN_RUN + len(flat)] > ahead[: len(flat)])], minlength=len(many)) > 0
+
+    start = np.full(len(many), -1)
+    start[at[whole]] = np.flatnonzero(whole)
+    in_article = touched(article)
+    out = []
+    for kind, chosen in (REPEATED, touched(few) & (many >= (MIN_PAGES if lone else 1))), (BOILERPLATE, (start >= 0) & (many > missed) & (in_article | (not lone))):
+        chosen = np.flatnonzero(chosen)
+        total = np.full(len(chosen), np.int64(host).view(np.uint64), dtype=np.uint64)
+        for k in range(MIN_RUN):
+            total = mix(total + flat[start[chosen] + k])
+        out.append((kind, signed(total), many[chosen], in_article[chosen]))
+    return missed, out
+
+
 def undecided(zones: list[int]) -> bool:
     """Whether a page has open blocks and no article block, so that repetition decides it."""
     return OPEN in zones and ARTICLE not in zones
@@ -237,118 +294,153 @@ def run_hashes(stream: np.ndarray, host: int) -> np.ndarray:
     return total
 
 
-def _host_wide(hot_pages: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(key, runs): for each undecided page of the hosts in several shards, its runs on MIN_PAGES or more pages of the host.
-
-    hot_pages: page key (of host and html), host key, html. None if structure decides all of them."""
-    def runs_of(batches, want):
-        hashes = WordHashes()
-        for batch in chunks(batches, 2):
-            keys, lists = [], []
-            for key, host, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                blocks = page_blocks(html)
-                if want is None and not undecided([z for _, z in blocks]):
-                    continue
-                own = np.unique(run_hashes(_stream([t for t, _ in blocks], hashes), host))
-                keys.append(key)
-                lists.append(signed(own if want is None else own[want(own)]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["key", "runs"])
-
-    shape = "key long, runs array<long>"
-    asked = scratch.write(hot_pages.mapInArrow(lambda b: runs_of(b, None), shape).dropDuplicates(["key"]), "asked")
-    if asked.isEmpty():
-        return None
-    wanted = Bitmap(hot_pages.sparkSession, scratch.write(asked.select(F.explode("runs").alias("run")), "wanted"), "run").test()
-    held = hot_pages.mapInArrow(lambda b: runs_of(b, wanted), shape).select("key", F.explode("runs").alias("run")).distinct()
-    again = scratch.write(held.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES).select("run"), "again")
-    found = asked.select("key", F.explode("runs").alias("run")).join(again, "run").groupBy("key").agg(F.collect_set("run").alias("runs"))
-    return asked.select("key").join(found, "key", "left").select("key", F.coalesce("runs", F.array().cast("array<long>")).alias("runs"))
+def _settled(found: DataFrame, held, scratch: Scratch) -> DataFrame:
+    """(host, kind, run): the runs on enough pages of their host, of those its shards found.
+
+    found: as `count` in extract. A shard that did not give a run has it on at
+    most `missed` pages, so the sum over shards bounds the pages of the host from
+    both sides; held(test) gives (run, place) for the runs that this leaves open,
+    which are counted page by page."""
+    hosts = found.where(F.col("kind") == SHARD).groupBy("host").agg(F.sum("n").alias("pages"), F.sum("missed").alias("all_missed"), F.count(F.lit(1)).alias("shards"))
+    sums = found.where(F.col("kind") != SHARD).groupBy("host", "kind", "run").agg(F.sum("n").alias("n"), F.sum("missed").alias("missed"), F.count(F.lit(1)).alias("seen"), F.max("article").alias("article")).join(hosts, "host")
+    most, few = F.col("kind") == BOILERPLATE, F.lit(MIN_PAGES).cast("long")
+    least = F.when(most, F.greatest(few, F.ceil(F.col("pages") * BOILER))).otherwise(few)
+    # A shard that did not give a run may have it in an article.
+    matters = ~most | ((F.col("pages") >= MIN_HOST) & (F.col("article") | (F.col("seen") < F.col("shards"))))
+    open_pages = F.when(most, F.col("all_missed") - F.col("missed")).when(F.col("shards") > 1, F.col("pages")).otherwise(0)
+    sums = scratch.write(sums.where(matters).select("host", "kind", "run", "n", least.alias("least"), open_pages.alias("more")).where("n + more >= least"), "sums")
+    sure = sums.where("n >= least").select("host", "kind", "run")
+    unsure = sums.where("n < least")
+    if unsure.isEmpty():
+        return sure
+    test = Bitmap(found.sparkSession, unsure, "run").test()
+    exact = held(test).distinct().join(unsure.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("exact"))
+    return scratch.write(sure.unionByName(unsure.join(exact, "run").where("exact >= least").select("host", "kind", "run")), "settled")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars, n_blocks, n_cut (blocks that repetition took) and n_asked (blocks it was asked about) per page."""
     spark = pages.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract(url_col, "://([^/?#]*)", 1), F.lit("")))
-    sizes = pages.groupBy(host.alias("host")).agg(F.sum(F.coalesce(F.length(html_col), F.lit(0))).alias("n")).where(F.col("n") > SHARD_CHARS)
-    hot = {r["host"]: -(-r["n"] // SHARD_CHARS) for r in sizes.orderBy(F.desc("n"), "host").limit(MAX_HOT).collect()}
-    hot = spark.sparkContext.broadcast(hot)
-    inner = pages.select(F.xxhash64(F.coalesce(html_col, F.lit(""))).alias("place"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    sizes = pages.groupBy(host.alias("host")).agg(F.sum(F.coalesce(F.length(html_col), F.lit(0))).alias("n"), F.count(F.lit(1)).alias("rows")).where(F.col("n") > SHARD_CHARS)
+    shards_of = {r["host"]: (-(-r["n"] // SHARD_CHARS), r["rows"]) for r in sizes.orderBy(F.desc("n"), "host").limit(MAX_HOT).collect()}
+    shards_of = spark.sparkContext.broadcast(shards_of)
+    scratch = Scratch(spark, "html")
+    inner = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), F.xxhash64(host).alias("where"), F.xxhash64(host, F.coalesce(html_col, F.lit(""))).alias("key"))
     kind = inner.schema["id"].dataType
-    id_type = to_arrow_type(kind)
     shape = f"`{id_col}` {kind.simpleString()}, `{url_col}` string, text string, n_chars long, n_blocks long, n_cut long, n_asked long"
 
-    def pick(batches):
-        shards = hot.value
-        for batch in batches:
-            yield batch.filter(pa.array([h in shards for h in batch.column(3).to_pylist()])).select([0, 1, 2])
-
-    wide = None
-    if hot.value:
-        keyed = inner.select(F.xxhash64("host", "place").alias("key"), F.xxhash64("host").alias("where"), "html", "host")
-        wide = _host_wide(keyed.mapInArrow(pick, "key long, where long, html string"), Scratch(spark, "html"))
-    left_out = wide is not None
-
-    def result(rows, texts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.string()), pa.array([t[0] for t in texts], pa.string()), *(pa.array(x, pa.int64()) for x in ([len(t[0]) for t in texts], [len(r[2]) for r in rows], [t[1] for t in texts], [t[2] for t in texts]))],
-            [id_col, url_col, "text", "n_chars", "n_blocks", "n_cut", "n_asked"],
-        )
-
     def parse(batches):
-        shards = hot.value
-        for batch in chunks(batches, 3):
-            blocks = [page_blocks(html) for html in batch.column(3).to_pylist()]
-            salts = [p % shards.get(h, 1) for p, h in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(4), pa.array(salts, pa.int32()), batch.column(0), batch.column(1), batch.column(2), pa.array([[t for t, _ in b] for b in blocks], pa.list_(pa.string())), pa.array([[z for _, z in b] for b in blocks], pa.list_(pa.int8()))],
-                ["host", "salt", "place", "id", "url", "texts", "zones"],
+        """Different pages of a task. Pages of equal text meet in one shard."""
+        shards, seen = shards_of.value, set()
+        for batch in chunks(batches, 0):
+            rows = []
+            for html, where, name in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                blocks = page_blocks(html)
+                text, zones, lengths = " ".join(t for t, _ in blocks), [z for _, z in blocks], [t.count(" ") + 1 for t, _ in blocks]
+                same = xxhash.xxh3_128_digest(repr((name, text, zones, lengths)))
+                if same in seen:
+                    continue
+                if len(seen) >= MAX_SEEN:
+                    seen.clear()
+                seen.add(same)
+                place = xxhash.xxh3_64_intdigest(text)
+                n = shards.get(name, (1, 0))[0]
+                rows.append((name, place % n, place - 2**63, where, n == 1, text, zones, lengths))
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["host", "salt", "place", "where", "lone", "text", "zones", "lengths"])
+
+    def count(batches):
+        hashes, shards = WordHashes(), shards_of.value
+
+        def shard(rows, name, where, lone):
+            once, few, article = [], [], []
+            for stream, open_tokens, article_tokens in rows.values():
+                once.append(stream)
+                few.append(open_tokens)
+                article.append(article_tokens)
+            missed, runs = shard_runs(once, few, article, where, lone)
+            if not lone and shards[name][1] < MIN_HOST:
+                runs = [r for r in runs if r[0] != BOILERPLATE]
+            runs = [(SHARD, np.zeros(1, dtype=np.int64), np.array([len(once)]), np.zeros(1, dtype=bool)), *runs]
+            n = sum(len(r[1]) for r in runs)
+            return pa.RecordBatch.from_arrays(
+                [pa.repeat(name, n), pa.array(np.repeat([r[0] for r in runs], [len(r[1]) for r in runs]), pa.int8()), *(pa.array(np.concatenate([r[k] for r in runs]), t) for k, t in ((1, pa.int64()), (2, pa.int64()))), pa.repeat(pa.scalar(missed, pa.int64()), n), pa.array(np.concatenate([r[3] for r in runs]))],
+                ["host", "kind", "run", "n", "missed", "article"],
             )
 
-    def decide(batches):
-        hashes, shards = WordHashes(), hot.value
-
-        def shard(rows, where):
-            out, both = [], repeated_tokens([_stream(r[2], hashes) for r in rows])
-            for r, again, boiler in zip(rows, *both):
-                if left_out and where in shards and undecided(r[3]):
-                    continue  # counted over all shards below
-                out.append((r, main_text(list(zip(r[2], r[3])), again, boiler)))
-            return result([r for r, _ in out], [t for _, t in out])
-
-        rows, key = [], None
-        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-            for where, salt, page, url, texts, zones in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6))):
-                if rows and key != (where, salt):
-                    yield shard(rows, key[0])
-                    rows = []
-                key = (where, salt)
-                rows.append((page, url, texts, zones))
-        if rows:
-            yield shard(rows, key[0])
-
-    def decide_wide(batches):
+        rows, key = {}, None
+        for batch in chunks(batches, 5):
+            for name, salt, where, lone, text, zones, lengths in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6, 7))):
+                if key and key[:2] != (name, salt):
+                    yield shard(rows, key[0], *key[2:])
+                    rows = {}
+                key = (name, salt, where, lone)
+                stream = _stream([text] if zones else [], hashes)
+                tokens = np.repeat(np.array(zones, dtype=np.int8), np.array(lengths, dtype=np.int64))
+                old = rows.setdefault(stream.tobytes(), (stream, np.zeros(len(stream), dtype=bool), np.zeros(len(stream), dtype=bool)))
+                if undecided(zones):
+                    old[1][tokens == OPEN] = True
+                old[2][tokens == ARTICLE] = True
+        if key:
+            yield shard(rows, key[0], *key[2:])
+
+    def runs_held(test, only_undecided):
+        """Hashes of the tested runs of each page: with the page's key if it is undecided, else with the hash of its text if its host has several shards."""
+        def run(batches):
+            hashes, shards, seen = WordHashes(), shards_of.value, set()
+            for batch in chunks(batches, 0):
+                runs, pages_of = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+                for html, where, name, key in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                    if key in seen or (not only_undecided and name not in shards):
+                        continue
+                    if len(seen) >= MAX_SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    blocks = page_blocks(html)
+                    if only_undecided and not undecided([z for _, z in blocks]):
+                        continue
+                    texts = [t for t, _ in blocks]
+                    own = np.unique(run_hashes(_stream(texts, hashes), where))
+                    own = signed(own[test(own)])
+                    runs.append(own)
+                    pages_of.append(np.full(len(own), key if only_undecided else xxhash.xxh3_64_intdigest(" ".join(texts)) - 2**63, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs)), pa.array(np.concatenate(pages_of))], ["run", "page"])
+
+        return inner.select("html", "where", "host", "key").mapInArrow(run, "run long, page long")
+
+    def finish(batches):
         hashes = WordHashes()
         for batch in chunks(batches, 2):
-            rows, out = [], []
-            for page, url, html, where, runs in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            texts = []
+            for html, where, boiler, again in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
                 blocks = page_blocks(html)
-                own = run_hashes(_stream([t for t, _ in blocks], hashes), where)
-                edge = np.zeros(len(own) + 2 * MIN_RUN, dtype=np.int64)
-                at = np.flatnonzero(np.isin(signed(own), np.array(runs, dtype=np.int64)))
-                edge[at] += 1
-                edge[at + MIN_RUN] -= 1
-                again = np.cumsum(edge) > 0
-                rows.append((page, url, blocks))
-                out.append(main_text(blocks, again, np.zeros(len(again), dtype=bool)))
-            yield result(rows, out)
-
-    parsed = inner.mapInArrow(parse, f"host string, salt int, place long, id {kind.simpleString()}, url string, texts array<string>, zones array<tinyint>")
+                runs = again if undecided([z for _, z in blocks]) else boiler
+                if runs:
+                    stream = _stream([t for t, _ in blocks], hashes)
+                    gone = run_cover(np.flatnonzero(np.isin(signed(run_hashes(stream, where)), np.array(runs, dtype=np.int64))), len(stream))
+                else:
+                    gone = np.zeros(sum(t.count(" ") + 1 for t, _ in blocks), dtype=bool)
+                texts.append((*main_text(blocks, gone, gone), len(blocks)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([t[0] for t in texts], pa.string()), *(pa.array(x, pa.int64()) for x in ([len(t[0]) for t in texts], [t[3] for t in texts], [t[1] for t in texts], [t[2] for t in texts]))],
+                [id_col, url_col, "text", "n_chars", "n_blocks", "n_cut", "n_asked"],
+            )
+
+    parsed = inner.select("html", "where", "host").mapInArrow(parse, "host string, salt int, place long, where long, lone boolean, text string, zones array<tinyint>, lengths array<int>")
     dealt = parsed.repartition("host", "salt").sortWithinPartitions("host", "salt", "place")
-    out = dealt.mapInArrow(decide, shape)
-    if left_out:
-        asked = inner.withColumn("key", F.xxhash64("host", "place")).join(wide, "key").select("id", "url", "html", F.xxhash64("host").alias("where"), "runs")
-        out = out.unionByName(asked.mapInArrow(decide_wide, shape))
-    return out
+    found = scratch.write(dealt.mapInArrow(count, "host string, kind tinyint, run long, n long, missed long, article boolean"), "found")
+    settled = _settled(found, lambda test: runs_held(test, False), scratch)
+    kinds = {r["kind"] for r in settled.select("kind").distinct().collect()}
+    boiler = again = F.lit(None).cast("array<long>")
+    if BOILERPLATE in kinds:
+        of_host = settled.where(F.col("kind") == BOILERPLATE).groupBy("host").agg(F.collect_list("run").alias("boiler"))
+        inner, boiler = inner.join(scratch.write(of_host, "boiler"), "host", "left"), F.col("boiler")
+    if REPEATED in kinds:
+        runs = settled.where(F.col("kind") == REPEATED).select("run")
+        of_page = runs_held(Bitmap(spark, runs, "run").test(), True).distinct().join(runs, "run").groupBy(F.col("page").alias("key")).agg(F.collect_list("run").alias("again"))
+        inner, again = inner.join(scratch.write(of_page, "again"), "key", "left"), F.col("again")
+    return inner.select("id", "url", "html", "where", boiler.alias("boiler"), again.alias("again")).mapInArrow(finish, shape)
 
 
 def op10_html_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
