@@ -132,12 +132,15 @@ def _shift(cite: str, by: int) -> str:
     return re.sub(r"(\d+)(\D*)$", lambda m: f"{int(m[1]) + by}{m[2]}", cite)
 
 
-def word_runs(text: Column, size: int) -> Column:
+def word_runs(text: Column, *sizes: int) -> Column:
     """Hashes of all runs of so many words of a folded text, each once, sliced within the row."""
-    words = F.split(text, " ")
-    last = F.size(words) - size + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: F.xxhash64(F.lit(size), F.array_join(F.slice(words, i, size), " ")))
-    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<long>"))
+    def runs(words: Column, size: int) -> Column:
+        last = F.size(words) - size + 1
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: F.xxhash64(F.lit(size), F.slice(words, i, size)))
+        return F.when(last >= 1, F.array_distinct(each)).otherwise(F.array().cast("array<long>"))
+
+    # The words are the variable of a lambda, so a row is folded and split once; an expression would be evaluated again at every place.
+    return F.element_at(F.transform(F.array(F.split(text, " ")), lambda words: F.flatten(F.array(*[runs(words, n) for n in sizes]))), 1)
 
 
 #: Words inside a quotation by which it meets texts.
@@ -157,8 +160,8 @@ def contained(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     long = [n for n in sizes if n > 0]
     if long:
         words = F.split("quote", " ")
-        keyed = asked.where("inner > 0").select("item_id", F.xxhash64("inner", F.array_join(F.slice(words, F.lit(2), F.col("inner")), " ")).alias("g"))
-        held = said.select("doc_id", F.explode(F.flatten(F.array(*[word_runs(F.col("said"), n) for n in long]))).alias("g"))
+        keyed = asked.where("inner > 0").select("item_id", F.xxhash64("inner", F.slice(words, F.lit(2), F.col("inner"))).alias("g"))
+        held = said.select("doc_id", F.explode(word_runs(F.col("said"), *long)).alias("g"))
         pairs = held.join(keyed, "g").select("doc_id", "item_id").distinct()
         met = pairs.join(said, "doc_id").join(asked.select("item_id", "quote"), "item_id").where(F.contains("said", "quote")).select("doc_id", "item_id")
         found = met if found is None else found.unionByName(met)
