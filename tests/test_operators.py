@@ -200,12 +200,24 @@ def test_contained_reads_a_long_text_once(spark):
     """One text of 40,000 words; a text split again at each of its words takes minutes."""
     said = " ".join(f"w{k}" for k in range(40000))
     quotes = [(1, said[-60:]), (2, "w5 w6 w7"), (3, "w1 w2 w3 w4 w5 w6 w7 w9")]
+    contrary.contained(spark.createDataFrame(quotes, "item_id long, quote string"), spark.createDataFrame([(2, "w5")], "doc_id long, text string")).collect()  # compiles
     began = time.monotonic()
     got = contrary.contained(spark.createDataFrame(quotes, "item_id long, quote string"), spark.createDataFrame([(1, said)], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (1, 2)}
     assert time.monotonic() - began < 25
 
 
+def test_shared_runs_read_a_long_text_once(spark):
+    """As above, where claims meet passages, for all claims that share six words."""
+    said = " ".join(f"w{k}" for k in range(40000))
+    claims = [(1, "x W39990 w39991 w39992  w39993 w39994 w39995 w39996 y"), (2, "w1 w2 w3 w4 w5 x w6 w7"), (3, "w1 w2 w3 w4 w5 w6"), (4, None)]
+    contrary.shared_runs(spark.createDataFrame(claims, "claim_id long, claim string"), spark.createDataFrame([(2, "w1 w2")], "id long, text string")).collect()  # compiles
+    began = time.monotonic()
+    got = contrary.shared_runs(spark.createDataFrame(claims, "claim_id long, claim string"), spark.createDataFrame([(1, said), (2, "w1 w2"), (3, None)], "id long, text string")).collect()
+    assert sorted((r.claim_id, r.id, r.words) for r in got) == [(1, 1, 7), (3, 1, 6)]
+    assert time.monotonic() - began < 25
+
+
 def test_pinpoint_that_points_past_the_words(spark):
     said = "a tenancy ends only where notice is given in writing to the tenant by the landlord"
     p = spark.createDataFrame([("v", 1, "1", f"We hold that {said}."), ("v", 2, "2", "Rain fell on the roof of the house."), ("v", 3, "3", "A tenancy ends only where notice is given in writing."), ("v", 4, None, said)], "version string, seq int, label string, body string")
