@@ -86,6 +86,35 @@ def test_names_without_year_or_long_word_or_common_word(spark):
     assert want[1] == ("A", "found") and want[2] == ("B", "found") and want[3] == ("D", "found") and want[4] == ("C", "ambiguous") and want[5] == ("E", "ambiguous")
 
 
+def test_equal_pairs_of_names_are_scored_once(spark, tmp_path, monkeypatch):
+    """4 names and 4 titles of 40 years: 16 different pairs, and 1,888 with their years."""
+    real, log = token_set_ratio, str(tmp_path / "log")
+
+    def counted(a, b):
+        with open(log, "a") as f:
+            f.write(f"{a}|{b}\n")
+        return real(a, b)
+
+    monkeypatch.setattr(resolve, "token_set_ratio", counted)
+    said = ["Rao versus Das", "Lal versus Om", "Gurmit Singh Bhatia", "State of Kerala"]
+    t = spark.createDataFrame([(100 * y + k, s, y) for y in range(1980, 2020) for k, s in enumerate(said)], "case int, title string, title_year int")
+    n = spark.createDataFrame([(100 * y + k, s, y) for y in range(1980, 2020) for k, s in enumerate(said)], "name_id int, name string, year int")
+    got = resolve.by_parties(n, t).collect()
+    assert len(got) == 160 and all(r.case == (r.name_id - 100 if r.name_id >= 198100 else r.name_id) and r.status == "ambiguous" for r in got)
+    lines = open(log).read().split("\n")[:-1]
+    assert 4 <= len(lines) <= 2 * 16
+
+
+@pytest.mark.parametrize("least", [0, 60, 88, 92, 100])
+def test_letter_counts_pass_over_no_alike_names(least):
+    import numpy as np
+
+    names = ["", "Rao", "rao v. state", "State of Kerala v. Rao", "Stat of Kerela v Rao", "Ramachandran Krishnamurthy", "Ramachandra Krishnamurti", "Krishnamurti", "Om Lal", "Lal Om and others", "é É", "123 456", "Union of India versus Sharma", "a b c d e f g h"]
+    a, b = map(np.ravel, np.meshgrid(np.arange(len(names)), np.arange(len(names))))
+    kept = resolve.may_score(names, names, a, b, least)
+    assert all(k or round(token_set_ratio(names[i], names[j]), 6) < least for i, j, k in zip(a, b, kept)) and (least < 88 or not kept.all())
+
+
 def test_verdict_states(spark):
     none = {f.split(" ")[0]: None for f in verdict.INPUT.split(", ")}
     rows = [{**none, "citation_id": 1, "status": "found"}, {**none, "citation_id": 2, "status": "found", "support": "error"}, {**none, "citation_id": 3, "status": "found", "support": "none"}]

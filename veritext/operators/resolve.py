@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritext.functions.lexicon import LEARN_MARGIN, LEARN_SCORE, NAME_CHARS, NAME_FLOOR, PARTY_MARGIN, PARTY_SCORE, SIGHTINGS, SURE_SCORE
-from veritext.functions.text import token_set_ratio
+from veritext.functions.text import name_words, token_set_ratio
 
 
 @F.pandas_udf(T.DoubleType())
@@ -22,17 +24,68 @@ def exact(citations: DataFrame, aliases: DataFrame) -> DataFrame:
     return citations.join(one, "normalized", "left").withColumn("status", F.when(F.col("case").isNull(), "not_found").otherwise("found"))
 
 
+#: Bins of the letter counts that a pair of names is judged by first.
+LETTER_BINS = 61
+
+
+def _letters(names: list[str]):
+    """Counts of the letters of each name's different words, by bins, and the length of those words joined."""
+    sets = [name_words(n) for n in names]
+    counts = np.zeros((len(names), LETTER_BINS), np.int32)
+    for row, words in zip(counts, sets):
+        for c in "".join(words):
+            row[ord(c) % LETTER_BINS] += 1
+    return counts, np.array([sum(map(len, w)) + max(0, len(w) - 1) for w in sets], np.float64)
+
+
+def may_score(left: list[str], right: list[str], a, b, least: float):
+    """Whether the pairs (left[a[k]], right[b[k]]) may have a token_set_ratio of least: never false for one that has.
+
+    Letters that one name has beyond the other are no more than the edits between their own words, nor than the
+    letters of its own words; so the score is under least where they are too many for each of its three forms."""
+    (x, n), (y, m) = _letters(left), _letters(right)
+    free = 1 - least / 100 + 1e-6
+    over = np.maximum(x[a] - y[b], 0).sum(axis=1)
+    under = over - (x.sum(axis=1)[a] - y.sum(axis=1)[b])
+    n, m = n[a], m[b]
+    share = 2 * free / (1 + free)
+    return (over + under <= free * (n + m)) | (over <= share * n) | (under <= share * m)
+
+
+def alike(pairs: DataFrame, least: float) -> DataFrame:
+    """name, title, score of the pairs (name, title) that score least or more."""
+    def run(batches):
+        for batch in batches:
+            name, title = (batch.column(k).dictionary_encode() for k in (0, 1))
+            left, right, a, b = name.dictionary.to_pylist(), title.dictionary.to_pylist(), name.indices.to_numpy(), title.indices.to_numpy()
+            met = [(left[a[k]], right[b[k]]) for k in np.flatnonzero(may_score(left, right, a, b, least))]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in met], pa.string()), pa.array([y for _, y in met], pa.string()), pa.array([token_set_ratio(x, y) for x, y in met], pa.float64())], ["name", "title", "score"])
+
+    # Not a UDF: its filter would be pushed below the distinct of the pairs, and equal pairs be scored again and again.
+    scored = pairs.select("name", "title").mapInArrow(run, "name string, title string, score double")
+    return scored.withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
+
+
 def blocked_pairs(names: DataFrame, titles: DataFrame) -> DataFrame:
-    """(name, year, title, case, n): each different name and year with the titles of the year, the one before and the one after, or with all titles if it has no year; the smallest case of the title and year and their number.
+    """name, title: each different name with the titles of its years, those before and those after, or with all titles if it has no year; each pair once.
+
+    No word need be shared: names may differ in a letter of every word."""
+    asked, titles = names.where("name is not null"), titles.where("title is not null")
+    dated = asked.where("year <> 0").select("name", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("title_year")).distinct()
+    met = dated.join(titles.select("title", "title_year").distinct(), "title_year").select("name", "title")
+    bare = asked.where("coalesce(year, 0) = 0").select("name").distinct()
+    return met.unionByName(bare.crossJoin(titles.select("title").distinct())).distinct()
+
 
-    No word need be shared: names may differ in a letter of every word. Equal names and equal titles count once."""
-    asked = names.select("name", "year").where("name is not null").distinct()
-    dated = asked.where("year <> 0").withColumn("title_year", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)))
+def _places(names: DataFrame, titles: DataFrame, near: DataFrame) -> DataFrame:
+    """name, year, title, score, case, n: the pairs near (name, title, score) for each year of the name, with the smallest case of the title and year, and their number; of all years if the name has none."""
     titles = titles.where("title is not null")
-    of_year = titles.groupBy("title", "title_year").agg(F.min("case").alias("case"), F.count(F.lit(1)).alias("n"))
-    of_any = titles.groupBy("title").agg(F.min("case").alias("case"), F.count(F.lit(1)).alias("n"))
-    met = dated.join(of_year, "title_year").select("name", "year", "title", "case", "n")
-    return met.unionByName(asked.where("coalesce(year, 0) = 0").crossJoin(of_any).select("name", "year", "title", "case", "n"))
+    of_year = titles.groupBy("title", "title_year").agg(F.min("case").alias("case"), F.count(F.lit(1)).alias("n")).withColumn("any_year", F.lit(False))
+    of_any = titles.groupBy("title").agg(F.min("case").alias("case"), F.count(F.lit(1)).alias("n")).select("title", F.lit(0).alias("title_year"), "case", "n", F.lit(True).alias("any_year"))
+    asked = names.select("name", "year").where("name is not null").distinct().withColumn("any_year", F.coalesce("year", F.lit(0)) == 0)
+    years = F.when(F.col("any_year"), F.array(F.lit(0))).otherwise(F.sequence(F.col("year") - 1, F.col("year") + 1))
+    wanted = asked.join(near, "name").withColumn("title_year", F.explode(years))
+    return wanted.join(of_year.unionByName(of_any), ["title", "title_year", "any_year"]).select("name", "year", "title", "score", "case", "n")
 
 
 def within_a_year(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,9 +96,7 @@ def within_a_year(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
 
 def by_parties(names: DataFrame, titles: DataFrame, least: float = PARTY_SCORE, margin: float = PARTY_MARGIN, top: int = 5) -> DataFrame:
     """name_id, case, score, status: found, or ambiguous if a runner-up is within the margin; not_found otherwise."""
-    pairs = blocked_pairs(names, titles)
-    scores = pairs.select("name", "title").distinct().withColumn("score", F.round(name_score("name", "title"), 6)).where(F.col("score") >= least)
-    scored = pairs.join(scores, ["name", "title"])
+    scored = _places(names, titles, alike(blocked_pairs(names, titles), least))
     w = Window.partitionBy("name", "year").orderBy(F.desc("score"), "case")
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(top, 2))
     # Cases of one title tie; so do those of a title in the two years beside it.
